@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1
+from . import op1, op9
 
-_MODULES = [op1]
+_MODULES = [op1, op9]
 
 
 def queries() -> dict:
