@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import mix, row_key, table, text_bytes
+from .common import mix, release, row_key, table, text_bytes
 from .shingles import shingle_sets
 
 _SALTS = (np.uint64(0x632BE59BD9B4E019), np.uint64(0x8CB92BA72F3D8DD7))
@@ -40,24 +40,38 @@ def _chunk_sets(t: pa.Table, width: int):
     return sets, np.concatenate([np.zeros(0, np.uint64), *sets])
 
 
+#: Bits of a token's hash that its document frequency is counted by; two tokens that agree in them count as one.
+_KEPT = 48
+
+
+def _pack(tokens: np.ndarray) -> bytes:
+    """Sorted tokens as byte planes of their differences: the high planes are nearly all zero, and compress away."""
+    return np.diff(tokens, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(planes).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _send(width: int, blocks: int):
     """A chunk of documents -> its distinct tokens in blocks of a token range."""
 
     def run(t: pa.Table) -> pa.Table:
-        tokens, here = np.unique(_chunk_sets(t, width)[1], return_counts=True)
+        tokens, here = np.unique(_chunk_sets(t, width)[1] >> np.uint64(64 - _KEPT), return_counts=True)
         here = here.astype(np.uint32)
         found, first = np.unique(_block(tokens, blocks), return_index=True)
         cut = [*zip(first, np.append(first[1:], len(tokens)), strict=True)]
         chunk = t["chunk"][0].as_py() if len(t) else 0
         cols = {"chunk": pa.array([chunk] * len(found), pa.int32()), "block": pa.array(found, pa.int32())}
-        cols |= {k: pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for k, x in (("tokens", tokens), ("here", here))}
+        cols |= {k: pa.array([f(x[a:b]) for a, b in cut], pa.binary()) for k, x, f in (("tokens", tokens, _pack), ("here", here, np.ndarray.tobytes))}
         return pa.table(cols)
 
     return run
 
 
 def _block(tokens: np.ndarray, blocks: int) -> np.ndarray:
-    return ((tokens >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
+    return ((tokens >> np.uint64(_KEPT - 32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
 
 
 def _grade(counts: np.ndarray) -> np.ndarray:
@@ -68,7 +82,7 @@ def _grade(counts: np.ndarray) -> np.ndarray:
 
 def _count(t: pa.Table) -> pa.Table:
     """A block of all chunks -> for each chunk the graded document frequencies of its tokens."""
-    parts = [np.frombuffer(x.as_py(), np.uint64) for x in t["tokens"]]
+    parts = [_unpack(x.as_py()) for x in t["tokens"]]
     here = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t["here"]])
     _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
     grades = _grade(np.bincount(inverse, here).astype(np.int64))[inverse]
@@ -83,7 +97,7 @@ def prefix_length(n: int, percent: int) -> int:
 def _prefixes(width: int, percent: int):
     def run(docs: pa.Table, graded: pa.Table) -> pa.Table:
         sets, every = _chunk_sets(docs, width)
-        _, inverse = np.unique(every, return_inverse=True)
+        _, inverse = np.unique(every >> np.uint64(64 - _KEPT), return_inverse=True)
         order = np.argsort(graded["block"].to_numpy())
         packed = graded["grades"].to_pylist()
         grades = np.frombuffer(b"".join(packed[i] for i in order), np.uint8)
@@ -102,7 +116,7 @@ def _prefixes(width: int, percent: int):
                 cut = [o[:p] for o in orders]
                 shared = [np.sort(s[o[g[o] > 1]]).view(np.int64) for o in cut]
                 if all(len(x) for x in shared):
-                    row[2:] = [*shared, s.tobytes()]
+                    row[2:] = [*shared, s[g > 1].tobytes()]  # tokens of no other row are in no intersection
             rows.append(row)
         kinds = [pa.int32(), pa.string(), *[pa.list_(pa.int64())] * 3, pa.binary()]
         names = ["n", "node", "pre", "second", "third", "toks"]
@@ -116,10 +130,11 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
+            for x, y, n, m in zip(batch["x"], batch["y"], batch["n"].to_pylist(), batch["m"].to_pylist(), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = np.count_nonzero(np.isin(x, y, assume_unique=True))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                common = np.count_nonzero(y[at] == x)
+                good.append(100 * common >= percent * (n + m - common))
             yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -164,11 +179,12 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, width: int = 5, chunk_ch
     sent = dealt.groupBy("chunk").applyInArrow(_send(width, chunks), "chunk int, block int, tokens binary, here binary")
     graded = sent.groupBy("block").applyInArrow(_count, "chunk int, block int, grades binary")
     rows = table(dealt.groupBy("chunk").cogroup(graded.groupBy("chunk")).applyInArrow(_prefixes(width, percent), _ROW), "shingle-rows")
-
+    del dealt, sent, graded
+    release(spark)
     nodes = rows.where("toks is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "pre", "second", "third", "toks")))
     nodes = table(nodes, "shingle-nodes")
     posts = nodes.select("node", "n", F.explode("pre").alias("token"))
-    crowd = posts.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    crowd = table(posts.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "crowd")
     posts = table(posts.join(crowd, "token"), "postings")
     links = _links(posts, nodes, percent)
 
@@ -187,6 +203,7 @@ def _links(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     tried = None
     for k in range(4):
         lively = posts.join(label, "node")
+        release(posts.sparkSession)
         mixed = lively.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
         lively = table(lively.join(mixed, "token"), f"lively{k}")
         if lively.isEmpty():
@@ -202,14 +219,15 @@ def _links(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.where(fits).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        side = lambda a, b: nodes.select(F.col("node").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in ("second", "third", "toks")))
+        side = lambda a, b: nodes.select(F.col("node").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in ("n", "second", "third", "toks")))
         pairs = table(pairs, f"pairs{k}")
         tried = pairs if tried is None else tried.unionByName(pairs)
         both = pairs.join(side("u", 0), "u").join(side("v", 0), "v")
         both = both.where(F.arrays_overlap("u_second", "v_second") & F.arrays_overlap("u_third", "v_third"))
-        good = both.select("u", "v", F.col("u_toks").alias("x"), F.col("v_toks").alias("y")).mapInArrow(_verify(percent), "u string, v string")
+        good = both.select("u", "v", F.col("u_toks").alias("x"), F.col("v_toks").alias("y"), F.col("u_n").alias("n"), F.col("v_n").alias("m")).mapInArrow(_verify(percent), "u string, v string")
         linked = label.select("node", "comp")
         edges = good.join(linked.toDF("u", "a"), "u").join(linked.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
         moved = components(edges, f"round{k}").toDF("comp", "to")
         label = table(label.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "links")
+    release(posts.sparkSession)
     return label
