@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import drop_table, mix, ranges, row_key, spans, table, text_bytes
+from .common import drop_table, mix, ranges, release, row_key, spans, table, text_bytes
 
 LENGTH, CORE, STEP = 200, 48, 16
 _B1, _B2 = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95)
@@ -330,9 +330,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_
     bytes, empty and null texts have none; rows equal in id and text count as two places.
     """
     found = table(docs.select("did", "fp", "text").mapInArrow(_find(length, core), _CONTEXT), "anchors")
-    often = found.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah")
-    kept = table(found.join(often, "ah"), "repeated-anchors")
+    often = table(found.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah"), "often")
+    kept = table(found.join(often, "ah"), "repeated-anchors")  # between two tables: a hot anchor's rows can be split
     drop_table(found)
+    release(docs.sparkSession)
     same, groups = _counted(kept)
     known = table(same.join(groups, "ah"), "classes")
     rows = kept.join(known, ["ah", "ch"])
