@@ -11,8 +11,9 @@ Tokens found in one row only cannot be shared, so they leave prefixes after thes
 
 Sets that are equal are one class. Within the classes that share a token, links are verified in
 rounds: first with one centre for each token, then with other centres and only across the
-components found so far, at last all pairs across components that are left. So copies in thousands
-need a number of comparisons in proportion to their number, and no link between components is lost.
+components found so far, at last all pairs across components that are left and that the places of
+their shared token do not rule out. So copies in thousands need a number of comparisons in
+proportion to their number, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .common import mix, release, row_key, table, text_bytes
 from .shingles import shingle_sets
 
 _SALTS = (np.uint64(0x632BE59BD9B4E019), np.uint64(0x8CB92BA72F3D8DD7))
-_ROW = "doc_id long, n int, node string, pre array<long>, second array<long>, third array<long>, toks binary"
+_ROW = "doc_id long, n int, node string, rare int, pre array<long>, second array<long>, third array<long>, toks binary"
 
 
 def _chunk_sets(t: pa.Table, width: int):
@@ -109,17 +110,17 @@ def _prefixes(width: int, percent: int):
             g = grades[at : at + n]
             at += n
             node = hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if n else ""
-            row = [n, node, None, None, None, None]
+            row = [n, node, None, None, None, None, None]
             if n and (g > 1).any():
                 p = prefix_length(n, percent)
                 orders = [np.lexsort((mix(s), g)), np.argsort(mix(s ^ _SALTS[0])), np.argsort(mix(s ^ _SALTS[1]))]
                 cut = [o[:p] for o in orders]
-                shared = [np.sort(s[o[g[o] > 1]]).view(np.int64) for o in cut]
+                shared = [s[o[g[o] > 1]].view(np.int64) for o in cut]
                 if all(len(x) for x in shared):
-                    row[2:] = [*shared, s[g > 1].tobytes()]  # tokens of no other row are in no intersection
+                    row[2:] = [int((g == 1).sum()), *shared, s[g > 1].tobytes()]  # tokens of no other row are in no intersection
             rows.append(row)
-        kinds = [pa.int32(), pa.string(), *[pa.list_(pa.int64())] * 3, pa.binary()]
-        names = ["n", "node", "pre", "second", "third", "toks"]
+        kinds = [pa.int32(), pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+        names = ["n", "node", "rare", "pre", "second", "third", "toks"]
         cols = {k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(zip(names, kinds, strict=True))}
         return pa.table({"doc_id": docs["doc_id"], **cols})
 
@@ -181,9 +182,9 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, width: int = 5, chunk_ch
     rows = table(dealt.groupBy("chunk").cogroup(graded.groupBy("chunk")).applyInArrow(_prefixes(width, percent), _ROW), "shingle-rows")
     del dealt, sent, graded
     release(spark)
-    nodes = rows.where("toks is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "pre", "second", "third", "toks")))
+    nodes = rows.where("toks is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "rare", "pre", "second", "third", "toks")))
     nodes = table(nodes, "shingle-nodes")
-    posts = nodes.select("node", "n", F.explode("pre").alias("token"))
+    posts = nodes.select("node", "n", "rare", F.posexplode("pre").alias("i", "token")).withColumn("i", F.col("i") + F.col("rare"))
     crowd = table(posts.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "crowd")
     posts = table(posts.join(crowd, "token"), "postings")
     links = _links(posts, nodes, percent)
@@ -209,13 +210,17 @@ def _links(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         if lively.isEmpty():
             break
         if k < 3:
-            order = F.col("node") if k == 0 else F.xxhash64("node", "token", F.lit(k))
-            centre = lively.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.struct("node", "comp", "n").alias("c"))).alias("m")).select("token", "m.c")
-            pairs = lively.join(centre, "token").select(F.col("node").alias("x"), "comp", "n", F.col("c.node").alias("y"), F.col("c.comp").alias("comp2"), F.col("c.n").alias("n2"))
+            # the set with the fewest tokens of its own is likest to the others
+            own = F.floor(F.col("rare") * (1000, 50, 0)[k] / F.col("n"))
+            order = F.struct(own.alias("own"), F.col("node") if k == 0 else F.xxhash64("node", "token", F.lit(k)))
+            centre = lively.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.struct("node", "comp", "n", "i").alias("c"))).alias("m")).select("token", "m.c")
+            pairs = lively.join(centre, "token").select(F.col("node").alias("x"), "comp", "n", "i", F.col("c.node").alias("y"), F.col("c.comp").alias("comp2"), F.col("c.n").alias("n2"), F.col("c.i").alias("i2"))
         else:
-            other = lively.select("token", F.col("node").alias("y"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
+            other = lively.select("token", F.col("node").alias("y"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
             pairs = lively.withColumnRenamed("node", "x").join(other, ["token"]).where("x < y")
-        fits = (F.col("comp") != F.col("comp2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+        # nothing before a pair's first shared token is shared, which bounds its intersection; i, i2: places in the first order
+        bound = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
+        fits = (F.col("comp") != F.col("comp2")) & (100 * bound >= percent * (F.col("n") + F.col("n2") - bound))
         pairs = pairs.where(fits).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
