@@ -36,19 +36,19 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     m = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = m.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     m = m.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "score")
-    jump = table(m.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "jump0")
-    longest = jump.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    state = table(m.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "jump0")
+    longest = state.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     leaves = m.join(m.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", "node")
-    jumps = []
+    live, rooted, jumps = state.where("up is not null"), state.where("up is null"), []
     for k in range(int(longest).bit_length()):
-        if jump.where("up is not null").isEmpty():
+        if live.isEmpty():
             break
-        jumps.append(jump)
-        next_ = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        both = jump.join(next_, ["tree", "up"], "left")
-        plus = lambda c: F.col(c) + F.coalesce(F.col(f"{c}2"), F.lit(0))
-        jump = table(both.select("tree", "node", F.col("up2").alias("up"), plus("total").alias("total"), plus("depth").alias("depth")), f"jump{k + 1}")
-    rooted = jump.where("up is null").select("tree", "node", "total", "depth")
+        jumps.append(live)
+        ahead = live.unionByName(rooted).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        both = live.join(ahead, ["tree", "up"])  # only messages that have not reached their root
+        state = table(both.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")), f"jump{k + 1}")
+        live, rooted = state.where("up is not null"), rooted.unionByName(state.where("up is null"))
+    rooted = rooted.select("tree", "node", "total", "depth")
     ends = leaves.join(rooted, ["tree", "node"])
     order = [F.desc("total"), F.desc("depth"), F.asc("node")]
     if branches == 1:
@@ -57,7 +57,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     else:
         path = ends.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(*order))).where(F.col("rank") <= branches).select("tree", "rank", "node")
     for j in reversed(jumps):
-        path = table(path.unionByName(path.join(j.where("up is not null").select("tree", "node", "up"), ["tree", "node"]).select("tree", "rank", F.col("up").alias("node"))), "path")
+        path = table(path.unionByName(path.join(j.select("tree", "node", "up"), ["tree", "node"]).select("tree", "rank", F.col("up").alias("node"))), "path")
     return path.join(rooted.select("tree", "node", "depth"), ["tree", "node"])
 
 
