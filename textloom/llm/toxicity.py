@@ -1,13 +1,15 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-A text is the set of its lower-cased character n-grams, hashed to ``1 << BITS`` features. With p and q the
+A text is lower-cased, runs of characters other than letters and digits become one space, and it is the
+set of its character n-grams, hashed to ``1 << BITS`` features. With p and q the
 numbers of toxic and other texts that have a feature (plus one), r = log(p / |p|) - log(q / |q|) scales it,
 and a logistic regression is fitted on the scaled features. The sample it is fitted on is bounded:
-``most_toxic`` and ``most_other`` labelled texts, each sent to the driver as ``1 << BITS`` bits.
+``most_toxic`` and ``most_other`` labelled texts (as many of either, so that toxic ones are not missed), each sent to the driver as ``1 << BITS`` bits.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +21,15 @@ from ..ship import ship
 from .common import mix
 from .learn import held_out, labelled, sample_ids, sigmoid, texts_of
 
-BITS, GRAMS = 17, (3, 4, 5)
+BITS, GRAMS = 18, (3, 5, 7)
+_OTHER = re.compile(r"[\W_]+")
 
 
 def features(text: str, flags: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """The sorted features of a text; ``flags`` is a false array of ``1 << BITS`` to work in."""
     for at in range(0, max(len(text), 1), block):  # long texts in blocks that overlap by an n-gram
-        x = np.frombuffer(text[at : at + block + max(GRAMS) - 1].lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
+        part = _OTHER.sub(" ", f" {text[at : at + block + max(GRAMS) - 1].lower()} ")
+        x = np.frombuffer(part.encode("utf-32-le"), np.uint32).astype(np.uint64)
         for n in GRAMS:
             if len(x) >= n:
                 h = np.full(len(x) - n + 1, n, np.uint64)
@@ -51,7 +55,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["label"], pa.array(out, pa.binary())], ["label", "bits"])
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], label: np.ndarray, rounds: int = 80, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights of the features (log-count ratio and coefficient in one) and the intercept."""
     size = 1 << BITS
     counts = np.array([len(r) for r in rows])
@@ -62,16 +66,16 @@ def fit(rows: list[np.ndarray], label: np.ndarray, rounds: int = 150, ridge: flo
         return np.zeros(size, np.float32), float(40 * (y.mean() - 0.5)) if len(rows) else 0.0
     p, q = (np.bincount(flat[np.repeat(y == k, counts)], minlength=size) + 1.0 for k in (1, 0))
     r = np.log(p / p.sum()) - np.log(q / q.sum())
-    w, b = np.zeros(size), float(np.log(y.mean() / (1 - y.mean())))
-    scale = r[flat]
+    w, b = np.zeros(size, np.float32), float(np.log(y.mean() / (1 - y.mean())))
+    scale = r[flat].astype(np.float32)
     # full gradients with steps for each coordinate (Adam)
     m1, m2, c1, c2 = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.bincount(row, scale * w[flat], minlength=len(rows)) + b
         e = (sigmoid(z) - y) / len(rows)
-        g = np.bincount(flat, scale * np.repeat(e, counts), minlength=size) + ridge * w
+        g = np.bincount(flat, scale * np.repeat(e.astype(np.float32), counts), minlength=size) + ridge * w
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        w -= 0.02 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+        w -= (0.02 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         gb = e.sum()
         c1, c2 = 0.9 * c1 + 0.1 * gb, 0.99 * c2 + 0.01 * gb * gb
         b -= 0.05 * (c1 / (1 - 0.9**t)) / (np.sqrt(c2 / (1 - 0.99**t)) + 1e-8)
@@ -90,7 +94,7 @@ def _score(model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_other: int = 2000) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_other: int = 1200) -> tuple[np.ndarray, float]:
     known = labelled(labels, "toxic")
     ids = sample_ids(known.where("label = 1"), most_toxic).unionByName(sample_ids(known.where("label = 0"), most_other))
     found = texts_of(docs, ids).select("label", "text").mapInArrow(_bits, "label int, bits binary").toPandas()
@@ -99,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_other
     return fit([rows[i] for i in order], found["label"].to_numpy()[order])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_other: int = 2000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_other: int = 1200) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text; other columns are not read).
 
     labels: doc_id, toxic (0, 1; others are ignored). Rows whose id is held out are not learnt from, at
