@@ -31,8 +31,8 @@ def _sources(sized: DataFrame, weights: list[int], share: float, most: float, bl
     total = F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share))
     level = (total - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     every = every.withColumn("level", level)
-    free = F.min(F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.col("level"))).over(Window.partitionBy())
-    # the first source in this order whose limit is not met has the common level; levels only fall after it
+    free = F.max(F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.col("level"))).over(Window.partitionBy())
+    # the first source in this order whose limit is not met has the common level; after it levels only fall
     every = every.withColumn("target", F.least("limit", F.coalesce(free, F.lit(float("inf"))) * F.col("weight")))
     every = every.withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block)))
     whole = F.least(F.round(F.coalesce(F.try_divide(F.col("target") * F.col("n_blocks"), F.col("source_size")), F.lit(0.0))), F.floor(F.col("n_blocks") * F.lit(float(most))))
@@ -100,8 +100,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     nth = F.row_number().over(Window.partitionBy("doc_id", "tie", "skey").orderBy("off"))
     rows = table(rows.withColumn("off", off).select("doc_id", "skey", "tie", "size", "source_size", "target", "sid", "off").withColumn("nth", nth), "mixing-rows")
 
-    slots = _drawn(sources, seed, shard).join(sources.select("sid", "n_blocks"), "sid")
-    slots = slots.select("sid", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("j"))
+    slots = table(_drawn(sources, seed, shard), "draws").join(sources.select("sid", "n_blocks"), "sid")
+    # few rows that each stand for many slots: dealt out before they are unfolded
+    slots = slots.repartition(max(1, -(-int(sources.agg(F.sum("quota")).first()[0] or 0) // 50_000)), "sid", "shard").select("sid", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("j"))
     n = F.col("n_blocks").cast("long")
     slots = slots.select("sid", permuted(F.pmod(F.col("j"), n), n, F.col("sid"), F.floor(F.col("j") / n), F.lit(seed)).alias("block"))
     times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
