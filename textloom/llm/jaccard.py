@@ -26,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..ship import ship
 from .common import mix, release, row_key, table, text_bytes
 from .shingles import shingle_sets
 
 _SALTS = (np.uint64(0x632BE59BD9B4E019), np.uint64(0x8CB92BA72F3D8DD7))
-_ROW = "doc_id long, n int, node string, rare int, pre array<long>, second array<long>, third array<long>, toks binary"
+_ROW = "doc_id long, fp long, n int, node string, rare int, pre array<long>, second array<long>, third array<long>, toks binary"
 
 
 def _chunk_sets(t: pa.Table, width: int):
@@ -122,7 +123,7 @@ def _prefixes(width: int, percent: int):
         kinds = [pa.int32(), pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary()]
         names = ["n", "node", "rare", "pre", "second", "third", "toks"]
         cols = {k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(zip(names, kinds, strict=True))}
-        return pa.table({"doc_id": docs["doc_id"], **cols})
+        return pa.table({"doc_id": docs["doc_id"], "fp": docs["fp"], **cols})
 
     return run
 
@@ -162,21 +163,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return label
 
 
-def jaccard_classes(docs: DataFrame, percent: int = 80, width: int = 5, chunk_chars: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text; other columns are not read).
-
-    Sets are distinct ``width``-word shingles of the text, A-Z lower-cased; with fewer words, the whole
-    sequence as one; a null, empty or blank text has the empty set, links with nothing and is its own
-    component. Rows link when 100 * |A & B| >= percent * |A | B|; component_id is the smallest doc_id
-    reachable. Equal sets link, repeated rows included. A null doc_id is ignored as a smallest id unless
-    a component has no other. Empty tables give empty results.
-    """
+def _classes(docs: DataFrame, percent: int, width: int, chunk_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, n, node, ...) of every row, and (node, comp, best): best is the least (doc_id, fp) of the component."""
     spark = docs.sparkSession
     ship(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(chars / chunk_chars))
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *row_key())
-    dealt = keyed.select(F.pmod(F.xxhash64("did", "fp"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = keyed.select(F.pmod(F.xxhash64("did", "fp"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "fp", "text")
     sent = dealt.groupBy("chunk").applyInArrow(_send(width, chunks), "chunk int, block int, tokens binary, here binary")
     graded = sent.groupBy("block").applyInArrow(_count, "chunk int, block int, grades binary")
     rows = table(dealt.groupBy("chunk").cogroup(graded.groupBy("chunk")).applyInArrow(_prefixes(width, percent), _ROW), "shingle-rows")
@@ -189,12 +183,43 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, width: int = 5, chunk_ch
     posts = table(posts.join(crowd, "token"), "postings")
     links = _links(posts, nodes, percent)
 
-    first = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
-    low = first.join(links, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "low")
-    best = low.where("comp <> node or low is not null").groupBy("comp").agg(F.min("low").alias("best"))
-    ids = low.join(best, "comp", "left").select("node", "best")
-    found = rows.select("doc_id", "n", "node").join(ids, "node", "left")
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best")).otherwise(F.col("doc_id")).alias("component_id"))
+    # ids before none at all
+    me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    low = rows.where("n > 0").groupBy("node").agg(F.min(me).alias("low"))
+    low = low.join(links, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "low")
+    best = table(low.groupBy("comp").agg(F.min("low").alias("best")), "bests")
+    return rows, low.join(best, "comp").select("node", "comp", "best")
+
+
+def jaccard_classes(docs: DataFrame, percent: int = 80, width: int = 5, chunk_chars: int = 2_000_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text; other columns are not read).
+
+    Sets are distinct ``width``-word shingles of the text, A-Z lower-cased; with fewer words, the whole
+    sequence as one; a null, empty or blank text has the empty set, links with nothing and is its own
+    component. Rows link when 100 * |A & B| >= percent * |A | B|; component_id is the smallest doc_id
+    reachable. Equal sets link, repeated rows included. A null doc_id is the smallest only in a
+    component that has no other. Empty tables give empty results.
+    """
+    rows, classes = _classes(docs, percent, width, chunk_chars)
+    found = rows.select("doc_id", "n", "node").join(classes, "node", "left")
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, chunk_chars: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one row of each component of :func:`jaccard_classes` stays: the one with the least doc_id.
+
+    Rows with an empty set stay; of rows equal in doc_id and text one stays.
+    """
+    rows, classes = _classes(docs, percent, width, chunk_chars)
+    low = F.lit(-(2**63))
+    best = classes.select("best").distinct().select(F.coalesce("best.doc_id", low).alias("did"), F.col("best.fp").alias("fp"), F.lit(False).alias("blank"))
+    blank = rows.where("n = 0").select(F.coalesce("doc_id", low).alias("did"), "fp", F.lit(True).alias("blank")).distinct()
+    kept = best.unionByName(blank).withColumnsRenamed({c: f"_kept_{c}" for c in ("did", "fp", "blank")})
+    did, fp = row_key()
+    keyed = docs.withColumns({"_row_did": did, "_row_fp": fp})
+    both = keyed.join(kept, (F.col("_row_did") == F.col("_kept_did")) & (F.col("_row_fp") == F.col("_kept_fp")))
+    nth = F.row_number().over(Window.partitionBy("_row_did", "_row_fp").orderBy(F.lit(0)))
+    return both.withColumn("_row_nth", nth).where("_row_nth = 1 or _kept_blank").select(*docs.columns)
 
 
 def _links(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

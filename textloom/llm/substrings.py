@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..ship import ship
 from .common import drop_table, mix, ranges, release, row_key, spans, table, text_bytes
@@ -402,6 +403,11 @@ def _apply(extra: list[str], texts: bool):
     return run
 
 
+def _apply_schema(texts: bool) -> list[StructField]:
+    fields = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    return fields + [StructField(c, StringType()) for c in ("kept_sha256", "kept_text")[: 1 + texts]]
+
+
 def _whole_characters(whole: np.ndarray, edges: np.ndarray) -> np.ndarray:
     tail = lambda i: i < len(whole) and (whole[i] & 0xC0) == 0x80
     out = edges.copy()
@@ -423,9 +429,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_
     null or repeat, and every input row gives one row.
     """
     ship(docs.sparkSession)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *row_key())
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row_key())
     spans_ = repeated_spans(keyed, length, core, max_group)
     lists = spans_.groupBy("did", "fp").agg(F.collect_list(F.struct("b", "z")).alias("spans"))
     joined = keyed.join(lists, ["did", "fp"], "left").select("doc_id", "text", "spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
+    schema = StructType([StructField("doc_id", LongType()), *_apply_schema(texts)])
     return joined.mapInArrow(_apply(["doc_id"], texts), schema)
+
+
+def cleaned(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the repeats removed from text (see :func:`remove_repeats`), all columns; n_chars is set anew where there is one.
+
+    A character stays unless all its bytes go. A text of which nothing is left is empty.
+    """
+    ship(docs.sparkSession)
+    did, fp = row_key()
+    keyed = docs.withColumns({"_row_did": did, "_row_fp": fp})
+    plain = keyed.select(F.col("_row_did").alias("did"), F.col("_row_fp").alias("fp"), F.coalesce("text", F.lit("")).alias("text"))
+    lists = repeated_spans(plain, **options).groupBy("did", "fp").agg(F.collect_list(F.struct("b", "z")).alias("_row_spans"))
+    joined = keyed.join(lists, (F.col("_row_did") == lists.did) & (F.col("_row_fp") == lists.fp), "left")
+    others = [c for c in docs.columns if c != "text"]
+    rows = joined.select(*others, F.coalesce("text", F.lit("")).alias("text"), F.col("_row_spans").alias("spans"))
+    schema = StructType([f for f in docs.schema.fields if f.name != "text"] + _apply_schema(True))
+    out = rows.mapInArrow(_apply(others, True), schema).withColumn("text", F.col("kept_text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
