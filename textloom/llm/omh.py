@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, table
+from .common import SPACE, release, table
 
 K, FUNCTIONS, TUPLE = 5, 64, 2
+DIGITS = 8
 _PLACE = (1 << 24) - 1
 
 
@@ -31,7 +32,7 @@ def _place(v: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, text: str, out: str, k: int = K, functions: int = FUNCTIONS, tuple_size: int = TUPLE) -> DataFrame:
-    """Adds ``out``, the fingerprint of column ``text``: ``functions`` numbers in hexadecimal, joined by dots.
+    """Adds ``out``, the fingerprint of column ``text``: ``functions`` numbers of DIGITS hexadecimal digits.
 
     With fewer than ``k`` words the whole sequence is the only k-mer; a null, empty or blank text has the
     fingerprint of no k-mer, all zeros. Texts with equal words have equal fingerprints.
@@ -68,51 +69,64 @@ def fingerprints(df: DataFrame, text: str, out: str, k: int = K, functions: int
     def chosen(at: Column) -> Column:
         return F.xxhash64(F.transform(F.sort_array(F.transform(F.sequence(F.lit(0), F.least(F.lit(tuple_size), size) - 1), lambda x: _place(F.get(g, F.pmod(at + x, size))))), lambda p: F.get(m, p)))
 
-    tuples = F.transform(F.transform(F.sequence(F.lit(0), F.lit(functions - 1)), least), lambda at: F.lower(F.lpad(F.hex(chosen(at)), 16, "0")))
-    none = ".".join(["0" * 16] * functions)
-    return step3.withColumn(out, F.when(size > 0, F.array_join(tuples, ".")).otherwise(F.lit(none))).drop(w, m, s, g, steps)
+    tuples = F.transform(F.transform(F.sequence(F.lit(0), F.lit(functions - 1)), least), lambda at: F.lower(F.right(F.lpad(F.hex(chosen(at)), 16, "0"), F.lit(DIGITS))))
+    none = "0" * (DIGITS * functions)
+    return step3.withColumn(out, F.when(size > 0, F.array_join(tuples, "")).otherwise(F.lit(none))).drop(w, m, s, g, steps)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal tuples of two fingerprints."""
-    pairs = F.zip_with(F.split(a, r"\."), F.split(b, r"\."), lambda x, y: (x == y).cast("int"))
-    return F.aggregate(pairs, F.lit(0), lambda n, x: n + x) / F.size(pairs)
+    n = F.length(a) / DIGITS
+    part = lambda x, i: F.substring(x, i * DIGITS + 1, F.lit(DIGITS))
+    same = F.filter(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: part(a, i) == part(b, i))
+    return F.size(same) / n
+
+
+_LOW = -(2**63)
 
 
 def next_rows(docs: DataFrame, span: int = 4096) -> DataFrame:
-    """(doc_id, fp, nth, next_id, next_fp, next_nth): each row's successor by descending doc_id (then hash of the text, null ids last); after the last the first.
+    """(id, fp, nth, n, nid, nfp, nnth): each row's successor by descending doc_id (then hash of the text, null ids last); after the last the first.
 
-    Rows are numbered in blocks of ``span`` ids: within a block by a window, and across blocks by one row
-    for each block.
+    id is doc_id, or the least long for null; fp hashes the text; nth numbers rows equal in both; n is the length
+    of the text. Rows are ordered in blocks of ``span`` ids: within a block by a window, and across
+    blocks by one row for each block.
     """
-    ids = docs.select("doc_id", F.xxhash64("text", F.col("text").isNull()).alias("fp"))
-    order = [F.desc_nulls_last("doc_id"), F.asc("fp")]
-    block = F.coalesce(F.floor(F.col("doc_id") / span), F.lit(-(2**62))).cast("long")
-    rows = ids.withColumn("block", block).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy(F.lit(0))))
-    w = Window.partitionBy("block").orderBy(*order, "nth")
-    me = F.struct("doc_id", "fp", "nth")
-    rows = table(rows.select("doc_id", "fp", "nth", "block", F.lead(me).over(w).alias("after"), F.row_number().over(w).alias("at")), "order")
+    rows = _keyed(docs).select("id", "fp", "nth", F.length("text").alias("n"))
+    w = Window.partitionBy("block").orderBy(F.desc("id"), F.asc("fp"), F.asc("nth"))
+    me = F.struct("id", "fp", "nth")
+    rows = rows.withColumn("block", F.floor(F.col("id") / span))
+    rows = table(rows.select("id", "fp", "nth", "n", "block", F.lead(me).over(w).alias("after"), F.row_number().over(w).alias("at")), "order")
     first = rows.where("at = 1").select("block", me.alias("first"))
     across = Window.orderBy(F.desc("block"))
     top = F.first("first").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     first = first.select("block", F.coalesce(F.lead("first").over(across), top).alias("turn"))
-    found = rows.join(first, "block").select("doc_id", "fp", "nth", F.coalesce("after", "turn").alias("x"))
-    return found.select("doc_id", "fp", "nth", F.col("x.doc_id").alias("next_id"), F.col("x.fp").alias("next_fp"), F.col("x.nth").alias("next_nth"))
+    found = rows.join(first, "block").select("id", "fp", "nth", "n", F.coalesce("after", "turn").alias("x"))
+    return found.select("id", "fp", "nth", "n", F.col("x.id").alias("nid"), F.col("x.fp").alias("nfp"), F.col("x.nth").alias("nnth"))
 
 
-def edited(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with n_chars and edited: the last floor(n_chars / 2) code points give way to the first as many (or all) of the next row's text."""
-    key = lambda d: d.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy(F.lit(0))))
-    links = table(next_rows(docs), "next")
-    # rows of one id are few, but a null id may be common: its rows are told apart by the hash of their text
-    whole = key(docs.select("doc_id", "text", F.xxhash64("text", F.col("text").isNull()).alias("fp")))
-    whole = whole.select("doc_id", "fp", "nth", F.coalesce("text", F.lit("")).alias("text"))
-    low = F.lit(-(2**63))
-    mine = whole.withColumn("id", F.coalesce("doc_id", low)).join(links.select(F.coalesce("doc_id", low).alias("id"), "fp", "nth", "next_id", "next_fp", "next_nth"), ["id", "fp", "nth"])
-    other = whole.select(F.coalesce("doc_id", low).alias("nid"), F.col("fp").alias("next_fp"), F.col("nth").alias("next_nth"), F.col("text").alias("next_text"))
-    both = mine.withColumn("nid", F.coalesce("next_id", low)).join(other, ["nid", "next_fp", "next_nth"])
-    n = F.length("text")
-    return both.select("doc_id", "fp", "nth", "next_id", "next_fp", "next_nth", "text", n.alias("n_chars"), F.concat(F.expr("left(text, length(text) - cast(length(text) div 2 as int))"), F.expr("left(next_text, cast(length(text) div 2 as int))")).alias("edited"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(id, fp, nth, text): rows named by id and hash of the text, equal ones numbered; null text is empty."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("id"), F.xxhash64("text", F.col("text").isNull()).alias("fp"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "fp").orderBy(F.lit(0))))
+
+
+def _at_key(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join on (id, fp) and nth, the last kept out of the keys so that rows stay where the numbering put them."""
+    right = right.withColumnRenamed("nth", "_nth")
+    return left.join(right, ["id", "fp"]).where(F.col("nth") - F.col("_nth") == 0).drop("_nth")
+
+
+def edited(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, fp, nth, text, edited): the last floor(n / 2) code points give way to the first as many (or all) of the next row's text.
+
+    Only the beginnings that are needed travel: each row learns how much the row before it takes.
+    """
+    whole = _keyed(docs)
+    asked = links.select(F.col("nid").alias("id"), F.col("nfp").alias("fp"), F.col("nnth").alias("nth"), F.col("id").alias("pid"), F.col("fp").alias("pfp"), F.col("nth").alias("pnth"), F.expr("cast(n div 2 as int)").alias("need"))
+    heads = _at_key(whole, asked).select(F.col("pid").alias("id"), F.col("pfp").alias("fp"), F.col("pnth").alias("nth"), F.expr("left(text, need)").alias("head"))
+    both = _at_key(whole, heads)
+    return both.select("id", "fp", "nth", "text", F.concat(F.expr("left(text, length(text) - cast(length(text) div 2 as int))"), "head").alias("edited"))
 
 
 def compare_edits(docs: DataFrame, **options) -> DataFrame:
@@ -121,11 +135,16 @@ def compare_edits(docs: DataFrame, **options) -> DataFrame:
     Null text is empty. Rows may repeat or lack a doc_id: each row is one, in the order of :func:`next_rows`.
     A single row is its own next. An empty table gives an empty result.
     """
-    both = edited(docs)
-    both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    spark = docs.sparkSession
+    links = table(next_rows(docs), "next")
+    both = edited(docs, links).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     both = fingerprints(fingerprints(both, "text", "fingerprint", **options), "edited", "edited_fingerprint", **options)
-    rows = table(both.drop("text", "edited"), "fingerprints")
-    low = F.lit(-(2**63))
-    other = rows.select(F.coalesce("doc_id", low).alias("nid"), F.col("fp").alias("next_fp"), F.col("nth").alias("next_nth"), F.col("fingerprint").alias("next_fingerprint"))
-    rows = rows.withColumn("nid", F.coalesce("next_id", low)).join(other, ["nid", "next_fp", "next_nth"])
-    return rows.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    packed = both.select("id", "fp", "nth", F.unhex("fingerprint").alias("f"), F.unhex("edited_fingerprint").alias("e"), F.unhex("edited_sha256").alias("sha"))
+    rows = table(packed, "fingerprints")
+    del both, packed
+    release(spark)
+    rows = rows.join(links, ["id", "fp", "nth"])
+    other = rows.select(F.col("id").alias("nid"), F.col("fp").alias("nfp"), F.col("nth").alias("nnth"), F.lower(F.hex("f")).alias("next"))
+    found = rows.join(other, ["nid", "nfp", "nnth"]).select("id", "n", F.lower(F.hex("sha")).alias("edited_sha256"), F.lower(F.hex("f")).alias("fingerprint"), F.lower(F.hex("e")).alias("edited_fingerprint"), "next")
+    near = lambda c: likeness(F.col("fingerprint"), F.col(c))
+    return found.select(F.when(F.col("id") != _LOW, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next").alias("near_next"))
