@@ -55,31 +55,38 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["label"], pa.array(out, pa.binary())], ["label", "bits"])
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, rounds: int = 80, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights of the features (log-count ratio and coefficient in one) and the intercept."""
+def fit(rows: list[np.ndarray], label: np.ndarray, rounds: int = 80, ridge: float = 1e-3, part: int = 128) -> tuple[np.ndarray, float]:
+    """Weights of the features (log-count ratio and coefficient in one) and the intercept.
+
+    Full gradients, summed over parts of ``part`` rows so that little but the rows is in memory, with steps
+    for each coordinate (Adam).
+    """
     size = 1 << BITS
-    counts = np.array([len(r) for r in rows])
-    flat = np.concatenate([np.zeros(0, np.int32), *rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), counts)
     y = label.astype(float)
     if not len(rows) or y.min() == y.max():
         return np.zeros(size, np.float32), float(40 * (y.mean() - 0.5)) if len(rows) else 0.0
-    p, q = (np.bincount(flat[np.repeat(y == k, counts)], minlength=size) + 1.0 for k in (1, 0))
-    r = np.log(p / p.sum()) - np.log(q / q.sum())
-    w, b = np.zeros(size, np.float32), float(np.log(y.mean() / (1 - y.mean())))
-    scale = r[flat].astype(np.float32)
-    # full gradients with steps for each coordinate (Adam)
+    counts = {k: np.ones(size) for k in (0, 1)}
+    for x, k in zip(rows, label.tolist(), strict=True):
+        counts[k][x] += 1
+    r = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    v, b = np.zeros(size), float(np.log(y.mean() / (1 - y.mean())))  # v: coefficient of the scaled feature
     m1, m2, c1, c2 = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(row, scale * w[flat], minlength=len(rows)) + b
-        e = (sigmoid(z) - y) / len(rows)
-        g = np.bincount(flat, scale * np.repeat(e.astype(np.float32), counts), minlength=size) + ridge * w
+        w, g, gb = v * r, np.zeros(size), 0.0
+        for i in range(0, len(rows), part):
+            some = rows[i : i + part]
+            n = np.array([len(x) for x in some])
+            flat = np.concatenate(some)
+            z = np.bincount(np.repeat(np.arange(len(some)), n), w[flat], minlength=len(some)) + b
+            e = (sigmoid(z) - y[i : i + part]) / len(rows)
+            g += np.bincount(flat, np.repeat(e, n), minlength=size)
+            gb += e.sum()
+        g = g * r + ridge * v
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        w -= (0.02 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-        gb = e.sum()
+        v -= 0.02 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
         c1, c2 = 0.9 * c1 + 0.1 * gb, 0.99 * c2 + 0.01 * gb * gb
         b -= 0.05 * (c1 / (1 - 0.9**t)) / (np.sqrt(c2 / (1 - 0.99**t)) + 1e-8)
-    return (w * r).astype(np.float32), b
+    return (v * r).astype(np.float32), b
 
 
 def _score(model):
@@ -94,16 +101,20 @@ def _score(model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_other: int = 1200) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_other: int = 1000) -> tuple[np.ndarray, float]:
     known = labelled(labels, "toxic")
     ids = sample_ids(known.where("label = 1"), most_toxic).unionByName(sample_ids(known.where("label = 0"), most_other))
-    found = texts_of(docs, ids).select("label", "text").mapInArrow(_bits, "label int, bits binary").toPandas()
-    rows = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))).astype(np.int32) for x in found["bits"]]
-    order = sorted(range(len(rows)), key=lambda i: (found["label"][i], found["bits"][i]))
-    return fit([rows[i] for i in order], found["label"].to_numpy()[order])
+    found = texts_of(docs, ids).select("label", "text").mapInArrow(_bits, "label int, bits binary").collect()
+    found.sort(reverse=True)
+    rows, label = [], []
+    while found:
+        k, bits = found.pop()
+        rows.append(np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))).astype(np.int32))
+        label.append(k)
+    return fit(rows, np.array(label, int))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_other: int = 1200) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_other: int = 1000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text; other columns are not read).
 
     labels: doc_id, toxic (0, 1; others are ignored). Rows whose id is held out are not learnt from, at
