@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import alignment, evaluation, packing, preparation, rewards, star, text, visibility  # noqa: F401  (they register)
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
