@@ -44,11 +44,21 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, not wherever (and as often as) a lambda inside mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word_ngrams(text: Column, n: int) -> Column:
     """The ``n``-word sequences of the text, in order; none if it is shorter."""
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    count = F.size(words) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        count = F.size(w) - n + 1
+        every = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(count > 0, every).otherwise(F.array().cast("array<string>"))
+
+    return let(words, grams)
 
 
 def question_id(path: Column) -> Column:

@@ -1 +1,67 @@
-"""Queries."""
+"""Decontamination, repetition and text extraction queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import extract_code, formal_text, normalize, parameter_count, word_ngrams
+from ..operators.contamination import drop_contaminated, flag_contaminated, repetition_penalty
+from .registry import load, query
+
+_WORDS = r"list_filter(string_split_regex(trim(regexp_replace(lower({0}), '[\s\x0B\x{{85}}\x{{A0}}]+', ' ', 'g')), ' '), lambda w: w <> '')"
+_GRAMS = "CASE WHEN len({0}) >= {1} THEN list_transform(range(1, len({0}) - {1} + 2), lambda i: array_to_string({0}[i:i + {1} - 1], ' ')) ELSE [] END"
+_HITS = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), b AS (SELECT {_WORDS.format("text")} AS w FROM benchmark),
+g AS (SELECT DISTINCT unnest({_GRAMS.format("w", 8)}) AS gram FROM b),
+h AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({_GRAMS.format("w", 8)}) AS gram FROM d) x WHERE gram IN (SELECT gram FROM g))
+"""
+
+
+@query("decontaminate_ngram8", _HITS + "SELECT d.doc_id, h.doc_id IS NOT NULL AS contaminated FROM d LEFT JOIN h USING (doc_id)")
+def decontaminate_ngram8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flag_contaminated(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"), "doc_id").select("doc_id", "contaminated")
+
+
+@query("decontaminate_cleanup", _HITS + "SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h) GROUP BY source")
+def decontaminate_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flag_contaminated(load(spark, sf_dir, "documents").select("doc_id", "source", "text"), load(spark, sf_dir, "benchmark"), "doc_id", flag="contaminated_benchmark")
+    return drop_contaminated(rows).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(
+    "repetition_penalty",
+    f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), g AS (SELECT doc_id, {_GRAMS.format("w", 3)} AS g FROM d)
+    SELECT doc_id, round(CASE WHEN len(g) > 0 THEN (1 - len(list_distinct(g)) / CAST(len(g) AS DOUBLE)) * -1.0 ELSE 0.0 END, 6) + 0.0 AS reward FROM g""",
+)
+def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", (F.round(repetition_penalty(F.col("text"), 3, -1.0), 6) + F.lit(0.0)).alias("reward"))
+
+
+@query(
+    "ngram_counts",
+    f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) SELECT doc_id, length(array_to_string(w, ' ')) AS n_normal, greatest(len(w) - 7, 0) AS n_grams FROM d",
+)
+def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", F.length(normalize(F.col("text"))).cast("long").alias("n_normal"), F.size(word_ngrams(normalize(F.col("text")), 8)).cast("long").alias("n_grams"))
+
+
+_CODES = [("a", "x ```python\nprint(1)\n``` y ```python\nprint(2)\n```"), ("b", "none here"), ("c", "```cpp\nint x;\n```")]
+
+
+@query("extract_code", "SELECT * FROM (VALUES ('a', 'print(2)' || chr(10)), ('b', ''), ('c', '')) t(id, code)")
+def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_CODES, "id string, text string").select("id", extract_code(F.col("text")).alias("code"))
+
+
+@query("param_count", "SELECT * FROM (VALUES ('org/Model-7B-chat', 7000000000), ('Mix-8x7b', 56000000000), ('tiny-350m', 350000000), ('none', -1), ('a-1.5b-then-72B', 72000000000)) t(name, n)")
+def param_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([(x,) for x in ("org/Model-7B-chat", "Mix-8x7b", "tiny-350m", "none", "a-1.5b-then-72B")], "name string")
+    return names.select("name", parameter_count(F.col("name")).alias("n"))
+
+
+@query("formal_text", "SELECT doc_id, length(trim(text)) AS n FROM documents")
+def without_thoughts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrapped in thoughts and tool tags, a text comes back as it was."""
+    wrapped = F.concat(F.lit("<THINK>a\nb</think><tool_call>"), F.trim("text"), F.lit("</tool_call><|im_end|>"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.length(formal_text(wrapped)).cast("long").alias("n"))
