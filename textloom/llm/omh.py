@@ -92,7 +92,7 @@ def next_rows(docs: DataFrame, span: int = 4096) -> DataFrame:
     of the text. Rows are ordered in blocks of ``span`` ids: within a block by a window, and across
     blocks by one row for each block.
     """
-    rows = _keyed(docs).select("id", "fp", "nth", F.length("text").alias("n"))
+    rows = _keyed(docs, F.length(F.coalesce("text", F.lit(""))).alias("n"))  # without the texts
     w = Window.partitionBy("block").orderBy(F.desc("id"), F.asc("fp"), F.asc("nth"))
     me = F.struct("id", "fp", "nth")
     rows = rows.withColumn("block", F.floor(F.col("id") / span))
@@ -105,9 +105,9 @@ def next_rows(docs: DataFrame, span: int = 4096) -> DataFrame:
     return found.select("id", "fp", "nth", "n", F.col("x.id").alias("nid"), F.col("x.fp").alias("nfp"), F.col("x.nth").alias("nnth"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(id, fp, nth, text): rows named by id and hash of the text, equal ones numbered; null text is empty."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("id"), F.xxhash64("text", F.col("text").isNull()).alias("fp"), F.coalesce("text", F.lit("")).alias("text"))
+def _keyed(docs: DataFrame, column: Column) -> DataFrame:
+    """(id, fp, nth, ``column``): rows named by id and hash of the text, equal ones numbered."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("id"), F.xxhash64("text", F.col("text").isNull()).alias("fp"), column)
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "fp").orderBy(F.lit(0))))
 
 
@@ -122,7 +122,7 @@ def edited(docs: DataFrame, links: DataFrame) -> DataFrame:
 
     Only the beginnings that are needed travel: each row learns how much the row before it takes.
     """
-    whole = _keyed(docs)
+    whole = _keyed(docs, F.coalesce("text", F.lit("")).alias("text"))
     asked = links.select(F.col("nid").alias("id"), F.col("nfp").alias("fp"), F.col("nnth").alias("nth"), F.col("id").alias("pid"), F.col("fp").alias("pfp"), F.col("nth").alias("pnth"), F.expr("cast(n div 2 as int)").alias("need"))
     heads = _at_key(whole, asked).select(F.col("pid").alias("id"), F.col("pfp").alias("fp"), F.col("pnth").alias("nth"), F.expr("left(text, need)").alias("head"))
     both = _at_key(whole, heads)
