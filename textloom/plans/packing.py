@@ -61,10 +61,11 @@ def knapsack_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MASKS = [(0, [1, 1, 2, 2, 2, 0]), (1, [1, 2, 2, 3, 3, 3])]
 
 
-@query("seqlens", "SELECT * FROM (VALUES (0, [2, 3], [0, 2, 5]), (1, [1, 2, 3], [0, 1, 3, 6])) t(id, lengths, offsets)")
+@query("seqlens", "SELECT * FROM (VALUES (0, '2,3', '0,2,5'), (1, '1,2,3', '0,1,3,6')) t(id, lengths, offsets)")
 def seqlens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(_MASKS, "id int, mask array<int>").select("id", P.segment_lengths(F.col("mask")).alias("lengths"))
-    return rows.select("id", "lengths", P.cumulative(F.col("lengths")).alias("offsets"))
+    join = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return rows.select("id", join(F.col("lengths")).alias("lengths"), join(P.cumulative(F.col("lengths"))).alias("offsets"))
 
 
 @query(
