@@ -39,6 +39,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._textloom_path = path
+    if len(_made) % 5 == 0:  # iterative operators leave many spent plans behind
+        release(spark)
     return out
 
 
