@@ -1 +1,111 @@
-"""Queries."""
+"""Sampling, mixing, splitting, resuming and metric queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import metrics as M
+from ..operators import preparation as P
+from .registry import load, query
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+
+
+_RANK = "row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id)"
+
+
+@query(
+    "mixture_weighted",
+    f"WITH r AS (SELECT doc_id, lang, {_RANK} AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang FROM r WHERE (lang = 'en' AND k <= floor(n * 0.25)) OR (lang = 'fr' AND k <= floor(n * 0.5)) OR lang = 'de'",
+)
+def mixture_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "lang")
+    parts = [P.Part(docs.where(F.col("lang") == x), w) for x, w in (("en", 0.25), ("fr", 0.5), ("de", None))]
+    return P.Mixture(parts, "doc_id").build()["train"]
+
+
+@query("split_exact", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id) AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN k <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS part FROM r")
+def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = P.split(_docs(spark, sf_dir).select("doc_id"), "doc_id", 0.2)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+def _turns(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "lang")
+    mixed = P.interleave([docs.where(F.col("lang") == x) for x in ("en", "fr", "de")], ["doc_id"], strategy)
+    return mixed.select(F.col("_at").alias("place"), "doc_id")
+
+
+_TURNS = """WITH p AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS part, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('en', 'fr', 'de')),
+s AS (SELECT {0}(n) AS r FROM p), k AS (SELECT unnest(range(0, r)) AS k FROM s) SELECT CAST(k * 3 + part AS BIGINT) AS place, doc_id FROM k JOIN p ON i = k % n"""
+
+
+@query("interleave_under", _TURNS.format("min"))
+def interleave_under(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir, "interleave_under")
+
+
+@query("interleave_over", _TURNS.format("max"))
+def interleave_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir, "interleave_over")
+
+
+@query("resume_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = load(spark, sf_dir, "labels")
+    return P.resume(_docs(spark, sf_dir).select("doc_id"), [labels.where("quality = 1"), labels.where("toxic = 1")], "doc_id")
+
+
+@query("resume_semi", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def resume_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", "source").join(load(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi")
+
+
+@query("batches", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM documents")
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.batches(_docs(spark, sf_dir).select("doc_id"), ["doc_id"], 64)
+
+
+@query("sample_exact", "SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id LIMIT 100")
+def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.exact_sample(_docs(spark, sf_dir).select("doc_id"), "doc_id", 100)
+
+
+@query("length_cdf", "WITH b AS (SELECT CAST(n_chars // 1000 * 1000 AS BIGINT) AS bucket, count(*) AS n FROM documents GROUP BY 1) SELECT bucket, n, CAST(sum(n) OVER (ORDER BY bucket) AS BIGINT) AS running, round(sum(n) OVER (ORDER BY bucket) / sum(n) OVER () * 100, 6) AS percent FROM b")
+def length_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.length_cdf(_docs(spark, sf_dir), F.col("n_chars"), 1000).withColumn("percent", F.round("percent", 6))
+
+
+@query("category_accuracy_rollup", "SELECT coalesce(lang, 'Average') AS lang, round(avg(CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0.0 END) * 100, 6) AS accuracy, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang), ())")
+def category_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "labels").join(_docs(spark, sf_dir), "doc_id").withColumn("guess", 1 - F.col("toxic"))
+    return M.category_accuracy(rows, "lang", "guess", "quality").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(
+    "ema_smooth",
+    """WITH RECURSIVE d AS (SELECT CAST(ts AS DATE) AS day, sum(value) AS v FROM events GROUP BY 1), o AS (SELECT v, row_number() OVER (ORDER BY day) AS i, count(*) OVER () AS n FROM d),
+    w AS (SELECT v, i, 1.8 * (1 / (1 + exp(-0.05 * n)) - 0.5) AS w FROM o), r AS (SELECT i, v AS s FROM w WHERE i = 1 UNION ALL SELECT w.i, r.s * w.w + (1 - w.w) * w.v FROM r JOIN w ON w.i = r.i + 1)
+    SELECT CAST(i AS INTEGER) AS i, round(s, 4) AS value FROM r""",
+)
+def ema_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = load(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
+    series = days.agg(F.array_sort(F.collect_list(F.struct("day", "v"))).alias("s")).select(F.transform("s", lambda x: x["v"]).alias("s"))
+    return series.select(F.posexplode_outer(M.smooth(F.col("s"))).alias("i", "value")).select((F.col("i") + 1).alias("i"), F.round("value", 4).alias("value"))
+
+
+@query("side_means", "SELECT round(avg(n_chars) FILTER (quality = 1), 6) AS chosen, round(avg(n_chars) FILTER (quality = 0), 6) AS rejected, round(avg(n_chars) FILTER (quality = 1) - avg(n_chars) FILTER (quality = 0), 6) AS margin FROM labels JOIN documents USING (doc_id)")
+def side_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "labels").join(_docs(spark, sf_dir), "doc_id").withColumn("good", F.col("quality") == 1)
+    return M.side_means(rows, "good", "n_chars").select(*(F.round(c, 6).alias(c) for c in ("chosen", "rejected", "margin")))
+
+
+@query("text_similarity")
+def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item against the next one."""
+    b = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("label"))
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("label").alias("predicted"))
+    return M.similarity(b.join(other, "item_id"), "predicted", "label").select("item_id", "rouge_1", "rouge_2", "rouge_l", "bleu_4")

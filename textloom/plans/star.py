@@ -1 +1,43 @@
-"""Queries."""
+"""Smoke queries on the star schema: scan, join, aggregate, window, set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .registry import load, query
+
+
+@query(
+    "pricing_summary",
+    "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2",
+)
+def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus")
+    return rows.agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query(
+    "revenue_by_nation",
+    """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name""",
+)
+def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o, li, n = (load(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "nation"))
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query(
+    "top_orders",
+    "SELECT o_custkey, o_orderkey, k FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) q WHERE k <= 3",
+)
+def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three dearest orders of each customer (the limit is the feature)."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice").withColumn("k", F.row_number().over(w).cast("long")).where("k <= 3").select("o_custkey", "o_orderkey", "k")
+
+
+@query("idle_customers", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def idle_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").select("c_custkey").join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
