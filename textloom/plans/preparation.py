@@ -109,3 +109,20 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("label"))
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("label").alias("predicted"))
     return M.similarity(b.join(other, "item_id"), "predicted", "label").select("item_id", "rouge_1", "rouge_2", "rouge_l", "bleu_4")
+
+
+@query("rule_merge")
+def rule_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of documents as rules, merged by levels."""
+    from ..functions.text import sentences
+    from ..operators.rules import keep_first_words, merge_rules
+
+    rules = load(spark, sf_dir, "documents").select(sentences(F.col("text")).alias("rules"))
+    return merge_rules(rules, keep_first_words, budget=20_000, levels=3)
+
+
+@query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.incremental import windowed_counts
+
+    return windowed_counts(load(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
