@@ -2,73 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop_table, release, table  # noqa: F401  (the operators take them from here)
+
 #: A word is a maximal run of characters other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.textloom.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.textloom.shared.dir", found)
-        _made.append((spark, found))
-    return found.rstrip("/")
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._textloom_path = path
-    if len(_made) % 5 == 0:  # iterative operators leave many spent plans behind
-        release(spark)
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a table made by :func:`table` once nothing reads it any more."""
-    _delete(df.sparkSession, df._textloom_path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer referenced, rather than at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended
-            pass
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
