@@ -66,8 +66,12 @@ def fingerprints(df: DataFrame, text: str, out: str, k: int = K, functions: int
 
     size = F.size(g)
 
+    # the place above the hash: in the order of the text
+    turned = lambda v: F.shiftleft(v.bitwiseAND(F.lit(_PLACE)), 39).bitwiseOR(F.shiftright(v, 24))
+
     def chosen(at: Column) -> Column:
-        return F.xxhash64(F.transform(F.sort_array(F.transform(F.sequence(F.lit(0), F.least(F.lit(tuple_size), size) - 1), lambda x: _place(F.get(g, F.pmod(at + x, size))))), lambda p: F.get(m, p)))
+        picked = F.transform(F.sequence(F.lit(0), F.least(F.lit(tuple_size), size) - 1), lambda x: turned(F.get(g, F.pmod(at + x, size))))
+        return F.xxhash64(F.transform(F.sort_array(picked), lambda v: v.bitwiseAND(F.lit((1 << 39) - 1))))
 
     tuples = F.transform(F.transform(F.sequence(F.lit(0), F.lit(functions - 1)), least), lambda at: F.lower(F.right(F.lpad(F.hex(chosen(at)), 16, "0"), F.lit(DIGITS))))
     none = "0" * (DIGITS * functions)

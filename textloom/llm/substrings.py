@@ -444,14 +444,12 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
     """
     ship(docs.sparkSession)
     did, fp = row_key()
-    keyed = docs.withColumns({"_row_did": did, "_row_fp": fp})
-    plain = keyed.select(F.col("_row_did").alias("did"), F.col("_row_fp").alias("fp"), F.coalesce("text", F.lit("")).alias("text"))
-    lists = repeated_spans(plain, **options).groupBy("did", "fp").agg(F.collect_list(F.struct("b", "z")).alias("_row_spans"))
-    joined = keyed.join(lists, (F.col("_row_did") == lists.did) & (F.col("_row_fp") == lists.fp), "left")
-    others = [c for c in docs.columns if c != "text"]
-    rows = joined.select(*others, F.coalesce("text", F.lit("")).alias("text"), F.col("_row_spans").alias("spans"))
-    schema = StructType([f for f in docs.schema.fields if f.name != "text"] + _apply_schema(True))
-    out = rows.mapInArrow(_apply(others, True), schema).withColumn("text", F.col("kept_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    at = docs.columns.index("text")
+    held = [f"_c{i}" for i in range(len(docs.columns)) if i != at]  # names of docs may be any
+    keyed = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns) if i != at), F.coalesce("text", F.lit("")).alias("text"), did, fp)
+    lists = repeated_spans(keyed.select("did", "fp", "text"), **options).groupBy("did", "fp").agg(F.collect_list(F.struct("b", "z")).alias("spans"))
+    rows = keyed.join(lists, ["did", "fp"], "left").select(*held, "text", "spans")
+    kinds = [StructField(f"_c{i}", f.dataType) for i, f in enumerate(docs.schema.fields) if i != at]
+    out = rows.mapInArrow(_apply(held, True), StructType(kinds + _apply_schema(True)))
+    length = F.length("kept_text")
+    return out.select(*((F.col("kept_text") if i == at else length.cast(f.dataType) if f.name == "n_chars" else F.col(f"_c{i}")).alias(f.name) for i, f in enumerate(docs.schema.fields)))
