@@ -235,6 +235,8 @@ def _run(ranks, pattern: str, passed: list[str], ids: bool, remember: int, most:
                 if ids:
                     cols["ids"] = pa.array([f[3] if f[3] is not None else [] for f in found], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(cols)
+        bpe.forget()  # the worker may live on, and others need the memory
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -248,7 +250,7 @@ def _blocks(bpe: Bpe, text: str, remember: int, block: int) -> Iterator[np.ndarr
         yield bpe.ids(part)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, remember: int = 200_000, most: int = 2_000_000, block: int = 100_000) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False, remember: int = 60_000, most: int = 1_000_000, block: int = 100_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256 and, with ``ids``, ids: array<int>.
 
     ``docs`` has doc_id and text; other columns are not read. Null and empty texts have no tokens; every
