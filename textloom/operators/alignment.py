@@ -117,7 +117,8 @@ def alternating(data: Column) -> Column:
 def split_dialogue(text: Column, human: str = "Human:", assistant: str = "Assistant:") -> Column:
     """Turns of a text that marks speakers; what stands before the first mark is not a turn."""
     marked = F.replace(F.replace(text, F.lit(human), F.lit("\x01h")), F.lit(assistant), F.lit("\x01a"))
-    parts = F.slice(F.split(marked, "\x01"), 2, 2**31 - 1)
+    parts = F.split(marked, "\x01")
+    parts = F.slice(parts, F.lit(2), F.size(parts) - 1)
     return F.transform(parts, lambda p: F.struct(F.when(p.startswith("h"), "human").otherwise("gpt").alias("from"), F.trim(F.substring(p, 2, 2**31 - 1)).alias("value")))
 
 

@@ -53,7 +53,7 @@ def read_key_points(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_raw_key_points(spark: SparkSession, folder: str) -> DataFrame:
     """query_id, question, source and its points; the key ``null`` is no source."""
-    files = spark.read.option("pathGlobFilter", "[0-9]*[0-9].json").text(folder, wholetext=True)
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).where(F.input_file_name().rlike(r"/\d+\.json$"))
     schema = "question string, key_points map<string,array<struct<point_number:int,point_content:string>>>"
     rows = files.select(question_id(F.input_file_name()).alias("query_id"), F.from_json("value", schema).alias("p"))
     return rows.select("query_id", "p.question", F.explode_outer("p.key_points").alias("source", "points")).withColumn("source", F.nullif("source", F.lit("null")))
