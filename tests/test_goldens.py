@@ -156,7 +156,9 @@ def test_text(spark):
     assert one(spark, T.formal_text(F.lit("<think>x</think> a <|im_end|>"))) == "a"
     assert one(spark, T.add_thought(T.remove_thought(F.lit("<think>\nx\n</think>\n\nb")))) == "<think>\n\n</think>\n\nb"
     assert one(spark, T.parse_rule_list(F.lit('x ["a", " ", "b"] y'))) == ["a", "b"] and one(spark, T.parse_rule_list(F.lit('- "a" and "b"'))) == ["a", "b"]
-    assert one(spark, T.method_name(F.lit("autogeo_api"), F.lit("GEO-Bench x"), F.lit("gpt"))) == "autogeo_api_geo_bench_x_gpt"
+    assert one(spark, T.method_name(F.lit("rewrite_api"), F.lit("Some-Set x"), F.lit("gpt"))) == "rewrite_api_some_set_x_gpt"
+    assert tuple(one(spark, T.parse_method_name(F.lit("Rewrite_API_some_set_gpt"), ["rewrite", "Rewrite_API"]))) == ("rewrite_api", "some-set", "gpt")
+    assert one(spark, T.parse_method_name(F.lit("other_set_gpt"), ["rewrite"])) is None
     assert one(spark, T.verdict(F.lit(0.0), F.lit("Time limit exceeded"))) == "TLE" and one(spark, T.verdict(F.lit(0.4), F.lit(None).cast("string"))) == "PA"
     assert one(spark, T.trim_padding(F.array(*map(F.lit, [0, 0, 5, 0, 6])), 0)) == [5, 0, 6] and one(spark, T.trim_padding(F.array(*map(F.lit, [5, 0, 0])), 0, "right")) == [5]
     assert one(spark, T.word_ngrams(F.lit("a b c"), 2)) == ["a b", "b c"] and one(spark, T.word_ngrams(F.lit("a"), 2)) == []

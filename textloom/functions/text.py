@@ -127,10 +127,11 @@ def method_name(method: Column, dataset: Column, engine: Column) -> Column:
     return F.concat_ws("_", method, F.regexp_replace(F.lower(dataset), "[- ]", "_"), engine)
 
 
-def parse_method_name(name: Column) -> Column:
-    """method, dataset and engine of a name; the engine is its last part, known methods are matched without regard to case."""
+def parse_method_name(name: Column, methods: list[str]) -> Column:
+    """method, dataset and engine of a name; the engine is its last part; ``methods`` are matched without regard to case, longer ones first. Null for another method."""
     low = F.lower(name)
-    method = F.regexp_extract(low, r"^(vanilla|autogeo_api|autogeo_mini|autogeo)(?:_|$)", 1)
+    known = "|".join(rf"\Q{m.lower()}\E" for m in sorted(methods, key=len, reverse=True))
+    method = F.regexp_extract(low, rf"^({known})(?:_|$)", 1)
     parts = F.split(low, "_")
     rest = F.substring(low, F.length(method) + 2, F.length(low))
     engine = F.try_element_at(parts, F.lit(-1))

@@ -119,7 +119,7 @@ def split_dialogue(text: Column, human: str = "Human:", assistant: str = "Assist
     marked = F.replace(F.replace(text, F.lit(human), F.lit("\x01h")), F.lit(assistant), F.lit("\x01a"))
     parts = F.split(marked, "\x01")
     parts = F.slice(parts, F.lit(2), F.size(parts) - 1)
-    return F.transform(parts, lambda p: F.struct(F.when(p.startswith("h"), "human").otherwise("gpt").alias("from"), F.trim(F.substring(p, 2, 2**31 - 1)).alias("value")))
+    return F.transform(parts, lambda p: F.struct(F.when(p.startswith("h"), "human").otherwise("gpt").alias("from"), F.regexp_replace(F.substring(p, 2, 2**31 - 1), r"^\s+|\s+$", "").alias("value")))
 
 
 def last_exchange(text: Column, human: str = "\n\nHuman: ", assistant: str = "\n\nAssistant: ") -> Column:
