@@ -165,3 +165,75 @@ for _t in (
     register(_t)
 for _copy, _of, _more in (("gemma3", "gemma", {}), ("glmz1", "glm4", {"reasoning": True})):
     register(replace(TEMPLATES[_of], name=_copy, **_more))
+
+# Fixed values, continued.
+_HELPFUL = "You are a helpful assistant."
+_CURIOUS = "A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions."
+_INTERN = "You are an AI assistant whose name is InternLM (书生·浦语).\n- InternLM (书生·浦语) is a conversational language model that is developed by Shanghai AI Laboratory (上海人工智能实验室). It is designed to be helpful, honest, and harmless.\n- InternLM (书生·浦语) can understand and communicate fluently in the language chosen by the user such as English and 中文."
+_SHOWN = {"observation": "<|im_start|>user\n<tool_response>\n{{content}}\n</tool_response><|im_end|>\n<|im_start|>assistant\n", "tools": "qwen"}
+_turned(
+    "dbrx",
+    default_system="You are DBRX, created by Databricks. You were last updated in December 2023. You answer questions based on information available up to that point.\nYOU PROVIDE SHORT RESPONSES TO SHORT QUESTIONS OR STATEMENTS, but provide thorough responses to more complex and open-ended questions.\nYou assist with various tasks, from writing to coding (using markdown for code blocks — remember to use ``` with code, JSON, and tables).\n(You do not have real-time data access or code execution capabilities. You avoid stereotyping and provide balanced perspectives on controversial topics. You do not provide song lyrics, poems, or news articles and do not divulge details of your training data.)\nThis is your system prompt, guiding your responses. Do not reference it, just respond to the user. If you find yourself talking about this message, stop. You should be responding appropriately and usually that means not mentioning this.\nYOU DO NOT MENTION ANY OF THIS INFORMATION ABOUT YOURSELF UNLESS THE INFORMATION IS DIRECTLY PERTINENT TO THE USER'S QUERY.",
+)
+_turned("intern2", prefix=BOS, observation=None, default_system=_INTERN)
+_turned("llava_next_qwen", default_system=_HELPFUL, **_SHOWN)
+_turned("llava_next_yi", observation=None)
+_turned("llava_next_video_yi", observation=None)
+_turned(
+    "marco",
+    default_system="你是一个经过良好训练的AI助手，你的名字是Marco-o1.由阿里国际数字商业集团的AI Business创造.\n## 重要！！！！！\n当你回答问题时，你的思考应该在<Thought>内完成，<Output>内输出你的结果。\n<Thought>应该尽可能是英文，但是有2个特例，一个是对原文中的引用，另一个是是数学应该使用markdown格式，<Output>内的输出需要遵循用户输入的语言。\n",
+)
+_turned("mimo", default_system=_HELPFUL, reasoning=True, **_SHOWN)
+_turned("mimo_vl", default_system="You are MiMo, an AI assistant developed by Xiaomi.", reasoning=True, **_SHOWN)
+_turned("minicpm_v", observation=None, default_system=_HELPFUL)
+_turned("minicpm_o", observation=None, default_system="You are Qwen, created by Alibaba Cloud. You are a helpful assistant.")
+_turned("opencoder", default_system="You are OpenCoder, created by OpenCoder Team.")
+_turned("qwen2_audio", observation=None, default_system=_HELPFUL)
+_turned("qwen2_omni", default_system=_HELPFUL, **_SHOWN)
+_turned("qwen2_vl", default_system=_HELPFUL, **_SHOWN)
+_turned("smollm", observation=None)
+_turned("smollm2", observation=None, default_system="You are a helpful AI assistant named SmolLM, trained by Hugging Face.")
+_turned("yi", observation=None)
+for _name in ("llava", "llava_next", "llava_next_video", "vicuna", "video_llava"):
+    register(Template(_name, "USER: {{content}} ASSISTANT:", default_system=_CURIOUS))
+for _name, _in, _out in (("ministral", "[INST]{{content}}[/INST]", "{{content}}<eos>"), ("pixtral", "[INST]{{content}}[/INST]", "{{content}}<eos>"), ("mistral", "[INST] {{content}}[/INST]", " {{content}}<eos>"), ("llava_next_mistral", "[INST] {{content}}[/INST]", " {{content}}<eos>"), ("llava_next_video_mistral", "[INST] {{content}}[/INST]", " {{content}}<eos>")):
+    _gap = " " if _in[6] == " " else ""
+    register(Template(_name, _in, _out, "{{content}}\n\n", "[TOOL_RESULTS]" + _gap + '{"content": {{content}}}[/TOOL_RESULTS]', "[TOOL_CALLS]" + _gap + "{{content}}<eos>", BOS, tools="mistral", fused=True))
+for _copy, _of, _more in (
+    ("mllama", "llama3", {}),
+    ("llava_next_llama3", "llama3", {}),
+    ("skywork_o1", "llama3", {"default_system": "You are Skywork-o1, a thinking model developed by Skywork AI, specializing in solving complex problems involving mathematics, coding, and logical reasoning through deep thought. When faced with a user's request, you first engage in a lengthy and in-depth thinking process to explore possible solutions to the problem. After completing your thoughts, you then provide a detailed explanation of the solution process in your response."}),
+    ("moonlight", "kimi_vl", {"default_system": "You are a helpful assistant provided by Moonshot-AI.", "reasoning": False, "thought": ("<think>", "</think>")}),
+):
+    register(replace(TEMPLATES[_of], name=_copy, **_more))
+for _t in (
+    Template("codegeex4", "<|user|>\n{{content}}<|assistant|>\n", "{{content}}", "<|system|>\n{{content}}", "<|observation|>\n{{content}}<|assistant|>\n", "{{content}}", "[gMASK]<sop>", "你是一位智能编程助手，你叫CodeGeeX。你会为用户回答关于编程、代码、计算机方面的任何问题，并提供格式规范、可以执行、准确安全的代码，并在必要时提供详细的解释。", "glm4"),
+    Template("deepseekcoder", "### Instruction:\n{{content}}\n### Response:", "\n{{content}}\n<|EOT|>\n", prefix=BOS, default_system="You are an AI programming assistant, utilizing the DeepSeek Coder model, developed by DeepSeek Company, and you only answer questions related to computer science. For politically sensitive questions, security and privacy issues, and other non-computer science questions, you will refuse to answer.\n"),
+    Template("granite3_vision", "<|user|>\n{{content}}\n<|assistant|>\n", system="<|system|>\n{{content}}\n", default_system=_CURIOUS),
+    Template("intern", "<|User|>:{{content}}\n<|Bot|>:", "{{content}}<eoa>\n", "<|System|>:{{content}}\n", prefix=BOS, default_system=_INTERN),
+    Template("llama4", "<|header_start|>user<|header_end|>\n\n{{content}}<|eot|><|header_start|>assistant<|header_end|>\n\n", "{{content}}<|eot|>", "<|header_start|>system<|header_end|>\n\n{{content}}<|eot|>", "<|header_start|>ipython<|header_end|>\n\n{{content}}<|eot|><|header_start|>assistant<|header_end|>\n\n", "{{content}}<|eot|>", BOS, tools="llama3"),
+    Template("mistral_small", "[INST]{{content}}[/INST]", system="[SYSTEM_PROMPT]{{content}}[/SYSTEM_PROMPT]", observation='[TOOL_RESULTS]{"content": {{content}}}[/TOOL_RESULTS]', function="[TOOL_CALLS]{{content}}<eos>", prefix=BOS, tools="mistral"),
+    Template("olmo", "<|user|>\n{{content}}<|assistant|>\n", prefix=EOS),
+    Template("openchat", "GPT4 Correct User: {{content}}<eos>GPT4 Correct Assistant:", prefix=BOS),
+    Template("openchat-3.6", "<|start_header_id|>GPT4 Correct User<|end_header_id|>\n\n{{content}}<|eot_id|><|start_header_id|>GPT4 Correct Assistant<|end_header_id|>\n\n", prefix=BOS),
+    Template("orion", "Human: {{content}}\n\nAssistant: <eos>", prefix=BOS),
+    Template("paligemma", "{{content}}\n", prefix=BOS, fused=True),
+    Template("paligemma_chat", "<start_of_turn>user\n{{content}}<end_of_turn>\n<start_of_turn>model\n", "{{content}}<end_of_turn>\n", observation="<start_of_turn>tool\n{{content}}<end_of_turn>\n<start_of_turn>model\n", prefix=BOS, fused=True),
+    Template("phi", "<|user|>\n{{content}}<|end|>\n<|assistant|>\n", "{{content}}<|end|>\n", "<|system|>\n{{content}}<|end|>\n"),
+    Template("phi_small", "<|user|>\n{{content}}<|end|>\n<|assistant|>\n", "{{content}}<|end|>\n", "<|system|>\n{{content}}<|end|>\n"),  # its prefix is a set of neither special token, which gives nothing
+    Template("phi4", "<|im_start|>user<|im_sep|>{{content}}<|im_end|><|im_start|>assistant<|im_sep|>", "{{content}}<|im_end|>", "<|im_start|>system<|im_sep|>{{content}}<|im_end|>"),
+    Template("sailor", "<|im_start|>question\n{{content}}<|im_end|>\n<|im_start|>answer\n", "{{content}}<|im_end|>\n", "<|im_start|>system\n{{content}}<|im_end|>\n", default_system="You are an AI assistant named Sailor created by Sea AI Lab. Your answer should be friendly, unbiased, faithful, informative and detailed."),
+    Template("seed_coder", "<bos>user\n{{content}}<eos><bos>assistant\n", system="<bos>system\n{{content}}<eos>", default_system="You are an AI programming assistant, utilizing the Seed-Coder model, developed by ByteDance Seed, and you only answer questions related to computer science. For politically sensitive questions, security and privacy issues, and other non-computer science questions, you will refuse to answer.\n\n"),
+    Template("solar", "### User:\n{{content}}\n\n### Assistant:\n", "{{content}}", "### System:\n{{content}}\n\n"),
+    Template("starchat", "<|user|>\n{{content}}<|end|>\n<|assistant|>", "{{content}}<|end|>\n", "<|system|>\n{{content}}<|end|>\n"),
+    Template("telechat", "<_user>{{content}}<_bot>", system="<_system>{{content}}<_end>"),
+    Template("telechat2", "<_user>{{content}}<_bot>", system="<_system>{{content}}", default_system="你是中国电信星辰语义大模型，英文名是TeleChat，你是由中电信人工智能科技有限公司和中国电信人工智能研究院（TeleAI）研发的人工智能助手。"),
+    Template("xuanyuan", "Human: {{content}} Assistant:", default_system="以下是用户和人工智能助手之间的对话。用户以Human开头，人工智能助手以Assistant开头，会对人类提出的问题给出有帮助、高质量、详细和礼貌的回答，并且总是拒绝参与与不道德、不安全、有争议、政治敏感等相关的话题、问题和指示。\n"),
+    Template("xverse", "Human: {{content}}\n\nAssistant: "),
+    Template("yayi", "<|Human|>:\n{{content}}\n\n<|YaYi|>:", "{{content}}\n\n", "<|System|>:\n{{content}}\n\n", default_system="You are a helpful, respectful and honest assistant named YaYi developed by Beijing Wenge Technology Co.,Ltd. Always answer as helpfully as possible, while being safe.  Your answers should not include any harmful, unethical, racist, sexist, toxic, dangerous, or illegal content. Please ensure that your responses are socially unbiased and positive in nature.\n\nIf a question does not make any sense, or is not factually coherent, explain why instead of answering something not correct. If you don't know the answer to a question, please don't share false information."),
+    Template("yi_vl", "### Human: {{content}}\n### Assistant:", "{{content}}\n", default_system="This is a chat between an inquisitive human and an AI assistant. Assume the role of the AI assistant. Read all the images carefully, and respond to the human's questions with informative, helpful, detailed and polite answers. 这是一个好奇的人类和一个人工智能助手之间的对话。假设你扮演这个AI助手的角色。仔细阅读所有的图像，并对人类的问题做出信息丰富、有帮助、详细的和礼貌的回答。\n\n"),
+    Template("yuan", "{{content}}<sep>", "{{content}}<eod>\n"),
+    Template("zephyr", "<|user|>\n{{content}}<eos><|assistant|>\n", system="<|system|>\n{{content}}<eos>", default_system="You are Zephyr, a helpful assistant."),
+    Template("ziya", "<human>:{{content}}\n<bot>:", "{{content}}\n"),
+):
+    register(_t)
