@@ -170,3 +170,12 @@ def few_shot(question: Column, choices: dict[str, Column], answer: Column, suppo
     past = F.flatten(F.transform(support, lambda s: F.array(turn("user", asked(s["question"], {k: s[k] for k in choices})), turn("assistant", s["answer"]))))
     turns = F.concat(past, F.array(turn("user", asked(question, choices)), turn("assistant", answer)))
     return F.transform(turns, lambda t, i: F.struct(t["role"].alias("role"), F.when(i == 0, F.concat(F.lit(head[0]), subject, F.lit(head[1]), t["content"])).otherwise(t["content"]).alias("content")))
+
+
+def resolve_media(df: DataFrame, files: DataFrame, folder: str, key: str, column: str = "_images") -> DataFrame:
+    """Media names that exist below ``folder`` become paths, others stay; files: path. A null or empty list is null."""
+    there = files.select(F.regexp_replace("path", r"^file:/*", "/").alias("_path")).distinct()
+    refs = df.select(key, F.posexplode_outer(column).alias("_i", "_ref")).withColumn("_path", F.concat(F.lit(folder.rstrip("/") + "/"), "_ref"))
+    found = refs.join(there.withColumn("_there", F.lit(True)), "_path", "left").where("_ref is not null")
+    lists = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", F.when(F.col("_there"), F.col("_path")).otherwise(F.col("_ref")).alias("p")))).alias("_m"))
+    return df.drop(column).join(lists.select(key, F.transform("_m", lambda m: m["p"]).alias(column)), key, "left")
