@@ -46,3 +46,21 @@ def test_default_dialect():
         tools.render_calls("glm4", [("a", "{}"), ("b", "{}")])
     text = tools.list_tools([{"name": "t", "description": "d", "parameters": {"properties": {"a": {"type": "string", "description": "x", "enum": ["1", "2"]}, "b": {"type": "array", "items": {"type": "number"}}}, "required": ["a"]}}])
     assert "  - a (string, required): x, should be one of [1, 2]\n" in text and "where each item should be number" in text
+
+
+def test_inference():
+    def apply(turns, ask, default="Be kind."):
+        if turns[0]["role"] != "system":
+            turns = [{"role": "system", "content": default}, *turns]
+        out = "".join(f"<|im_start|>{t['role']}\n{t['content']}<|im_end|>\n" for t in turns)
+        return "<s>" + out + "<|im_start|>assistant\n" * ask
+
+    got = templates.infer_template("mine", apply, "<s>")
+    want = templates.TEMPLATES["chatml"]
+    assert (got.user, got.assistant.removeprefix("<|im_start|>assistant\n"), got.system, got.prefix, got.default_system) == (want.user, want.assistant, want.system, "<s>", "Be kind.")
+
+
+def test_modelfile():
+    got = templates.to_modelfile(templates.TEMPLATES["qwen"], "", "<|im_end|>", ("<|im_start|>",))
+    assert got.startswith('FROM .\n\nTEMPLATE """{{ if .System }}<|im_start|>system\n{{ .System }}<|im_end|>\n{{ end }}')
+    assert 'SYSTEM """You are Qwen' in got and got.count("PARAMETER stop") == 2

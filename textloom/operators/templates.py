@@ -6,6 +6,7 @@ stand for the tokenizer's own tokens.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
@@ -237,3 +238,38 @@ for _t in (
     Template("ziya", "<human>:{{content}}\n<bot>:", "{{content}}\n"),
 ):
     register(_t)
+
+
+def to_modelfile(t: Template, bos: str, eos: str, stops: tuple[str, ...] = (), context: int = 4096) -> str:
+    """The template as a model file with Go template text, for a local model runner."""
+
+    def shown(slot: str, name: str) -> str:
+        return slot.replace(BOS, bos).replace(EOS, eos).replace("{{content}}", "{{ " + name + " }}", 1)
+
+    body = [shown(t.prefix, ""), "{{ if .System }}", shown(t.system, ".System"), "{{ end }}{{ range .Messages }}"]
+    body += ['{{ if eq .Role "user" }}', shown(t.user, ".Content"), '{{ else if eq .Role "assistant" }}', shown(t.assistant, ".Content"), "{{ end }}{{ end }}"]
+    parts = ["FROM .", f'TEMPLATE """{"".join(body)}"""', *([f'SYSTEM """{t.default_system}"""'] if t.default_system else [])]
+    return "\n\n".join(parts) + "\n\n" + "".join(f'PARAMETER stop "{s}"\n' for s in dict.fromkeys((eos, *stops))) + f"PARAMETER num_ctx {context}\n"
+
+
+def infer_template(name: str, apply: Callable[[list[dict[str, str]], bool], str], prefix: str = "") -> Template:
+    """A template from what a tokenizer's own makes of marked turns.
+
+    apply(turns, ask) gives the text of turns, with the beginning of an answer if ``ask``. A system text that
+    is there without being given is the default.
+    """
+    mark = "\x00content\x00"
+    text = lambda ask, *turns: apply([{"role": r, "content": mark} for r in turns], ask)[len(prefix) :]
+    slot = lambda s: s.replace(mark, "{{content}}")
+    system, user = text(False, "system"), text(True, "user")
+    head, _, tail = system.partition(mark)
+    answer = text(False, "user", "assistant")[len(user) :]
+    before = user[: user.index(mark)]
+    default = ""
+    alone = text(True, "system", "user")[len(system) :]  # the user's turn after a system text that was given
+    if len(user) > len(alone) and user.endswith(alone):
+        default = before[len(head) : len(user) - len(alone) - len(tail)]
+        user = alone
+    reasoning = "<think>" in answer
+    answer = answer.replace("<think>", "").replace("</think>", "").lstrip("\n")
+    return Template(name, slot(user), slot(answer), slot(system), prefix=prefix, default_system=default, reasoning=reasoning)
