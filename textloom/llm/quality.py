@@ -12,7 +12,7 @@ from .common import SPACE, table
 
 #: Features are kept as integers of this fraction, so that sums are exact whatever the order of the rows.
 UNIT = 256
-#: The transformed statistics and the standard deviation that each has at least (in the prior for small groups, too).
+#: The transformed statistics and the standard deviation that each has at least.
 FLOORS = {"length": 0.5, "word": 0.08, "symbols": 0.2, "lines": 0.35, "repeats": 0.35, "stutter": 0.25}
 NAMES = list(FLOORS)
 SALTS = 16
@@ -108,18 +108,22 @@ def _with(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _moments(rows: DataFrame, prior: int, scale: float) -> DataFrame:
-    """Mean and the Cholesky factor of the covariance of each group: integer sums, a prior of ``prior`` rows with the floors as deviations."""
+    """Mean and the Cholesky factor of the covariance of each group: integer sums, a prior of ``prior`` rows that
+    have the covariance within all groups, and the floors added once."""
     sums = [F.sum(a).alias(f"s_{a}") for a in NAMES] + [F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
-    out = rows.groupBy("g").agg(F.count("*").alias("n"), *sums)
+    out = table(rows.groupBy("g").agg(F.count("*").alias("n"), *sums), "sums")
+    # whole numbers for each group, so that their sum is exact, too
+    within = [F.sum(F.round(F.col(f"s_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("n")).cast("long")).alias(f"p_{a}_{b}") for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
+    every = out.agg(F.sum("n").alias("every"), *within)
     mean = {a: F.col(f"s_{a}") / F.col("n") for a in NAMES}
     out = out.select("g", "n", *(m.alias(f"m_{a}") for a, m in mean.items()), *(c for c in out.columns if c.startswith("s_")))
+    out = out.crossJoin(F.broadcast(every))
     for i, a in enumerate(NAMES):
         for b in NAMES[: i + 1]:
-            c = (F.col(f"s_{a}_{b}") / F.col("n") - F.col(f"m_{a}") * F.col(f"m_{b}")) * F.lit(scale)
+            c = F.col(f"s_{a}_{b}") / F.col("n") - F.col(f"m_{a}") * F.col(f"m_{b}")
             floor = (FLOORS[a] * UNIT) ** 2 if a == b else 0.0
-            # with few rows the prior has its share; with many, the floor is still added to a variance
-            c = (c * F.col("n") + F.lit(floor * prior)) / (F.col("n") + F.lit(prior)) + F.lit(floor)
-            out = out.withColumn(f"c_{a}_{b}", c)
+            c = (c * F.col("n") + F.col(f"p_{a}_{b}") / F.col("every") * F.lit(prior)) / (F.col("n") + F.lit(prior))
+            out = out.withColumn(f"c_{a}_{b}", c * F.lit(scale) + F.lit(floor))
     for i, a in enumerate(NAMES):
         for j, b in enumerate(NAMES[: i + 1]):
             x = F.col(f"c_{a}_{b}")
@@ -153,15 +157,15 @@ def _start(rows: DataFrame) -> DataFrame:
     return _with(rows, median).select(*rows.columns, d2.alias("d2"))
 
 
-def judge(docs: DataFrame, share: float = 0.6, steps: int = 3, outlier: float = 1e-9, prior: int = 50, least_words: int = 20, repeats: int = 30) -> DataFrame:
+def judge(docs: DataFrame, share: float = 0.6, steps: int = 3, outlier: float = 1e-6, prior: int = 50, least_words: int = 20, repeats: int = 30) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and key of every row of ``docs``.
 
     base_failed: fewer than ``least_words`` words, or more than ``repeats`` per cent of them repeated. The other
     rows are judged by the minimum covariance determinant of their language and source (null is a value
     of its own): from the ``share`` of rows nearest to the medians, ``steps`` concentration steps take mean
     and covariance of the nearest rows and find the nearest again. Covariances are scaled for the
-    share, and mixed with ``prior`` rows of fixed deviations, so that small or constant groups have
-    a verdict too. A row goes if its squared Mahalanobis distance has a probability below ``outlier``. Sums are
+    share, and mixed with ``prior`` rows that vary as those within all groups do, so that small groups are judged as
+    strictly as large ones; a group of one or two rows has no majority to differ from and is kept. A row goes if its squared Mahalanobis distance has a probability below ``outlier``. Sums are
     of integers: the same input gives the same verdicts however it is partitioned.
 
     docs: doc_id, text, lang, source; other columns are not read. Null text has no words and fails. key is
