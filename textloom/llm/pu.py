@@ -3,10 +3,10 @@
 Trusted positives are texts labelled good; the unlabelled texts are documents whatever their label. The
 share of positives among the unlabelled (the class prior) is estimated first: a classifier of
 positives against unlabelled ranks both, and the prior is the least ratio of the shares of either above a
-threshold, plus its sampling error. Then a network with one hidden layer minimises
+threshold, plus its sampling error; the unlabelled share is counted over all documents. Then a network with one hidden layer minimises
 prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)]) with the sigmoid loss; when the second term
 falls below zero, the step goes the other way on it, which keeps the network from fitting it to noise.
-Both samples are bounded (``most`` rows each). Inputs are statistics of the text only.
+The samples both classifiers are fitted on are bounded (``most`` rows each). Inputs are statistics of the text only.
 """
 
 from __future__ import annotations
@@ -103,8 +103,8 @@ class Network:
             self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
 
 
-def estimate_prior(xp: np.ndarray, xu: np.ndarray, epochs: int = 40) -> float:
-    """The share of positives among the rows of ``xu``: classify halves against each other, read the ratio off the other halves."""
+def ranker(xp: np.ndarray, xu: np.ndarray, epochs: int = 40) -> Network:
+    """A classifier of every other row of ``xp`` against every other row of ``xu``."""
     net = Network(np.vstack([xp, xu]), seed=5)
     p, u = net.scaled(xp), net.scaled(xu)
     x = np.vstack([p[::2], u[::2]])
@@ -115,16 +115,54 @@ def estimate_prior(xp: np.ndarray, xu: np.ndarray, epochs: int = 40) -> float:
         for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 512)):
             z, h = net.logit(x[part], True)
             net.step(x[part], h, (sigmoid(z) - y[part]) * weight[part] / weight[part].sum(), 5e-3)
-    sp, su = np.sort(net.logit(p[1::2])), np.sort(net.logit(u[1::2]))
-    if not len(sp) or not len(su):
+    return net
+
+
+def prior_of(sp: np.ndarray, count: np.ndarray) -> float:
+    """The prior from the sorted scores ``sp`` of positives and the numbers ``count`` of unlabelled rows above 0, 1, ... of them."""
+    n = int(count.sum())
+    if not len(sp) or not n:
         return 0.5
     above_p = 1 - np.searchsorted(sp, sp) / len(sp)
-    above_u = 1 - np.searchsorted(su, sp) / len(su)
-    slack = np.sqrt(np.log(20) / 2 / len(su)) + np.sqrt(np.log(20) / 2 / len(sp))
+    # a row above k positives reaches the thresholds of the first k; of equal ones the first counts
+    above_u = (count[::-1].cumsum()[::-1][1:] / n)[np.searchsorted(sp, sp)]
+    slack = np.sqrt(np.log(20) / 2 / n) + np.sqrt(np.log(20) / 2 / len(sp))
     best = np.argmin((above_u + slack) / above_p)
     return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
 
 
+def reached(sp: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """How many rows of ``z`` reach exactly 0, 1, ..., all of the sorted thresholds ``sp``."""
+    return np.bincount(np.searchsorted(sp, z, "right"), minlength=len(sp) + 1)
+
+
+def estimate_prior(xp: np.ndarray, xu: np.ndarray, epochs: int = 40) -> float:
+    """The share of positives among the rows of ``xu``: classify halves against each other, read the ratio off the other halves."""
+    net = ranker(xp, xu, epochs)
+    sp = np.sort(net.logit(net.scaled(xp)[1::2]))
+    return prior_of(sp, reached(sp, net.logit(net.scaled(xu)[1::2])))
+
+
+def corpus_prior(docs: DataFrame, xp: np.ndarray, xu: np.ndarray) -> float:
+    """The share of positives among all rows of ``docs`` (text): as :func:`estimate_prior`, but every document is counted."""
+    net = ranker(xp, xu)
+    sp = np.sort(net.logit(net.scaled(xp)[1::2]))
+    model = docs.sparkSession.sparkContext.broadcast((net, sp))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, sp = model.value
+        count = np.zeros(len(sp) + 1, np.int64)
+        for batch in batches:
+            count += reached(sp, net.logit(net.scaled(statistics(*text_bytes(batch["text"])))))
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[at])], ["at", "k"])
+
+    count = np.zeros(len(sp) + 1, np.int64)
+    for r in docs.select("text").mapInArrow(run, "at int, k long").groupBy("at").agg(F.sum("k").alias("k")).collect():
+        count[r.at] = r.k
+    return prior_of(sp, count)
+
+
 def fit(xp: np.ndarray, xu: np.ndarray, prior: float, epochs: int = 60, batch: int = 512) -> Network:
     """Minimise the non-negative risk over mini-batches of positives and unlabelled rows."""
     net = Network(xu)
@@ -176,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> tuple[Network
         return None, 0.5
     rng = np.random.default_rng(1)
     xp, xu = rng.permutation(x[1]), rng.permutation(x[0])
-    prior = estimate_prior(xp, xu)
+    prior = corpus_prior(docs, xp, xu)
     return fit(xp, xu, prior), prior
 
 
@@ -184,7 +222,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataF
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text; other columns are not read).
 
     labels: doc_id, quality; only rows labelled 1 whose id is not held out are learnt from, at most
-    ``most``, against at most ``most`` documents taken as unlabelled. Null and empty texts have zero
+    ``most``, against at most ``most`` documents taken as unlabelled; the class prior is read off all documents. Null and empty texts have zero
     statistics and a score like others; without positives all scores are 0.5. Rows may repeat.
     """
     spark = docs.sparkSession
