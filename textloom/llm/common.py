@@ -17,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def too_many_words(bits: int) -> Column:
+    return F.raise_error(F.lit(f"a text has more than {1 << bits} words")).cast("array<long>")
+
+
 def row_key() -> list[Column]:
     """(did, fp): names a row of documents up to rows equal in id and text; never null."""
     return [

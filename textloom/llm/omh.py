@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, release, table
+from .common import SPACE, release, table, too_many_words
 
 K, FUNCTIONS, TUPLE = 5, 64, 2
 DIGITS = 8
@@ -31,16 +31,17 @@ def _place(v: Column) -> Column:
     return v.bitwiseAND(F.lit(_PLACE)).cast("int")
 
 
-def fingerprints(df: DataFrame, text: str, out: str, k: int = K, functions: int = FUNCTIONS, tuple_size: int = TUPLE) -> DataFrame:
+def fingerprints(df: DataFrame, text: str, out: str, k: int = K, functions: int = FUNCTIONS, tuple_size: int = TUPLE, most_bits: int = 24) -> DataFrame:
     """Adds ``out``, the fingerprint of column ``text``: ``functions`` numbers of DIGITS hexadecimal digits.
 
     With fewer than ``k`` words the whole sequence is the only k-mer; a null, empty or blank text has the
-    fingerprint of no k-mer, all zeros. Texts with equal words have equal fingerprints.
+    fingerprint of no k-mer, all zeros. Texts with equal words have equal fingerprints. A text of more
+    than ``2**most_bits`` words (24 at most) is an error: a place would not fit below the hash.
     """
     w, m, s, g = (f"_{out}_{x}" for x in ("words", "mers", "sorted", "chosen"))
     words = F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda x: x != ""), lambda x: F.xxhash64(x))
     n = F.size(w)
-    mers = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.slice(w, i, k)))).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
+    mers = F.when(n > 1 << most_bits, too_many_words(most_bits)).when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.slice(w, i, k)))).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
     step1 = df.withColumn(w, words).withColumn(m, mers)
     step2 = step1.withColumn(s, F.sort_array(F.transform(F.col(m), _pack)))
     high = lambda v: F.shiftright(v, 24)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, table
+from .common import SPACE, table, too_many_words
 
 #: Features are kept as integers of this fraction, so that sums are exact whatever the order of the rows.
 UNIT = 256
@@ -18,23 +18,24 @@ NAMES = list(FLOORS)
 SALTS = 16
 
 
-def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
+def statistics(docs: DataFrame, window: int = 8, bits: int = 24) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_stutter
     (words equal to the word before) to ``docs``, which has a column text.
 
     Null text has none of anything. A word is repeated if it is in a run of ``window`` words that is found
-    twice or more in the text, the first included; runs are compared by 64-bit hashes.
+    twice or more in the text, the first included; runs are compared by 64-bit hashes. A text of more than
+    ``2**bits`` words is an error: a word's place would not fit below its hash.
     """
     taken = {*docs.columns}
     name = lambda k: k if k not in taken else name(f"_{k}")
     w, s, ordered = (name(f"_{k}") for k in ("words", "windows", "ordered"))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    # hash in the high 39 bits, place in the low 24: longs sort as primitives
-    pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 25), 24).bitwiseOR(i.cast("long"))
-    place = lambda v: v.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+    # hash in the high bits, place in the low ones: longs sort as primitives
+    pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, bits + 1), bits).bitwiseOR(i.cast("long"))
+    place = lambda v: v.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     n = F.size(w)
-    windows = F.when(n >= window, F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice(w, i, window)))).otherwise(F.array().cast("array<long>"))
+    windows = F.when(n > 1 << bits, too_many_words(bits)).when(n >= window, F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice(w, i, window)))).otherwise(F.array().cast("array<long>"))
     full = lambda v: F.get(s, place(v))
     same = lambda v, i: F.coalesce(full(v) == full(F.get(ordered, i)), F.lit(False))
     again = F.filter(ordered, lambda v, i: same(v, i - 1) | same(v, i + 1))
