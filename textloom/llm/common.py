@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import drop_table, release, table  # noqa: F401  (the operators take them from here)
+from ..shared import drop_table, table, unused  # noqa: F401  (the operators take them from here)
 
 #: A word is a maximal run of characters other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
