@@ -70,23 +70,12 @@ def knapsack(lengths: list[int], capacity: int) -> list[list[int]]:
     return sacks
 
 
-def with_batches(rows: DataFrame, order: list[str], size: int = 1000, out: str = "batch") -> DataFrame:
-    """Numbers runs of ``size`` rows in an order, exactly, by ranges: rows are ranged, counted by partition, and numbered within."""
-    key = [F.col(c) for c in order]
-    spread = rows.repartitionByRange(*key).withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*key))
-    counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_from", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    numbered = spread.withColumn("_at", within).join(before, "_part")
-    return numbered.withColumn(out, F.floor((F.col("_from") + F.col("_at") - 1) / size)).drop("_part", "_at", "_from")
-
-
 def pack_knapsack(rows: DataFrame, cutoff: int, batch: str = "batch", key: str = "key", ids: str = "input_ids", labels: str = "labels", pad: int = 0, neat: bool = True) -> DataFrame:
     """(batch, pack, keys, input_ids, labels, position_ids, attention_mask): sequences of a batch packed to ``cutoff`` + 1 ids.
 
     Each pack is padded; positions restart with each sequence; with ``neat`` the mask numbers the
     sequences (padding 0), else it is 1. Longer sequences are dropped. A batch is one task's group: its size
-    is a parameter of :func:`with_batches`.
+    is a parameter of :func:`~.preparation.batches`.
     """
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:

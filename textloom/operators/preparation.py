@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import table, unused
+
 
 def shuffle_key(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
@@ -34,18 +36,25 @@ def exact_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame
     size = rows.count()
     if size == 0 or n <= size:
         return rows.orderBy(shuffle_key(key, seed), key).limit(n)
-    draws = rows.sparkSession.range(n - size).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)).alias("_at"))
-    numbered = indexed(rows, [key], "_at")
-    return rows.unionByName(numbered.join(draws, "_at").drop("_at"))
+    (at,) = unused(rows.columns, "at")
+    draws = rows.sparkSession.range(n - size).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)).alias(at))
+    numbered = indexed(rows, [key], at)
+    return rows.unionByName(numbered.join(draws, at).drop(at))
+
 
+def indexed(rows: DataFrame, order: list[str | Column], out: str) -> DataFrame:
+    """Numbers rows from 0 in an order (adds ``out``); which of equal rows comes first is open.
 
-def indexed(rows: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Numbers rows from 0 in an order: ranged partitions are counted, and numbered within."""
-    spread = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_from"))
-    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return spread.withColumn("_row", at).join(before, "_part").withColumn(out, F.col("_from") + F.col("_row")).drop("_part", "_row", "_from")
+    Rows are ranged, sorted and written once to the shared folder with their partition and their place in it: what is
+    counted is then what is numbered, however the ranges fall. The counts are one row for each partition.
+    """
+    at, part, first = unused([*rows.columns, out], "at", "part", "first")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = table(ranged.withColumn(at, F.monotonically_increasing_id()), "indexed")  # partition << 33 | place
+    counts = placed.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count("*").alias(first))
+    before = counts.select(part, (F.sum(first).over(Window.orderBy(part)) - F.col(first)).alias(first))
+    both = placed.join(F.broadcast(before), F.shiftright(at, 33) == F.col(part))
+    return both.withColumn(out, F.col(first) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, part, first)
 
 
 def split(rows: DataFrame, key: str, test: float | int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -140,11 +149,18 @@ def hashed_id(column: Column) -> Column:
     return F.md5(column.cast("string"))
 
 
-def batches(rows: DataFrame, order: list[str], size: int, out: str = "batch") -> DataFrame:
+def batches(rows: DataFrame, order: list[str], size: int = 1000, out: str = "batch") -> DataFrame:
     """Numbers runs of ``size`` rows; a size below 1 makes one batch."""
     if size < 1:
         return rows.withColumn(out, F.lit(0).cast("long"))
-    return indexed(rows, order, "_i").withColumn(out, F.floor(F.col("_i") / size)).drop("_i")
+    (at,) = unused([*rows.columns, out], "at")
+    return indexed(rows, order, at).withColumn(out, F.floor(F.col(at) / size)).drop(at)
+
+
+def index_range(rows: DataFrame, order: list[str], start: int, end: int) -> DataFrame:
+    """Rows ``start`` to ``end`` (excluded) in an order."""
+    (at,) = unused(rows.columns, "at")
+    return indexed(rows, order, at).where((F.col(at) >= start) & (F.col(at) < end)).drop(at)
 
 
 def preference_pair(good: Column, bad: Column, key: Column) -> Column:

@@ -81,9 +81,10 @@ def splice(texts: Column, target: Column, text: Column) -> Column:
     return F.transform(texts, lambda x, i: F.when(i == target, text).otherwise(x))
 
 
-def source_block(texts: Column) -> Column:
-    """The documents as numbered blocks for a prompt."""
-    return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("### Source "), (i + 1).cast("string"), F.lit(":\n"), t)), "\n\n")
+def source_block(texts: Column, closed: bool = False) -> Column:
+    """The documents as blocks for a prompt, numbered from 0 as citations are; ``closed``: a blank line follows the last, too. A null text is empty."""
+    blocks = F.transform(texts, lambda t, i: F.concat(F.lit("### Source "), i.cast("string"), F.lit(":\n"), F.coalesce(t, F.lit(""))))
+    return F.concat(F.array_join(blocks, "\n\n"), F.lit("\n\n" if closed else ""))
 
 
 def mean_scores(scores: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import packing as P
+from ..operators.preparation import batches
 from .registry import load, query
 
 _SEQLEN = "CASE WHEN t * 2 < c THEN c WHEN s * 2 < c THEN c - s ELSE CAST(floor(c * (t / CAST(s + t AS DOUBLE))) AS BIGINT) END"
@@ -54,7 +55,7 @@ def knapsack_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of word lengths of up to 512 words packed by batches of 1000 documents."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.transform(words, lambda w: F.length(w)).alias("input_ids"))
-    docs = P.with_batches(docs.withColumn("labels", F.col("input_ids")), ["key"])
+    docs = batches(docs.withColumn("labels", F.col("input_ids")), ["key"])
     return P.pack_knapsack(docs, 512).select("batch", "pack", F.size("keys").alias("n"), F.size("input_ids").alias("size"))
 
 

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a folder of our own on a local master; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.textloom.shared.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.textloom.shared.dir", found)
         _made.append((spark, found))
@@ -25,15 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors.
+
+    Shuffle files of the write go as soon as it is done. The table stays until :func:`drop_table`, :func:`drop_all` or
+    the end of the process.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._textloom_path = path
-    if len(_made) % 5 == 0:  # iterative operators leave many spent plans behind
-        release(spark)
     return out
 
 
@@ -42,10 +53,24 @@ def drop_table(df: DataFrame) -> None:
     _delete(df.sparkSession, df._textloom_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer referenced, rather than at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+def drop_all(spark: SparkSession) -> None:
+    """Delete all tables made in ``spark``: for long sessions, when no result is still to be read."""
+    for entry in [e for e in _made if e[0] is spark]:
+        _delete(*entry)
+        _made.remove(entry)
+    spark.conf.unset("spark.textloom.shared.dir")
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, with underscores before those that ``columns`` have, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
