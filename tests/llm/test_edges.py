@@ -223,30 +223,64 @@ def test_bpe_pieces_against_the_library():
         assert mine.encode(t).tolist() == enc.encode_ordinary(t)
 
 
+def _hash(*values):
+    """The engine's hash of longs (int), ints (wrapped in a list) and texts, one after another; nulls are passed over."""
+    import xxhash
+
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little") if isinstance(v, list) else (v % 2**64).to_bytes(8, "little")
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def brute_order_min_hash(text, functions=40, k=5):
+    """A plain Order MinHash: for each function the two least elements, in the order of the text."""
+    w = [_hash(x) for x in words(text)]
+    two = [_hash(a, b) for a, b in zip(w, w[1:])]
+    four = [_hash(a, b) for a, b in zip(two, two[2:])]
+    mers = [_hash(a, b) for a, b in zip(four, four[1:])] if len(w) >= k else [_hash(*w)] if w else []
+    seen, elements = Counter(), []
+    for place, m in enumerate(mers):
+        elements.append((_hash(m, [seen[m]]) if seen[m] else m, place))
+        seen[m] += 1
+    out = ""
+    for j in range(functions):
+        least = sorted(((_hash(e, [j]) % 2**64) >> 31, place) for e, place in elements)[:2]
+        chosen = [h for h, _ in sorted(least, key=lambda x: x[1])]
+        out += f"{(_hash(*chosen) % 2**64) >> 32:08x}" if least else "0" * 8
+    return out
+
+
 def test_fingerprints(table, nothing):
     from textloom.llm.omh import compare_edits
 
-    had = rows()
-    got = compare_edits(table).collect()
-    assert len(got) == len(had) and compare_edits(nothing).count() == 0
-    by = defaultdict(list)
-    for r in had:
-        by[r[0]].append(r[1] or "")
-    whole = sorted(({i for i in by if i is not None}), reverse=True)
-    prints = {}
-    for g in got:
-        assert g.n_chars in {len(t) for t in by[g.doc_id]}
-        if len(by[g.doc_id]) == 1:
-            t = by[g.doc_id][0]
-            assert prints.setdefault(" ".join(words(t)), g.fingerprint) == g.fingerprint
-            k = whole.index(g.doc_id) + 1
-            after = by[whole[k]] if k < len(whole) else by[None]
-            half = len(t) // 2
-            assert g.edited_sha256 in {hashlib.sha256((t[: len(t) - half] + a[:half]).encode()).hexdigest() for a in after}
-        assert 0 <= g.near_edited <= 1 and 0 <= g.near_next <= 1
-
-
-def test_fingerprints_follow_edit_distance(spark):
+    likeness = lambda a, b: sum(a[i : i + 8] == b[i : i + 8] for i in range(0, len(a), 8)) * 8 / len(a)
+    had = [(r[0], r[1]) for r in rows()]
+    order = sorted(had, key=lambda r: (r[0] is None, -(r[0] or 0), _hash(r[1], [int(r[1] is None)])))
+    want = Counter()
+    prints = {t: brute_order_min_hash(t) for t in {r[1] or "" for r in had}}
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        t, after = t or "", after or ""
+        half = len(t) // 2
+        e = t[: len(t) - half] + after[:half]
+        f = brute_order_min_hash(e)
+        want[(i, len(t), hashlib.sha256(e.encode()).hexdigest(), prints[t], f, likeness(prints[t], f), likeness(prints[t], prints[after]))] += 1
+    assert Counter(map(tuple, compare_edits(table).collect())) == want
+    assert compare_edits(nothing).count() == 0
+
+
+def test_fingerprints_of_many_equal_rows(spark):
+    from textloom.llm.omh import compare_edits
+
+    df = spark.range(2500).selectExpr("IF(id < 2400, NULL, id * 1234567890123) AS doc_id", "IF(id < 2400, 'the same text of several words', concat('text ', id)) AS text")
+    got = compare_edits(df).collect()
+    assert len(got) == 2500 and sum(r.near_next == 1 for r in got) == 2399
+    assert all(r.near_edited < 1 for r in got if r.doc_id is not None)
+
+
+def test_likeness_follows_edit_distance(spark):
     from pyspark.sql import functions as F
 
     from textloom.llm.omh import fingerprints, likeness
@@ -263,13 +297,27 @@ def test_fingerprints_follow_edit_distance(spark):
     blocks = [w[i : i + 10] for i in range(0, 400, 10)]
     rng.shuffle(blocks)
     texts = [w, list(w), few, many, moved, sum(blocks, []), ["same"] * 400, ["same"] * 380]
-    df = fingerprints(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "i int, text string"), "text", "f")
+    df = fingerprints(spark.createDataFrame([(i, 0, " ".join(t)) for i, t in enumerate(texts)], "i int, kind int, text string"), ["i"], "kind", "text")
+    df = df.select("i", F.lower(F.hex("fingerprint")).alias("f"))
     a, b = df.select(F.col("i").alias("x"), F.col("f").alias("g")), df.select("i", "f")
     near = {(r.x, r.i): r.l for r in a.join(b, F.col("x") < F.col("i")).select("x", "i", likeness(F.col("g"), F.col("f")).alias("l")).collect()}
     assert near[0, 1] == 1 and near[0, 2] > near[0, 3] > 0 and near[0, 2] > near[0, 5]
     assert 0.5 < near[6, 7] < 1  # occurrence numbers tell repeats apart
 
 
+def test_likeness_of_short_texts(spark):
+    """Functions are independent: of short texts that share 9 of 11 k-mers the share of equal tuples has the mean and the spread of 40 fair draws."""
+    n = 40
+    shares = []
+    for i in range(n):
+        a = [f"{i}x{j}" for j in range(14)]
+        f, g = brute_order_min_hash(" ".join(a)), brute_order_min_hash(" ".join([*a[:13], f"{i}y"]))
+        shares.append(sum(f[j : j + 8] == g[j : j + 8] for j in range(0, len(f), 8)) * 8 / len(f))
+    p = np.mean(shares)  # both least elements among the 9 shared of 11
+    assert abs(p - 9 * 8 / (11 * 10)) < 0.06
+    assert np.std(shares) < 1.4 * np.sqrt(p * (1 - p) / 40)
+
+
 def test_warc(spark):
     from textloom.llm.warc import ArchiveWriter, base32_sha1, parse, read_archives, record, records, write_archives
 

@@ -17,8 +17,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def too_many_words(bits: int) -> Column:
-    return F.raise_error(F.lit(f"a text has more than {1 << bits} words")).cast("array<long>")
+def runs(df: DataFrame, words: str, width: int) -> tuple[DataFrame, str]:
+    """Adds an array of the hashes of all runs of ``width`` elements of the array column ``words`` (longs); returns its name, too.
+
+    Hashes of runs twice as long come from two of them, until two that overlap cover the width. Fewer elements: no run.
+    """
+    run, k = words, 1
+    while k < width:
+        step = min(k, width - k)
+        (wider,) = unused(df.columns, f"{words}{k + step}")
+        left = F.size(run) - step
+        both = F.zip_with(F.slice(run, F.lit(1), left), F.slice(run, F.lit(1 + step), left), lambda a, b: F.xxhash64(a, b))
+        df = df.withColumn(wider, F.when(left > 0, both).otherwise(F.array().cast("array<long>")))
+        run, k = wider, k + step
+    return df, run
+
+
+def shifted(name: str, a: Column, bits: Column) -> Column:
+    """shiftleft, shiftright or shiftrightunsigned by a number of bits that is a column."""
+    return F.call_function(name, a, bits)
 
 
 def row_key() -> list[Column]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import SPACE, table, unused
+from .common import SPACE, runs, shifted, table, unused
 
 #: Features are kept as integers of this fraction, so that sums are exact whatever the order of the rows.
 UNIT = 256
@@ -29,10 +29,6 @@ SALTS = 256
 BROADCAST_GROUPS = 20_000
 
 
-def _shift(name: str, a: Column, bits: Column) -> Column:
-    return F.call_function(name, a, bits)
-
-
 def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_stutter
     (words equal to the word before) to ``docs``, which has a column text.
@@ -40,24 +36,16 @@ def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
     Null text has none of anything. A word is repeated if it is in a run of ``window`` words that is found
     twice or more in the text, the first included; runs are compared by 64-bit hashes, in texts of any length.
     """
-    w, s, bits, ordered, near = unused(docs.columns, "words", "windows", "bits", "ordered", "near")
+    w, bits, ordered, near = unused(docs.columns, "words", "bits", "ordered", "near")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     out = docs.withColumn(w, F.transform(F.array_remove(F.split(text, SPACE), ""), lambda x: F.xxhash64(x)))
-    # hashes of twice as long runs from two of them, until two that overlap cover the window
-    run, k = w, 1
-    while k < window:
-        step = min(k, window - k)
-        (wider,) = unused(out.columns, f"{s}{k}")
-        left = F.size(run) - step
-        both = F.zip_with(F.slice(run, F.lit(1), left), F.slice(run, F.lit(1 + step), left), lambda a, b: F.xxhash64(a, b))
-        out = out.withColumn(wider, F.when(left > 0, both).otherwise(F.array().cast("array<long>")))
-        run, k = wider, k + step
+    out, run = runs(out, w, window)
     # a hash above its place, as many bits as the place needs: longs sort as primitives
     out = out.withColumn(bits, F.length(F.bin(F.size(run))))
-    pack = lambda h, i: _shift("shiftleft", _shift("shiftrightunsigned", h, F.col(bits) + 1), F.col(bits)).bitwiseOR(i.cast("long"))
-    high = lambda v: _shift("shiftright", v, F.col(bits))
-    place = lambda v: v.bitwiseAND(_shift("shiftleft", F.lit(1).cast("long"), F.col(bits)) - 1).cast("int")
+    pack = lambda h, i: shifted("shiftleft", shifted("shiftrightunsigned", h, F.col(bits) + 1), F.col(bits)).bitwiseOR(i.cast("long"))
+    high = lambda v: shifted("shiftright", v, F.col(bits))
+    place = lambda v: v.bitwiseAND(shifted("shiftleft", F.lit(1).cast("long"), F.col(bits)) - 1).cast("int")
     full = lambda v: F.get(run, place(v))
     out = out.withColumn(ordered, F.sort_array(F.transform(F.col(run), pack)))
     out = out.withColumn(near, F.filter(ordered, lambda v, i: (high(v) == high(F.get(ordered, i - 1))) | (high(v) == high(F.get(ordered, i + 1)))))
