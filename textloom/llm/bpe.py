@@ -2,14 +2,16 @@
 
 Pieces of a pattern are encoded separately. Pieces of similar length stand in one padded matrix, a row
 each; in every round each row merges its leftmost pair of minimum rank, pairs are looked up in an
-open-addressing hash table, and rows and columns close up. Rows without a known pair are done.
+open-addressing hash table, and rows and columns close up. Rows without a known pair are done. If a
+token is part of no pair that ranks before it, which holds for nearly all, making it gives no pair of
+lower rank: the next pairs to merge are then those of the same rank, so all of them, from the left, are
+merged in one round, and a piece of any length needs about as many rounds as it meets different ranks.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from itertools import islice
 
@@ -22,8 +24,6 @@ from ..ship import ship
 from .common import spans, text_bytes
 
 NONE = np.int32(2**31 - 1)
-#: Longer pieces are merged one at a time with a heap: their matrices would be mostly padding.
-LONGEST = 256
 
 
 class PairTable:
@@ -73,6 +73,10 @@ class Bpe:
         cut = [(self.rank[t[:i]], self.rank[t[i:]], r) for t, r in self.rank.items() for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank]
         left, right, value = np.array(cut, np.int64).reshape(-1, 3).T
         self.pair = PairTable(left, right, value.astype(np.int32))
+        least = np.full(max(self.tokens, default=0) + 1, NONE, np.int64)  # rank of the pairs a token is part of
+        np.minimum.at(least, left, value)
+        np.minimum.at(least, right, value)
+        self.alone = least > np.arange(len(least))
         self.forget()
 
     def forget(self) -> None:
@@ -88,8 +92,6 @@ class Bpe:
         for i, p in enumerate(pieces):
             if p in self.rank:
                 out[i] = np.array([self.rank[p]], np.int32)
-            elif len(p) > LONGEST:
-                out[i] = self._one(p)
             else:
                 buckets.setdefault(_width(len(p)), []).append(i)
         for width, rows in buckets.items():
@@ -101,65 +103,55 @@ class Bpe:
         return out
 
     def _matrix(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
-        """Rounds of one merge in every row that has a known pair."""
+        """Rounds of merges in every row that has a known pair."""
         lengths = np.array([len(p) for p in pieces])
         data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
         ids = np.where(np.arange(width) < lengths[:, None], self.byte[data], np.int32(-1))
-        ranks = self.pair(ids[:, :-1], ids[:, 1:])
+        ranks = np.full(ids.shape, NONE, np.int32)  # of a token and the one after it
+        ranks[:, :-1] = self.pair(ids[:, :-1], ids[:, 1:])
         row = np.arange(len(pieces))
         out: list = [None] * len(pieces)
-        while len(row):
-            at = ranks.argmin(axis=1)
-            here = np.arange(len(row))
-            best = ranks[here, at]
+        while True:
+            best = ranks.min(axis=1)
             done = best == NONE
             if done.any():
-                for r, x, n in zip(row[done].tolist(), ids[done], lengths[done].tolist(), strict=True):
-                    out[r] = x[:n].copy()
+                for k in np.flatnonzero(done).tolist():
+                    out[row[k]] = ids[k, : lengths[k]].copy()
                 live = ~done
-                row, lengths, at, best, here = row[live], lengths[live], at[live], best[live], np.arange(int(live.sum()))
-                ids, ranks = ids[live], ranks[live]
-                if not len(row):
-                    break
-            width = int(lengths.max())
-            ids, ranks = ids[:, :width], ranks[:, : width - 1]
-            ids[here, at] = best
-            column = np.arange(width - 1)
-            ids = np.take_along_axis(ids, column + (column > at[:, None]), axis=1)
-            ranks = np.take_along_axis(ranks, np.minimum(column[:-1] + (column[:-1] > at[:, None]), width - 2), axis=1)
-            lengths = lengths - 1
-            if width == 2:
-                ranks = np.full((len(row), 1), NONE, np.int32)
-                ids = np.concatenate([ids, np.full((len(row), 1), -1, np.int32)], axis=1)
-                continue
-            for side in (-1, 0):
-                p = at + side
-                ok = (p >= 0) & (p < width - 2)
-                if ok.any():
-                    ranks[here[ok], p[ok]] = self.pair(ids[here[ok], p[ok]], ids[here[ok], p[ok] + 1])
-        return out
-
-    def _one(self, piece: bytes) -> np.ndarray:
-        """The same merges for one long piece, with a heap of (rank, place) and a linked list."""
-        ids = [int(self.byte[b]) for b in piece]
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        text = [self.tokens[i] for i in ids]
-        heap = [(r, i) for i in range(n - 1) if (r := self.rank.get(text[i] + text[i + 1])) is not None]
-        heapq.heapify(heap)
-        alive = [True] * n
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= n or self.rank.get(text[i] + text[j]) != r:
-                continue
-            text[i], ids[i], alive[j], after[i] = text[i] + text[j], r, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] < n and (s := self.rank.get(text[a] + text[after[a]])) is not None:
-                    heapq.heappush(heap, (s, a))
-        return np.array([ids[i] for i in range(n) if alive[i]], np.int32)
+                row, lengths, best, ids, ranks = row[live], lengths[live], best[live], ids[live], ranks[live]
+            if not len(row):
+                return out
+            r, c = np.nonzero(self._chosen(ranks == best[:, None], best))
+            gone = np.bincount(r, minlength=len(row))
+            column = np.arange(ids.shape[1])
+            keep = column < lengths[:, None]
+            keep[r, c + 1] = False
+            ids[r, c] = best[r]
+            lengths = lengths - gone
+            column = column[: int(lengths.max())]
+            there = column < lengths[:, None]
+            ids, ranks = _closed(ids, keep, there, -1), _closed(ranks, keep, there, NONE)
+            c = c - (np.arange(len(r)) - (np.cumsum(gone) - gone)[r])  # less those merged before in the row
+            for side in (0, -1):
+                p = c + side
+                ok = p >= 0
+                x, y = r[ok], p[ok]
+                last = y + 1 >= lengths[x]
+                after = ids[x, np.minimum(y + 1, len(column) - 1)]
+                ranks[x, y] = self.pair(ids[x, y], np.where(last, np.int32(-1), after))
+
+    def _chosen(self, hit: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Of the pairs of minimum rank those to merge: the leftmost; if the token made can give no lower rank the others, too, of overlapping ones every other."""
+        one = ~self.alone[best]
+        if one.any():
+            hit[one] &= np.cumsum(hit[one], axis=1) == 1
+        if (hit[:, 1:] & hit[:, :-1]).any():
+            column = np.arange(hit.shape[1])
+            first = hit.copy()
+            first[:, 1:] &= ~hit[:, :-1]
+            start = np.maximum.accumulate(np.where(first, column, 0), axis=1)
+            return hit & ((column - start) % 2 == 0)
+        return hit
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces not yet known and remember them."""
@@ -189,6 +181,13 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+def _closed(x: np.ndarray, keep: np.ndarray, there: np.ndarray, empty: int) -> np.ndarray:
+    """What is kept of each row, moved to its beginning."""
+    out = np.full(there.shape, empty, np.int32)
+    out[there] = x[keep]
+    return out
+
+
 def _width(n: int) -> int:
     """Buckets: lengths to 8 each, then steps of about a quarter."""
     step = 1 << max(0, (n - 1).bit_length() - 3)
