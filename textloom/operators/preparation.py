@@ -157,6 +157,22 @@ def batches(rows: DataFrame, order: list[str], size: int = 1000, out: str = "bat
     return indexed(rows, order, at).withColumn(out, F.floor(F.col(at) / size)).drop(at)
 
 
+def running(rows: DataFrame, order: list[str | Column], sums: dict[str, str]) -> DataFrame:
+    """Adds, for each name in ``sums``, the sum of its column over the rows before in an order; 0 for the first.
+
+    Ranges as in :func:`indexed`: each is summed where it is, and one row for each range carries the sums on.
+    """
+    at, part = unused([*rows.columns, *sums], "at", "part")
+    placed = table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "running")
+    placed = placed.withColumn(part, F.shiftright(at, 33))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part).agg(*(F.sum(c).alias(out) for out, c in sums.items())).select(part, *(F.coalesce(F.sum(out).over(earlier), F.lit(0)).alias(out) for out in sums))
+    within = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    inner = placed.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"{at}{i}") for i, c in enumerate(sums.values())))
+    both = inner.join(F.broadcast(starts), part)
+    return both.select(*(F.col(f"`{c}`") for c in rows.columns), *((F.col(out) + F.col(f"{at}{i}")).alias(out) for i, out in enumerate(sums)))
+
+
 def index_range(rows: DataFrame, order: list[str], start: int, end: int) -> DataFrame:
     """Rows ``start`` to ``end`` (excluded) in an order."""
     (at,) = unused(rows.columns, "at")
