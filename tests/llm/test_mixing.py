@@ -123,3 +123,20 @@ def test_documents_are_the_words_taken(spark):
         got[r.doc_id] += len(words(r.text))
         assert set(words(r.text)) <= texts[r.doc_id] and r.n_chars == len(r.text)
     assert +got == +taken
+
+
+def test_columns_of_any_name(spark):
+    from textloom.llm.jaccard import one_of_each
+    from textloom.llm.mixing import mix_documents
+
+    names = ["skey", "tie", "nth", "parts", "_size", "size", "_words", "words", "_id", "_row_did", "_row_nth", "_kept_did", "did", "fp", "blank", "c0", "c1", "sid", "a.b"]
+    rows = [(i, f"one text of words number {i} and {i * i} more of them", f"s{i % 2}", *(f"{n}-{i}" for n in names)) for i in range(20)]
+    rows += [rows[3], (None, None, None, *names), (50, rows[4][1], "s0", *(f"{n}-50" for n in names))]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    want = {r[0]: r[2:] for r in rows}
+    for f in (one_of_each, mix_documents):
+        got = f(df)
+        assert got.columns == df.columns
+        found = got.collect()
+        assert found and all(tuple(r)[2:] == want[r.doc_id] for r in found)
+    assert sorted((r.doc_id for r in one_of_each(df).collect()), key=str) == sorted([*range(20), None], key=str)

@@ -205,20 +205,19 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, width: int = 5, chunk_ch
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, chunk_chars: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one row of each component of :func:`jaccard_classes` stays: the one with the least doc_id.
+    """The rows of ``docs``, all columns whatever their names, of which one row of each component of :func:`jaccard_classes` stays: the one with the least doc_id.
 
-    Rows with an empty set stay; of rows equal in doc_id and text one stays.
+    Rows with an empty set (null, empty and blank texts) stay; of rows equal in doc_id and text one stays; an empty table stays empty.
     """
     rows, classes = _classes(docs, percent, width, chunk_chars)
     low = F.lit(-(2**63))
     best = classes.select("best").distinct().select(F.coalesce("best.doc_id", low).alias("did"), F.col("best.fp").alias("fp"), F.lit(False).alias("blank"))
     blank = rows.where("n = 0").select(F.coalesce("doc_id", low).alias("did"), "fp", F.lit(True).alias("blank")).distinct()
-    kept = best.unionByName(blank).withColumnsRenamed({c: f"_kept_{c}" for c in ("did", "fp", "blank")})
-    did, fp = row_key()
-    keyed = docs.withColumns({"_row_did": did, "_row_fp": fp})
-    both = keyed.join(kept, (F.col("_row_did") == F.col("_kept_did")) & (F.col("_row_fp") == F.col("_kept_fp")))
-    nth = F.row_number().over(Window.partitionBy("_row_did", "_row_fp").orderBy(F.lit(0)))
-    return both.withColumn("_row_nth", nth).where("_row_nth = 1 or _kept_blank").select(*docs.columns)
+    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), *row_key())
+    both = keyed.join(best.unionByName(blank), ["did", "fp"])
+    # one of equal rows is taken before they are dealt
+    one = both.where("not blank").withColumn("nth", F.row_number().over(Window.partitionBy("did", "fp").orderBy(F.lit(0)))).where("nth = 1").drop("nth")
+    return one.unionByName(both.where("blank")).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def _links(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.preparation import indexed, running
 from .common import WORD, table
 
 BLOCK, SHARD, CELLS, ROUNDS = 64, 65536, 1024, 12
@@ -21,23 +22,22 @@ def _sources(sized: DataFrame, weights: list[int], share: float, most: float, bl
     Targets fill up like water: the level that all unlimited sources reach for each unit of weight is
     found from running sums over the sources in the order in which they meet their limits.
     """
-    every = sized.groupBy("skey").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy("skey")
+    every = indexed(sized.groupBy("skey").agg(F.sum("size").alias("source_size")), ["skey"], "sid")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("sid"), F.lit(len(weights))) + 1).cast("int"))
-    every = every.withColumn("sid", F.row_number().over(by_name) - 1).withColumn("weight", weight.cast("double"))
-    every = every.withColumn("limit", F.col("source_size") * F.lit(float(most)))
-    by_limit = Window.orderBy(F.col("limit") / F.col("weight"), "sid")
-    before, after = by_limit.rowsBetween(Window.unboundedPreceding, -1), by_limit.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share))
-    level = (total - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    every = every.withColumn("level", level)
-    free = F.max(F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.col("level"))).over(Window.partitionBy())
-    # the first source in this order whose limit is not met has the common level; after it levels only fall
-    every = every.withColumn("target", F.least("limit", F.coalesce(free, F.lit(float("inf"))) * F.col("weight")))
+    every = every.withColumn("weight", weight.cast("double")).withColumn("limit", F.col("source_size") * F.lit(float(most)))
+    every = table(every.withColumn("ratio", F.col("limit") / F.col("weight")), "limits")
+    sums = every.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, weighed = float(sums[0] or 0) * share, float(sums[1] or 0)
+    every = running(every, ["ratio", "sid"], {"limit_before": "limit", "weight_before": "weight"})
+    # the level if all sources before have their limit; after the first source whose limit is not met levels only fall
+    level = (F.lit(total) - F.col("limit_before")) / (F.lit(weighed) - F.col("weight_before"))
+    every = table(every.withColumn("level", level), "levels")
+    free = every.where("level <= ratio").agg(F.max("level")).first()[0]
+    every = every.withColumn("target", F.least("limit", F.lit(float("inf") if free is None else float(free)) * F.col("weight")))
     every = every.withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block)))
     whole = F.least(F.round(F.coalesce(F.try_divide(F.col("target") * F.col("n_blocks"), F.col("source_size")), F.lit(0.0))), F.floor(F.col("n_blocks") * F.lit(float(most))))
-    every = every.withColumn("quota", whole.cast("long"))
-    return every.withColumn("quota_from", F.sum("quota").over(by_name) - F.col("quota"))
+    every = every.withColumn("quota", whole.cast("long")).select("sid", "skey", "source_size", "target", "n_blocks", "quota")
+    return running(every, ["skey"], {"quota_from": "quota"})
 
 
 def permuted(index: Column, n: Column, *keys: Column, rounds: int = ROUNDS) -> Column:
@@ -74,6 +74,15 @@ def _drawn(sources: DataFrame, seed: int, shard: int) -> DataFrame:
     return counts.select("sid", "shard", start.alias("first"), (F.least("end", "quota") - start).alias("count")).where("count > 0")
 
 
+def _source_key() -> Column:
+    """Sources by code point, null last."""
+    return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), "source")).alias("skey")
+
+
+def _tie() -> Column:
+    return F.xxhash64("doc_id", "text").alias("tie")
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK, shard: int = SHARD, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(rows, pieces). rows: those of ``docs`` with size, source_size, target, sid and off (first word in the source);
     pieces: sid, off, block, lo, hi (words of the row in the block), times (how often the block is taken).
@@ -85,9 +94,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     Null or empty texts have size 0 and are never taken; repeated rows are rows of their own; same
     input, same result; an empty table gives an empty result.
     """
-    keyed = docs.withColumn("size", n_words(F.col("text"))).withColumn("skey", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), "source")))
-    keyed = keyed.withColumn("tie", F.xxhash64("doc_id", "text"))
-    sized = table(keyed.select("doc_id", "skey", "size", "tie"), "sizes")
+    sized = table(docs.select("doc_id", _source_key(), n_words(F.col("text")).alias("size"), _tie()), "sizes")
     buckets = max(1, -(-sized.count() // 4096))
     bucket = F.pmod(F.col("tie"), F.lit(buckets))
     sources = table(_sources(sized, list(weights), share, most, block), "sources")
@@ -122,26 +129,27 @@ def mix_words(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixture as documents with the columns of ``docs``: each row that is taken, its text the words taken.
+    """The mixture as documents with the columns of ``docs``, whatever their names: each row that is taken, its text the words taken.
 
     A row whose blocks are all taken c times keeps its text as it is, c times, joined by a line end;
     others have their words joined by spaces, piece after piece in order, a piece taken twice twice.
-    n_chars is set anew where there is such a column.
+    n_chars is set anew where there is such a column. Rows with null, empty or blank text are never taken; repeated rows are
+    rows of their own; an empty table stays empty.
     """
     rows, pieces = mixed(docs, **options)
     lists = pieces.groupBy("sid", "off").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("parts"))
-    lists = rows.where("size > 0").join(lists, ["sid", "off"]).select("doc_id", "tie", "skey", "nth", "size", "parts")
-    skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), "source"))
-    kept = docs.withColumn("skey", skey).withColumn("tie", F.xxhash64("doc_id", "text"))
-    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "tie", "skey").orderBy(F.lit(0))))
-    keys = [kept[c].eqNullSafe(lists[c]) for c in ("doc_id", "tie", "skey", "nth")]
-    both = kept.join(lists, keys[0] & keys[1] & keys[2] & keys[3]).select(*(kept[c] for c in docs.columns), lists["parts"], lists["size"].alias("_size"))
+    lists = rows.where("size > 0").join(lists, ["sid", "off"]).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("skey").alias("_skey"), F.col("nth").alias("_nth"), "size", "parts")
+    kept = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("doc_id").alias("id"), F.col("text").alias("text"), _tie(), _source_key())
+    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("id", "tie", "skey").orderBy(F.lit(0))))
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    for k in ("tie", "skey", "nth"):
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    both = kept.join(lists, same)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     covered = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["hi"] - p["lo"])
-    equal = (covered == F.col("_size")) & (F.array_min(F.transform("parts", lambda p: p["times"])) == F.array_max(F.transform("parts", lambda p: p["times"])))
+    equal = (covered == F.col("size")) & (F.array_min(F.transform("parts", lambda p: p["times"])) == F.array_max(F.transform("parts", lambda p: p["times"])))
     whole = F.array_join(F.array_repeat("text", F.element_at("parts", 1)["times"].cast("int")), "\n")
-    part = F.array_join(F.flatten(F.transform("parts", lambda p: F.flatten(F.array_repeat(F.slice("_words", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")), p["times"].cast("int"))))), " ")
-    both = both.withColumn("_words", F.when(~equal, words)).withColumn("text", F.when(equal, whole).otherwise(part))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return both.select(*docs.columns)
+    part = F.array_join(F.flatten(F.transform("parts", lambda p: F.flatten(F.array_repeat(F.slice("words", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")), p["times"].cast("int"))))), " ")
+    both = both.withColumn("words", F.when(~equal, words)).withColumn("text", F.when(equal, whole).otherwise(part))
+    value = lambda i, f: F.col("text") if f.name == "text" else F.length("text").cast(f.dataType) if f.name == "n_chars" else F.col(f"c{i}")
+    return both.select(*(value(i, f).alias(f.name) for i, f in enumerate(docs.schema.fields)))
