@@ -144,25 +144,41 @@ def support_weight(label: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(F.lit("full_support"), F.lit(1.0), F.lit("partial_support"), F.lit(0.5), F.lit("no_support"), F.lit(0.0)), label), F.lit(0.0))
 
 
+# The phrases of a judge's feedback, in the order in which they count.
+FEEDBACK = {"CE": "Compilation error", "MLE": "Memory limit exceeded", "TLE": "Time limit exceeded", "WA": "Output isn't correct"}
+
+
 def verdict(score: Column, feedback: Column) -> Column:
-    """A judge's verdict (CE, MLE, TLE, WA, RE, AC, PA) from score and feedback."""
-    said = lambda *words: F.coalesce(F.lower(feedback).rlike("|".join(words)), F.lit(False))
-    return (
-        F.when(score == 0.0, F.when(said("compilation error", "compile"), "CE").when(said("memory limit exceeded"), "MLE").when(said("time limit exceeded", "timed out"), "TLE").when(said("output isn't correct", "wrong answer"), "WA").otherwise("RE"))
-        .when(score == 1.0, "AC")
-        .otherwise("PA")
-    )
+    """A judge's verdict (CE, MLE, TLE, WA, RE, AC, PA): without points by a phrase of the feedback, as it is written; else by the score."""
+    failed = F.coalesce(*(F.when(F.contains(feedback, F.lit(words)), code) for code, words in FEEDBACK.items()), F.lit("RE"))
+    return F.when(score == 0.0, failed).when(score == 1.0, "AC").otherwise("PA")
+
+
+# Headers that rewritten texts may begin with.
+HEADERS = ("**Rewritten Source: **", "**Regenerated Source: **")
+
+
+def without_headers(text: Column, headers: tuple[str, ...] = HEADERS) -> Column:
+    for h in headers:
+        text = F.replace(text, F.lit(h), F.lit(""))
+    return text
+
+
+def present(value: Column) -> Column:
+    """Whether there is a text: neither null nor empty."""
+    return value.isNotNull() & (value != "")
 
 
 def rule_text(rules: Column) -> Column:
     return F.array_join(F.transform(rules, lambda r: F.concat(F.lit("- "), r)), "\n")
 
 
-def trim_padding(ids: Column, pad: int, side: str = "left") -> Column:
-    """Without ``pad`` at one side; of nothing but padding one id stays."""
+def trim_padding(ids: Column, pad: int, side: str = "left", eos: int | None = None) -> Column:
+    """Without ``pad`` at one side; of nothing but padding one id stays, and one at the right end where padding is the end mark ``eos``."""
     size = F.size(ids)
     if side == "left":
         first = F.try_element_at(F.filter(F.transform(ids, lambda x, i: F.when(x != pad, i + 1)), lambda i: i.isNotNull()), F.lit(1))
         return F.when(first.isNull(), F.slice(ids, 1, 1)).otherwise(F.slice(ids, F.coalesce(first, F.lit(1)), F.greatest(size, F.lit(1))))
     last = F.array_max(F.transform(ids, lambda x, i: F.when(x != pad, i + 1)))
-    return F.slice(ids, 1, F.coalesce(last, F.lit(1)))
+    more = F.when(last.isNotNull(), F.lit(1)).otherwise(0) if eos == pad else F.lit(0)
+    return F.slice(ids, F.lit(1), F.coalesce(last, F.lit(1)) + more)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CONVERTERS: dict[str, Callable[..., DataFrame]] = {}
 _TURNS = "array<struct<role:string,content:string>>"
@@ -179,3 +180,33 @@ def resolve_media(df: DataFrame, files: DataFrame, folder: str, key: str, column
     found = refs.join(there.withColumn("_there", F.lit(True)), "_path", "left").where("_ref is not null")
     lists = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", F.when(F.col("_there"), F.col("_path")).otherwise(F.col("_ref")).alias("p")))).alias("_m"))
     return df.drop(column).join(lists.select(key, F.transform("_m", lambda m: m["p"]).alias(column)), key, "left")
+
+
+def check_stage(ranking: bool, stage: str) -> None:
+    """Ranked data are for the reward model's stage, others for the other stages."""
+    if (stage == "rm") != ranking:
+        raise ValueError(f"ranked: {ranking}; these data are not for stage {stage}")
+
+
+def check_media(df: DataFrame, marks: dict[str, str] | None = None, turns: str = "_prompt") -> DataFrame:
+    """``df``; a row whose number of marks in its turns is not that of its media is an error when it is computed. marks: column of media -> mark."""
+    marks = marks or {"_images": "<image>", "_videos": "<video>", "_audios": "<audio>"}
+    for column, mark in marks.items():
+        said = F.aggregate(turns, F.lit(0), lambda n, t: n + F.size(F.split(t["content"], rf"\Q{mark}\E", -1)) - 1)
+        media = F.coalesce(F.when(F.col(column).isNull(), F.lit(0)).otherwise(F.size(column)), F.lit(0))
+        df = df.withColumn(column, F.when(said == media, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"marks {mark}: "), said.cast("string"), F.lit(", media: "), media.cast("string"))).cast("array<string>")))
+    return df
+
+
+def media_counts(turns: Column, mark: str) -> Column:
+    """How often a mark is in the contents of turns."""
+    return F.aggregate(turns, F.lit(0), lambda n, t: n + F.size(F.split(t["content"], rf"\Q{mark}\E", -1)) - 1)
+
+
+def support_draw(support: DataFrame, by: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """(by, support): ``n`` rows of each subject, drawn by a keyed hash, as an array of structs in drawn order; all of them where there are fewer."""
+    others = [c for c in support.columns if c != by]
+    place = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
+    ranked = support.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(place, key))).where(F.col("_at") <= n)
+    lists = ranked.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_at", F.struct(*others).alias("row")))).alias("rows"))
+    return lists.select(by, F.transform("rows", lambda r: r["row"]).alias("support"))

@@ -8,21 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, normalize, word_ngrams
+from ..shared import table
+
+
+#: So many distinct n-grams of evaluation texts (some 100 bytes each) are broadcast; more are joined by shuffles.
+BROADCAST_GRAMS = 2_000_000
 
 
 def ngram_set(evals: DataFrame, text: str = "text", n: int = 8) -> DataFrame:
-    """(gram): hashes and texts of the distinct n-grams of an evaluation set."""
+    """(gram): the distinct n-grams of an evaluation set."""
     return evals.select(F.explode_outer(word_ngrams(normalize(F.col(text)), n)).alias("gram")).where("gram is not null").distinct()
 
 
 def flag_contaminated(rows: DataFrame, evals: DataFrame, key: str, text: str = "text", n: int = 8, flag: str = "contaminated") -> DataFrame:
     """``rows`` with a flag: an n-gram of its text is in the evaluation set.
 
-    A semi-join on n-grams, each row's distinct ones once; Spark broadcasts the evaluation side if its size
-    allows, else both sides are shuffled by n-gram. Texts shorter than n words are clean.
+    The evaluation side is counted: up to ``BROADCAST_GRAMS`` n-grams it goes to all executors, and a row's n-grams are looked
+    up where they are; only keys of rows that have one are shuffled. Beyond that both sides are dealt by a 64-bit hash of the n-gram
+    (texts decide). Texts shorter than n words are clean.
     """
+    wanted = table(ngram_set(evals, n=n), "ngrams")
     grams = rows.select(key, F.explode_outer(F.array_distinct(word_ngrams(normalize(F.coalesce(F.col(text), F.lit(""))), n))).alias("gram")).where("gram is not null")
-    hit = grams.join(ngram_set(evals, n=n), "gram", "left_semi").select(key).distinct().withColumn(flag, F.lit(True))
+    if wanted.count() <= BROADCAST_GRAMS:
+        hit = grams.join(F.broadcast(wanted), "gram", "left_semi")
+    else:
+        hit = grams.withColumn("h", F.xxhash64("gram")).join(wanted.withColumn("h", F.xxhash64("gram")), ["h", "gram"], "left_semi")
+    hit = hit.select(key).distinct().withColumn(flag, F.lit(True))
     return rows.join(hit, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 

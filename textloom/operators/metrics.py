@@ -62,6 +62,19 @@ def sequence_logps(logps: Column, labels: Column, ignore: int = -100) -> Column:
     return F.struct(F.aggregate(some, F.lit(0.0), lambda a, x: a + x).alias("logp"), F.size(some).alias("n"))
 
 
+def debiased_logp(logps: Column, labels: Column, public: Column, alpha: float, ignore: int = -100) -> Column:
+    """The sum of log-probabilities in which tokens from place ``public`` (from 0) on count ``alpha`` times."""
+    some = F.zip_with(logps, labels, lambda x, t: F.when(t != ignore, x))
+    weighed = F.transform(some, lambda x, i: F.coalesce(F.when(i < public, x).otherwise(x * alpha), F.lit(0.0)))
+    return F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x)
+
+
+def mean_of_means(rows: DataFrame, batch: str, columns: list[str]) -> DataFrame:
+    """The means over batches of each batch's means, nulls left out: how a trainer logs what its steps report."""
+    steps = rows.groupBy(batch).agg(*(F.avg(c).alias(c) for c in columns))
+    return steps.agg(*(F.avg(c).alias(c) for c in columns))
+
+
 def _log_sigmoid(x: Column) -> Column:
     return -F.log1p(F.exp(-F.abs(x))) + F.least(x, F.lit(0.0))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -178,6 +178,35 @@ def encode_kto(prompt: Column, response: Column, kl_response: Column, tag: Colum
     return F.struct(*one(response, ""), *one(kl_response, "kl_"), tag.alias("kto_tags"))
 
 
+def encode_unsupervised(prompt: Column, response: Column, cutoff: int, eos: int | None = None) -> Column:
+    """struct<input_ids, labels>: prompt ids and response ids apart, cut by :func:`infer_lengths`; ``eos`` ends the labels first (efficient end)."""
+    labels = F.concat(response, F.array(F.lit(eos))) if eos is not None else response
+
+    def cut(size: Column) -> Column:
+        return F.struct(F.slice(prompt, F.lit(1), size["source"]).alias("input_ids"), F.slice(labels, F.lit(1), size["target"]).alias("labels"))
+
+    return let(infer_lengths(F.size(prompt), F.size(labels), cutoff), cut)
+
+
+def kto_batch(rows: DataFrame, batch: str, order: str, pad: int = 0) -> DataFrame:
+    """(batch, order, input_ids, labels, kl_input_ids, kl_labels, kto_tags): both sides padded to the longest of their own in the batch."""
+    return pad_batch(rows, batch, {"input_ids": pad, "labels": IGNORE, "kl_input_ids": pad, "kl_labels": IGNORE}).select(batch, order, "input_ids", "labels", "kl_input_ids", "kl_labels", "kto_tags")
+
+
+#: What encodes the rows of a stage; "sft" may pack.
+PROCESSORS: dict[str, Callable] = {"pt": pretrain_blocks, "sft": encode_turns, "sft_packed": pack_knapsack, "rm": encode_pair, "kto": encode_kto, "ppo": encode_unsupervised}
+
+
+def processor(stage: str, packing: bool = False, predict: bool = False) -> Callable:
+    """By stage; generated predictions of any stage need prompts and labels apart."""
+    if predict:
+        return encode_unsupervised
+    name = "sft_packed" if stage == "sft" and packing else stage
+    if name not in PROCESSORS:
+        raise ValueError(f"unknown stage {stage}")
+    return PROCESSORS[name]
+
+
 def token_rows(batches: Iterator[pd.DataFrame], encode) -> Iterator[pd.DataFrame]:
     """For mapInPandas: adds ids by any tokenizer's ``encode`` of text."""
     for b in batches:

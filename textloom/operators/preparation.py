@@ -64,6 +64,22 @@ def split(rows: DataFrame, key: str, test: float | int, seed: int = 42) -> tuple
     return rows.join(picked, key, "left_anti"), rows.join(picked, key, "left_semi")
 
 
+def split_stream(rows: DataFrame, order: list[str], test: int, validation: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The first ``test`` rows of an order as validation and those after them as train, as a stream is taken and skipped; further validation sets
+    by name (``validation_{name}``)."""
+    if validation and test:
+        raise ValueError("give a size for validation or sets for it, not both")
+    out = {f"validation_{k}": v for k, v in (validation or {}).items()}
+    if not test:
+        return {"train": rows} | out
+    return {"validation": rows.orderBy(*order).limit(test), "train": rows.orderBy(*order).offset(test)} | out
+
+
+def qualified(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in a table of keys."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
 @dataclass(frozen=True)
 class Part:
     """A data set of a mixture."""
@@ -206,6 +222,9 @@ class DataArguments:
     mask_history: bool = False
     train_on_prompt: bool = False
     max_steps: int = -1
+    eval_dataset: str | None = None
+    packing: bool = False
+    neat_packing: bool = False
 
     def __post_init__(self):
         if self.interleave_probs is not None:
@@ -215,6 +234,10 @@ class DataArguments:
                 raise ValueError("one probability for each data set")
         if self.streaming and 1e-6 < self.val_size < 1:
             raise ValueError("streaming needs a whole number for val_size")
+        if self.eval_dataset is not None and self.val_size > 1e-6:
+            raise ValueError("val_size does not go with eval_dataset")
+        if self.neat_packing and not self.packing:
+            raise ValueError("neat_packing needs packing")
         if self.streaming and self.max_samples is not None:
             raise ValueError("max_samples does not go with streaming")
         if self.streaming and self.max_steps < 1:

@@ -86,7 +86,8 @@ def accuracy(text: Column, solution: Column) -> Column:
         return F.regexp_replace(F.coalesce(boxed, x), r"[\s$]+|\.$", "")
 
     a, b = plain(text), plain(solution)
-    numbers = F.abs(F.try_to_number(a, F.lit("S999999999D999999")) - F.try_to_number(b, F.lit("S999999999D999999"))) < 1e-6
+    number = lambda x: F.when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), x.try_cast("decimal(38,10)"))
+    numbers = F.abs(number(a) - number(b)) < F.lit("0.000001").cast("decimal(38,10)")
     return F.when(b != "", (F.coalesce(numbers, F.lit(False)) | (a == b)).cast("double"))
 
 
@@ -119,10 +120,54 @@ def logged(rows: DataFrame, batch: list[str], column: str) -> DataFrame:
 
 
 def with_lookup(rows: DataFrame, lookup: DataFrame, solution: str = "solution", key: str = "query_id") -> DataFrame:
-    """Rows with their record of the lookup; without one its columns are null (and the reward is 0)."""
+    """Rows with their record of the lookup; without one its columns are null (and the reward is 0: :func:`looked_up`)."""
     return rows.join(lookup, rows[solution].cast("string") == lookup[key].cast("string"), "left")
 
 
+def looked_up(rows: DataFrame, lookup: DataFrame, reward: Column, solution: str = "solution", key: str = "query_id", out: str = "reward") -> DataFrame:
+    """Adds ``out``: ``reward``, an expression over rows and their record of the lookup, or 0 where there is no record."""
+    there = with_lookup(rows, lookup, solution, key)
+    return there.select(*(rows[c] for c in rows.columns), F.when(lookup[key].isNotNull(), F.coalesce(reward, F.lit(0.0))).otherwise(F.lit(0.0)).alias(out))
+
+
+def word_position_points(rows: DataFrame, batch: list[str], weights: dict[str, float], found: str = "found", out: str = "reward") -> DataFrame:
+    """The reward of rewritten documents: :func:`combined_rewards` over the rows whose record was ``found``; the others have 0.
+
+    The columns of ``weights`` are the raw scores (visibility gain, key points, rules followed); a missing one counts as 0.
+    """
+    good = rows.where(F.col(found)).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in weights})
+    rest = rows.where(~F.coalesce(F.col(found), F.lit(False))).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in weights})
+    return combined_rewards(good, batch, weights, out).unionByName(rest.withColumn(out, F.lit(0.0)))
+
+
+def gathered_generations(generations: DataFrame, key: str, order: str, text: str = "generation", reward: str = "reward") -> DataFrame:
+    """(key, generations, rewards): scored generations of each prompt as arrays in order; partial lists precede the shuffle."""
+    lists = generations.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.col(reward).cast("double").alias("r")))).alias("g"))
+    return lists.select(key, F.transform("g", lambda x: x["t"]).alias("generations"), F.transform("g", lambda x: x["r"]).alias("rewards"))
+
+
+def repeated_prompts(rows: DataFrame, k: int, out: str = "generation_id") -> DataFrame:
+    """Each row ``k`` times, numbered from 0: one row for each generation to ask for."""
+    return rows.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+
+
+def execution_summary(runs: DataFrame, by: list[str], reward: str = "reward", seconds: str = "seconds") -> DataFrame:
+    """Time and mean, least and greatest reward of each setting of an execution benchmark."""
+    return runs.groupBy(*by).agg(F.max(seconds).alias("execution_time"), F.avg(reward).alias("mean_reward"), F.min(reward).alias("min_reward"), F.max(reward).alias("max_reward"))
+
+
+def subtask_tests(subtasks: DataFrame, cases: DataFrame, runs: DataFrame) -> DataFrame:
+    """The input of :func:`subtask_scores`: subtasks (submission, problem, subtask, points, digits, test_names) with their tests' cases
+    (problem, test_name, ...) and what is known of their runs (submission, test_name, score, status).
+
+    A name without a case is left out; a test that was not run has no score; of several runs of a test the best counts.
+    """
+    names = subtasks.select("submission", "problem", "subtask", "points", "digits", F.explode("test_names").alias("test_name"))
+    best = runs.groupBy("submission", "test_name").agg(F.max_by(F.struct("score", "status"), F.struct("score", "status")).alias("run"))
+    there = names.join(cases.select("problem", "test_name").distinct(), ["problem", "test_name"])
+    return there.join(best, ["submission", "test_name"], "left").select("submission", "problem", "subtask", "points", "digits", "test_name", "run.score", F.coalesce("run.status", F.lit("SKIPPED")).alias("status"))
+
+
 def visibility_gain(new: Column, old: Column, weight: float = 0.33) -> Column:
     """Weighted difference of the sums of two structs of scores."""
     total = lambda s: s["wordpos"] + s["word"] + s["pos"]

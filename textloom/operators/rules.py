@@ -98,20 +98,23 @@ def greedy_chunks(rules: DataFrame, budget: int = 20_000) -> DataFrame:
     return rows.groupBy("_block", "chunk").agg(F.array_sort(F.collect_list("rule")).alias("rules")).select(F.struct("_block", "chunk").alias("chunk"), "rules")
 
 
-def merge_rules(rules: DataFrame, merge: Callable[[DataFrame], DataFrame], budget: int = 20_000, levels: int = 10) -> DataFrame:
+def merge_rules(rules: DataFrame, merge: Callable[[DataFrame], DataFrame], budget: int = 20_000) -> DataFrame:
     """(rule): chunks are merged, the results made distinct, and again until they fit one chunk, which is merged last.
 
-    merge: (chunk, rules) to (chunk, rules), e.g. a scorer over prompts; it should give fewer rules than it takes.
+    merge: (chunk, rules) to (chunk, rules), e.g. a scorer over prompts. If a round leaves as many rules as it took, the merger keeps them
+    apart: they are the result, however many; no row ever holds more than a chunk.
     """
     rules = distinct_rules(rules.select(F.array("rule").alias("rules"))) if "rules" not in rules.columns else distinct_rules(rules)
-    for _ in range(levels):
-        rules = table(rules, "rules")
-        chars = rules.agg(F.sum(F.length("rule"))).first()[0] or 0
+    rules = table(rules, "rules")
+    while True:
+        n, chars = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("rule")), F.lit(0))).first()
         if chars // CHARS_PER_TOKEN <= budget:
-            break
-        rules = distinct_rules(merge(greedy_chunks(rules, budget)))
-    whole = rules.agg(F.array_sort(F.collect_list("rule")).alias("rules")).select(F.lit(0).alias("chunk"), "rules")
-    return distinct_rules(merge(whole.where(F.size("rules") > 0)))
+            whole = rules.agg(F.array_sort(F.collect_list("rule")).alias("rules")).select(F.lit(0).alias("chunk"), "rules")
+            return distinct_rules(merge(whole.where(F.size("rules") > 0)))
+        fewer = table(distinct_rules(merge(greedy_chunks(rules, budget))), "rules")
+        if fewer.count() >= n:
+            return fewer
+        rules = fewer
 
 
 def keep_first_words(chunks: DataFrame, words: int = 3) -> DataFrame:
@@ -134,6 +137,32 @@ def extract_prompt(explanation: Column) -> Column:
     return F.concat(F.lit("From the explanation below, state general rules for documents as a JSON list of strings.\n\n"), explanation)
 
 
+def merge_prompt(rules: Column) -> Column:
+    return F.concat(F.lit("Some of the rules below say the same. Merge these, keep all others, and answer with a JSON list of strings.\n\n"), rule_text(rules))
+
+
+def filter_prompt(rules: Column) -> Column:
+    return F.concat(F.lit("Which of the rules below can a writer follow in any document? Answer with these alone, as a JSON list of strings.\n\n"), rule_text(rules))
+
+
+def claims_prompt(answer: Column) -> Column:
+    return F.concat(F.lit("List the claims of the answer below with the numbers of the sources that it cites for each, as JSON: [{\"claim\": ..., \"sources\": [...]}]\n\n"), answer)
+
+
+def support_prompt(claim: Column, document: Column) -> Column:
+    return F.concat(F.lit("Does the source support the claim? Answer full_support, partial_support or no_support.\n\nClaim: "), claim, F.lit("\n\nSource:\n"), document)
+
+
+def rating_prompt(criterion: Column, question: Column, answer: Column) -> Column:
+    return F.concat(F.lit("Rate the answer from 0 to 10 for its "), F.lower(criterion), F.lit(".\n\nQuestion: "), question, F.lit("\n\nAnswer:\n"), answer)
+
+
+def points_prompt(points: Column, answer: Column) -> Column:
+    """points: array<struct<point_number, point_content>>."""
+    lines = F.array_join(F.transform(points, lambda p: F.concat(p["point_number"].cast("string"), F.lit(". "), p["point_content"])), "\n")
+    return F.concat(F.lit("For each point say whether the answer has it: Supported, Omitted or Contradicted, as JSON by number.\n\nPoints:\n"), lines, F.lit("\n\nAnswer:\n"), answer)
+
+
 def default_rules(rows: DataFrame, rules: DataFrame, fallback: str) -> DataFrame:
     """Adds rules by dataset and engine (its name contains the rule set's), else the fallback set's."""
     some = rules.select(F.col("dataset").alias("_d"), F.col("engine").alias("_e"), F.col("rules").alias("_r"), "name")

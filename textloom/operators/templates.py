@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, remove_thought
+from .tools import list_tool_column
 
 BOS, EOS = "<bos>", "<eos>"
 
@@ -76,6 +77,11 @@ def render(t: Template, turns: Column, system: Column | None = None, tools: Colu
     return F.transform(turns, one)
 
 
+def with_tool_text(rows: DataFrame, t: Template, tools: str, out: str = "tool_text", today: str = "") -> DataFrame:
+    """Adds what the template's dialect says of a column of tools (JSON): the ``tools`` of :func:`render`."""
+    return list_tool_column(rows, tools, t.tools, out, today)
+
+
 def pairs(t: Template, turns: Column, system: Column | None = None, tools: Column | None = None, thinking: bool | None = None) -> Column:
     """array<struct<prompt, response>> of turns that alternate. A reasoning template removes thoughts when thinking is off, and gives an answer without one an empty thought: in the response (learnt) if thinking is on, else in the prompt."""
     if t.reasoning and thinking is False:
@@ -197,9 +203,14 @@ _turned("smollm2", observation=None, default_system="You are a helpful AI assist
 _turned("yi", observation=None)
 for _name in ("llava", "llava_next", "llava_next_video", "vicuna", "video_llava"):
     register(Template(_name, "USER: {{content}} ASSISTANT:", default_system=_CURIOUS))
-for _name, _in, _out in (("ministral", "[INST]{{content}}[/INST]", "{{content}}<eos>"), ("pixtral", "[INST]{{content}}[/INST]", "{{content}}<eos>"), ("mistral", "[INST] {{content}}[/INST]", " {{content}}<eos>"), ("llava_next_mistral", "[INST] {{content}}[/INST]", " {{content}}<eos>"), ("llava_next_video_mistral", "[INST] {{content}}[/INST]", " {{content}}<eos>")):
-    _gap = " " if _in[6] == " " else ""
-    register(Template(_name, _in, _out, "{{content}}\n\n", "[TOOL_RESULTS]" + _gap + '{"content": {{content}}}[/TOOL_RESULTS]', "[TOOL_CALLS]" + _gap + "{{content}}<eos>", BOS, tools="mistral", fused=True))
+for _t in (
+    Template("ministral", "[INST]{{content}}[/INST]", "{{content}}<eos>", "{{content}}\n\n", '[TOOL_RESULTS]{"content": {{content}}}[/TOOL_RESULTS]', "[TOOL_CALLS]{{content}}<eos>", BOS, tools="mistral", fused=True),
+    Template("pixtral", "[INST]{{content}}[/INST]", "{{content}}<eos>", "{{content}}\n\n", '[TOOL_RESULTS]{"content": {{content}}}[/TOOL_RESULTS]', "[TOOL_CALLS]{{content}}<eos>", BOS, tools="mistral", fused=True),
+    Template("mistral", "[INST] {{content}}[/INST]", " {{content}}<eos>", "{{content}}\n\n", '[TOOL_RESULTS] {"content": {{content}}}[/TOOL_RESULTS]', "[TOOL_CALLS] {{content}}<eos>", BOS, tools="mistral", fused=True),
+    Template("llava_next_mistral", "[INST] {{content}}[/INST]", " {{content}}<eos>", "{{content}}\n\n", '[TOOL_RESULTS] {"content": {{content}}}[/TOOL_RESULTS]', "[TOOL_CALLS] {{content}}<eos>", BOS, tools="mistral", fused=True),
+    Template("llava_next_video_mistral", "[INST] {{content}}[/INST]", " {{content}}<eos>", "{{content}}\n\n", '[TOOL_RESULTS] {"content": {{content}}}[/TOOL_RESULTS]', "[TOOL_CALLS] {{content}}<eos>", BOS, tools="mistral", fused=True),
+):
+    register(_t)
 for _copy, _of, _more in (
     ("mllama", "llama3", {}),
     ("llava_next_llama3", "llama3", {}),

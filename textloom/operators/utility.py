@@ -50,6 +50,11 @@ def quality_dimensions(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("key").pivot("criterion", list(CRITERIA)).agg(F.first(bounded_rating(F.col("rating")), ignorenulls=True))
 
 
+def criteria_rows(questions: DataFrame, criteria: tuple[str, ...] = CRITERIA) -> DataFrame:
+    """Each question once for each criterion: (..., criterion). The criteria are an array in the row, so nothing is joined."""
+    return questions.withColumn("criterion", F.explode(F.array(*map(F.lit, criteria))))
+
+
 def support_rate(supported: Column, omitted: Column, contradicted: Column) -> Column:
     return F.coalesce(F.try_divide(supported.cast("double"), (supported + omitted + contradicted).cast("double")), F.lit(0.0))
 

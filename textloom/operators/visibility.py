@@ -90,3 +90,9 @@ def source_block(texts: Column, closed: bool = False) -> Column:
 def mean_scores(scores: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """The mean of each column by group, nulls left out."""
     return scores.groupBy(*by).agg(*(F.avg(c).alias(c) for c in columns))
+
+
+def scores_with_fallback(records: DataFrame, score: str, text: str, original: str = "original") -> DataFrame:
+    """The scores to average: of a record whose text is empty the original's instead; records without the score are left out."""
+    empty = F.coalesce(F.col(text) == "", F.lit(False))
+    return records.where(F.col(score).isNotNull()).withColumn(score, F.when(empty, F.col(original)).otherwise(F.col(score))).where(F.col(score).isNotNull())

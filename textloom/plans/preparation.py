@@ -19,11 +19,11 @@ _RANK = "row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHA
 
 @query(
     "mixture_weighted",
-    f"WITH r AS (SELECT doc_id, lang, {_RANK} AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang FROM r WHERE (lang = 'en' AND k <= floor(n * 0.25)) OR (lang = 'fr' AND k <= floor(n * 0.5)) OR lang = 'de'",
+    f"WITH r AS (SELECT doc_id, lang, {_RANK} AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang FROM r WHERE (lang = 'en' AND k <= floor(n * 0.25)) OR (lang = 'fr' AND k <= floor(n * 0.5)) OR lang IN ('de', 'es')",
 )
 def mixture_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "lang")
-    parts = [P.Part(docs.where(F.col("lang") == x), w) for x, w in (("en", 0.25), ("fr", 0.5), ("de", None))]
+    parts = [P.Part(docs.where(F.col("lang") == x), w) for x, w in (("en", 0.25), ("fr", 0.5), ("de", None), ("es", None))]
     return P.Mixture(parts, "doc_id").build()["train"]
 
 
@@ -35,12 +35,12 @@ def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _turns(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "lang")
-    mixed = P.interleave([docs.where(F.col("lang") == x) for x in ("en", "fr", "de")], ["doc_id"], strategy)
+    mixed = P.interleave([docs.where(F.col("lang") == x) for x in ("en", "fr", "de", "es")], ["doc_id"], strategy)
     return mixed.select(F.col("_at").alias("place"), "doc_id")
 
 
-_TURNS = """WITH p AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS part, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('en', 'fr', 'de')),
-s AS (SELECT {0}(n) AS r FROM p), k AS (SELECT unnest(range(0, r)) AS k FROM s) SELECT CAST(k * 3 + part AS BIGINT) AS place, doc_id FROM k JOIN p ON i = k % n"""
+_TURNS = """WITH p AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS part, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')),
+s AS (SELECT {0}(n) AS r FROM p), k AS (SELECT unnest(range(0, r)) AS k FROM s) SELECT CAST(k * 4 + part AS BIGINT) AS place, doc_id FROM k JOIN p ON i = k % n"""
 
 
 @query("interleave_under", _TURNS.format("min"))
@@ -61,7 +61,7 @@ def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("resume_semi", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def resume_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", "source").join(load(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi")
+    return P.qualified(_docs(spark, sf_dir).select("doc_id", "source"), load(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
 
 
 @query("batches", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM documents")
@@ -118,7 +118,7 @@ def rule_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.rules import keep_first_words, merge_rules
 
     rules = load(spark, sf_dir, "documents").select(sentences(F.col("text")).alias("rules"))
-    return merge_rules(rules, keep_first_words, budget=20_000, levels=3)
+    return merge_rules(rules, keep_first_words, budget=20_000)
 
 
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -114,6 +114,32 @@ def write_tsv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", "true").csv(path, sep="\t")
 
 
+def write_results(rows: DataFrame, path: str) -> None:
+    """The same rows as ``{path}/tsv`` and as ``{path}/json``."""
+    write_tsv(rows, f"{path}/tsv")
+    rows.write.mode("overwrite").json(f"{path}/json")
+
+
+def save_tokenized(rows: DataFrame, path: str) -> None:
+    """A tokenised data set as a table; one that is there stays."""
+    rows.write.mode("ignore").parquet(path)
+
+
+def load_tokenized(spark: SparkSession, path: str) -> DataFrame | None:
+    """The saved data set, or nothing where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def revision_name(base: str, low: float, high: float) -> str:
+    """The configuration's name of a data set filtered by pass rate."""
+    return f"{base}-filt-{low:g}-{high:g}"
+
+
 def write_log(rows: DataFrame, path: str) -> None:
     """JSON lines; null fields are left out."""
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
