@@ -143,7 +143,7 @@ def chat_prompt(df: DataFrame, prompt: str, system: str | None = None, out: str
 
 def placeholders(text: Column, mark: str, tokens: Column) -> Column:
     """Each mark as so many of itself."""
-    return F.array_join(F.split(text, rf"\Q{mark}\E", -1), F.repeat(F.lit(mark), tokens))
+    return F.replace(text, F.lit(mark), F.repeat(F.lit(mark), tokens))
 
 
 def image_size(width: Column, height: Column, most: int = 768 * 768, least: int = 32 * 32) -> Column:
