@@ -421,3 +421,15 @@ def test_suffix_array():
     for _ in range(500):
         s = rng.integers(0, rng.integers(1, 6), rng.integers(0, 60))
         assert suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_many_equal_rows_in_linear_work(spark):
+    """Rows equal in id and text: all of them go, and a passage that others share with them goes there."""
+    from textloom.llm.substrings import remove_repeats
+
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+    rows = [(None, text)] * 3000 + [(i, f"{rng.random()} {text[400:900]} {rng.random()}") for i in range(5)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.n_removed == len(text) for r in got) == 3000
+    assert all(r.n_removed >= 500 for r in got if r.doc_id is not None) and len(got) == 3005

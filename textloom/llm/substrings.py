@@ -261,7 +261,7 @@ def _arrays(held: list[list]) -> list[pa.Array]:
 
 
 def _sort_groups(length: int, most: int = 1 << 20):
-    """Rows sorted by ah: whole groups are gathered to about ``most`` bytes, suffix-sorted, and their repeated starts returned."""
+    """Rows sorted by ah and place: whole groups are gathered to about ``most`` bytes, each place once, suffix-sorted, and their repeated starts returned."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         texts = [r[4] for r in rows]
@@ -275,13 +275,15 @@ def _sort_groups(length: int, most: int = 1 << 20):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        size, last = 0, None
+        size, last, place = 0, None, None
         for batch in batches:
             for row in zip(*(batch[c].to_pylist() for c in ("ah", "did", "fp", "s", "ctx")), strict=True):
                 if row[0] != last and size >= most:
                     yield solve(rows)
                     rows, size = [], 0
-                last = row[0]
+                if row[:4] == place:  # a row equal in id and text
+                    continue
+                last, place = row[0], row[:4]
                 rows.append(row)
                 size += len(row[4])
         if rows:
@@ -318,10 +320,17 @@ def _divide(length: int, step: int):
     return run
 
 
-def _counted(df: DataFrame) -> DataFrame:
-    """Adds n (rows equal in ah and ch), rep (the row stands for them) and groups (different ch of an ah); partial sums precede each shuffle."""
-    same = df.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("did", "fp", "s")).alias("low"))
-    return same, same.groupBy("ah").agg(F.count("*").alias("groups"), F.sum("n").alias("all"))
+def _counted(df: DataFrame, name: str) -> DataFrame:
+    """(ah, ch, n, low, groups, all): rows equal in ah and ch, the least of them, different ch of an ah and all its rows.
+
+    Partial sums precede each shuffle; the join is between two tables, so that Spark can split a hot anchor's rows.
+    """
+    same = table(df.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("did", "fp", "s")).alias("low")), f"{name}-same")
+    groups = table(same.groupBy("ah").agg(F.count("*").alias("groups"), F.sum("n").alias("all")), f"{name}-groups")
+    known = table(same.join(groups, "ah"), name)
+    drop_table(same)
+    drop_table(groups)
+    return known
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_group: int = 4000) -> DataFrame:
@@ -334,8 +343,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_
     often = table(found.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah"), "often")
     kept = table(found.join(often, "ah"), "repeated-anchors")  # between two tables: a hot anchor's rows can be split
     drop_table(found)
-    same, groups = _counted(kept)
-    known = table(same.join(groups, "ah"), "classes")
+    known = _counted(kept, "classes")
     rows = kept.join(known, ["ah", "ch"])
     row_is = F.struct("did", "fp", "s") == F.col("low")
     out = [rows.where("n > 1").select("did", "fp", F.col("s").alias("b"), (F.col("e") + length).alias("z"))]
@@ -347,8 +355,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_
     out.append(_sorted(cut.join(crowd, "ah", "left_anti"), length))
     for step in (STEP, 1):
         parts = table(cut.join(crowd, "ah", "left_semi").mapInArrow(_divide(length, step), _CUT + ", ch long"), f"parts{step}")
-        same, groups = _counted(parts)
-        known = table(same.join(groups, "ah"), f"part-classes{step}")
+        known = _counted(parts, f"part-classes{step}")
         rows = parts.join(known, ["ah", "ch"])
         out.append(rows.where("n > 1").select("did", "fp", F.col("s").alias("b"), (F.col("e") + length).alias("z")))
         rest = rows.where((F.col("groups") > 1) & ((F.col("n") == 1) | row_is))
@@ -363,7 +370,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_
 
 
 def _sorted(cut: DataFrame, length: int) -> DataFrame:
-    dealt = cut.repartition("ah").sortWithinPartitions("ah")
+    dealt = cut.repartition("ah").sortWithinPartitions("ah", "did", "fp", "s")
     return dealt.select("ah", "did", "fp", "s", "ctx").mapInArrow(_sort_groups(length), "did long, fp long, b int, z int")
 
 
@@ -430,7 +437,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_
     ship(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row_key())
     spans_ = repeated_spans(keyed, length, core, max_group)
-    lists = spans_.groupBy("did", "fp").agg(F.collect_list(F.struct("b", "z")).alias("spans"))
+    lists = spans_.groupBy("did", "fp").agg(F.collect_set(F.struct("b", "z")).alias("spans"))
     joined = keyed.join(lists, ["did", "fp"], "left").select("doc_id", "text", "spans")
     schema = StructType([StructField("doc_id", LongType()), *_apply_schema(texts)])
     return joined.mapInArrow(_apply(["doc_id"], texts), schema)
@@ -446,7 +453,7 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
     at = docs.columns.index("text")
     held = [f"_c{i}" for i in range(len(docs.columns)) if i != at]  # names of docs may be any
     keyed = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns) if i != at), F.coalesce("text", F.lit("")).alias("text"), did, fp)
-    lists = repeated_spans(keyed.select("did", "fp", "text"), **options).groupBy("did", "fp").agg(F.collect_list(F.struct("b", "z")).alias("spans"))
+    lists = repeated_spans(keyed.select("did", "fp", "text"), **options).groupBy("did", "fp").agg(F.collect_set(F.struct("b", "z")).alias("spans"))
     rows = keyed.join(lists, ["did", "fp"], "left").select(*held, "text", "spans")
     kinds = [StructField(f"_c{i}", f.dataType) for i, f in enumerate(docs.schema.fields) if i != at]
     out = rows.mapInArrow(_apply(held, True), StructType(kinds + _apply_schema(True)))
