@@ -26,8 +26,8 @@ def sample_ids(ids: DataFrame, most: int, seed: int = 1) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text) for ``ids``, a bounded sample that is sent to all executors."""
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    """One row of ``docs`` (doc_id, text) for each row of ``ids``, a bounded sample that is sent to all executors; of several texts of an id the least."""
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy(*ids.columns).agg(F.min("text").alias("text"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
