@@ -43,8 +43,15 @@ def drop_contaminated(rows: DataFrame, prefix: str = "contaminated") -> DataFram
     return rows.where(~reduce(lambda a, b: a | b, [F.coalesce(F.col(c), F.lit(False)) for c in flags], F.lit(False))).drop(*flags)
 
 
-def repetition_penalty(text: Column, n: int, penalty: float) -> Column:
-    """(1 - distinct / all n-grams) * penalty; 0 for an empty or short text. A positive penalty is an error."""
+def repetition_penalty(text: Column, n: int, penalty: float, language: str = "en") -> Column:
+    """(1 - distinct / all n-grams) * penalty; 0 for an empty or short text. A positive penalty is an error.
+
+    Words of ``en`` are divided by white space; of ``zh``, for which no segmenter is at hand, each character is one.
+    """
+    if language not in ("en", "zh"):
+        raise ValueError(f"unknown language {language}")
+    if language == "zh":
+        text = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\S)", "$1 ")
     if penalty > 0:
         raise ValueError(f"the penalty {penalty} should not be positive")
     grams = word_ngrams(F.lower(F.coalesce(text, F.lit(""))), n)

@@ -8,9 +8,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import let
+from ..shared import unused
+from .templates import EFFICIENT, Template, pairs
 
 IGNORE = -100
 
@@ -193,6 +196,25 @@ def kto_batch(rows: DataFrame, batch: str, order: str, pad: int = 0) -> DataFram
     return pad_batch(rows, batch, {"input_ids": pad, "labels": IGNORE, "kl_input_ids": pad, "kl_labels": IGNORE}).select(batch, order, "input_ids", "labels", "kl_input_ids", "kl_labels", "kto_tags")
 
 
+def tokenized(rows: DataFrame, pairs: str, encode: Callable[[str], list[int]], out: str = "turns") -> DataFrame:
+    """Adds array<struct<prompt, response>> of ids for a column of the same of texts; ``encode`` is any tokenizer's, called batch by batch in Python workers."""
+    kind = StructType([StructField("prompt", ArrayType(IntegerType())), StructField("response", ArrayType(IntegerType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(**{out: [[{k: encode(p[k]) for k in ("prompt", "response")} for p in ps] for ps in b[pairs]]})
+
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(out, ArrayType(kind))]))
+
+
+def supervised(rows: DataFrame, t: Template, turns: str, encode: Callable[[str], list[int]], cutoff: int, eos: int | None = None, system: Column | None = None, **masks: bool) -> DataFrame:
+    """Adds input_ids and labels: turns (role, content) rendered by a template, tokenized, cut and masked (:func:`encode_turns`); a template that closes a conversation once does so with ``eos``."""
+    (pairs_, ids) = unused(rows.columns, "pairs", "ids")
+    texts = tokenized(rows.withColumn(pairs_, pairs(t, F.col(turns), system)), pairs_, encode, ids)
+    done = encode_turns(F.col(ids), cutoff, eos=eos if t.name in EFFICIENT else None, **masks)
+    return texts.withColumn(ids, done).select(*(F.col(f"`{c}`") for c in rows.columns), F.col(ids)["input_ids"].alias("input_ids"), F.col(ids)["labels"].alias("labels"))
+
+
 #: What encodes the rows of a stage; "sft" may pack.
 PROCESSORS: dict[str, Callable] = {"pt": pretrain_blocks, "sft": encode_turns, "sft_packed": pack_knapsack, "rm": encode_pair, "kto": encode_kto, "ppo": encode_unsupervised}
 

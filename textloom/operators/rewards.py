@@ -60,8 +60,8 @@ def cosine(text: Column, correct: Column, longest: int = 1000, wrong: tuple[floa
 
 
 @register("repetition_penalty")
-def repetition(text: Column, n: int = 3, penalty: float = -1.0) -> Column:
-    return repetition_penalty(text, n, penalty)
+def repetition(text: Column, n: int = 3, penalty: float = -1.0, language: str = "en") -> Column:
+    return repetition_penalty(text, n, penalty, language)
 
 
 @register("soft_overlong_punishment")

@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from .visibility import source_block
 
 
 def score(rows: DataFrame, call: Callable[[str], str], prompt: str = "prompt", out: str = "response", tries: int = 5, wait: float = 1.0, growth: float = 2.0, threads: int = 16) -> DataFrame:
@@ -52,3 +54,54 @@ def score_once(rows: DataFrame, path: str, keys: list[str], call: Callable[[str]
 def alias(rows: DataFrame, names: DataFrame, column: str = "model") -> DataFrame:
     """Model names by a table (name, route); unknown ones stay."""
     return rows.join(names.select(F.col("name").alias(column), "route"), column, "left").withColumn(column, F.coalesce("route", column)).drop("route")
+
+
+def answer_prompt(question: Column, texts: Column) -> Column:
+    """The prompt for an answer that cites its sources by number."""
+    asked = F.lit("Answer the question from the sources below alone. After each sentence cite the sources it rests on as [number].\n\nQuestion: ")
+    return F.concat(asked, question, F.lit("\n\n"), source_block(texts))
+
+
+def generated(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]], prompt: str = "prompt", out: str = "generation") -> DataFrame:
+    """Adds texts generated batch by batch: ``load`` is called once in each task and gives a function from prompts to texts (a local model)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generate = load()
+        for b in batches:
+            yield b.assign(**{out: generate(list(b[prompt]))})
+
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(out, StringType())]))
+
+
+#: Names of services that run code -> a function from (code, language) to a score.
+PROVIDERS: dict[str, Callable[[str, str], float]] = {}
+
+
+def provider(name: str):
+    def add(f):
+        if name in PROVIDERS:
+            raise ValueError(f"provider {name} exists")
+        PROVIDERS[name] = f
+        return f
+
+    return add
+
+
+def executed(rows: DataFrame, name: str, code: str = "code", language: str = "language", out: str = "score", threads: int = 16) -> DataFrame:
+    """Adds the score of each row's code by a registered service; a run that fails has 0. This engine itself runs no code."""
+    if name not in PROVIDERS:
+        raise ValueError(f"unknown provider {name}")
+    call = PROVIDERS[name]
+
+    def one(x: tuple[str, str]) -> float:
+        try:
+            return float(call(*x))
+        except Exception:  # whatever a service raises
+            return 0.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(threads) as pool:
+            for b in batches:
+                yield b.assign(**{out: list(pool.map(one, zip(b[code], b[language], strict=True)))})
+
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(out, DoubleType())]))

@@ -251,6 +251,56 @@ for _t in (
     register(_t)
 
 
+# Texts at which generation stops, by template.
+STOPS = {
+    "aquila": ("</s>",),
+    "bailing": ("<|endoftext|>",),
+    "chatglm3": ("<|user|>", "<|observation|>"),
+    "chatml": ("<|im_end|>", "<|im_start|>"),
+    "chatml_de": ("<|im_end|>", "<|im_start|>"),
+    "codegeex4": ("<|user|>", "<|observation|>"),
+    "falcon_h1": ("<|im_end|>", "<|end_of_text|>"),
+    "gemma": ("<end_of_turn>",),
+    "gemma3": ("<end_of_turn>",),
+    "glm4": ("<|user|>", "<|observation|>"),
+    "glmz1": ("<|user|>", "<|observation|>"),
+    "hunyuan": ("<|eos|>",),
+    "intern": ("<eoa>",),
+    "llama3": ("<|eot_id|>", "<|eom_id|>"),
+    "llama4": ("<|eot|>", "<|eom|>"),
+    "llava_next_llama3": ("<|eot_id|>", "<|eom_id|>"),
+    "mllama": ("<|eot_id|>", "<|eom_id|>"),
+    "openchat-3.6": ("<|eot_id|>",),
+    "paligemma_chat": ("<end_of_turn>",),
+    "phi": ("<|end|>",),
+    "phi_small": ("<|end|>",),
+    "skywork_o1": ("<|eot_id|>", "<|eom_id|>"),
+    "starchat": ("<|end|>",),
+    "yayi": ("<|End|>",),
+    "yi_vl": ("###",),
+    "yuan": ("<eod>",),
+}
+_IM_END = (
+    "cpm3", "cpm4", "dbrx", "intern2", "intern_vl", "kimi_vl", "llava_next_qwen", "llava_next_video_yi", "llava_next_yi", "marco", "mimo", "mimo_vl", "minicpm_o", "minicpm_v",
+    "moonlight", "opencoder", "phi4", "qwen", "qwen2_audio", "qwen2_omni", "qwen2_vl", "qwen3", "sailor", "smollm", "smollm2", "yi",
+)
+STOPS |= {name: ("<|im_end|>",) for name in _IM_END}
+# Templates whose answers are closed once, at the end of a conversation; and those whose first stop text becomes the end token.
+EFFICIENT = ("baichuan", "baichuan2", "bailing", "breeze", "chatglm2", "chatglm3", "codegeex4", "falcon", "fewshot", "glm4", "glmz1", "index", "solar", "yi_vl")
+REPLACED = (
+    "chatml", "chatml_de", "dbrx", "gemma", "gemma3", "llama3", "llama4", "llava_next_llama3", "llava_next_qwen", "mimo", "mimo_vl", "mllama", "moonlight", "paligemma_chat",
+    "phi", "phi4", "phi_small", "qwen", "qwen2_audio", "qwen2_omni", "qwen2_vl", "qwen3",
+)
+
+
+def end_tokens(t: Template, eos: str) -> tuple[str, list[str]]:
+    """The end token and the further stop texts: of a template in ``REPLACED`` the first stop text takes the place of ``eos``."""
+    stops = list(STOPS.get(t.name, ()))
+    if t.name in REPLACED and stops:
+        return stops[0], stops[1:]
+    return eos, stops
+
+
 def to_modelfile(t: Template, bos: str, eos: str, stops: tuple[str, ...] = (), context: int = 4096) -> str:
     """The template as a model file with Go template text, for a local model runner."""
 

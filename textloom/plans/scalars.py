@@ -11,6 +11,7 @@ from ..operators import alignment as A
 from ..operators import packing as G
 from ..operators import rewards as R
 from ..operators import rules as U
+from ..operators import scorer as C
 from ..operators import templates as T
 from ..operators import tools as O
 from ..operators import visibility as V
@@ -310,3 +311,36 @@ def reward_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = (F.col("doc_id") + 123456789012).cast("string")
     said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("so \\boxed{"), number, F.lit(".0}"))).when(F.col("doc_id") % 3 == 1, number).otherwise(F.concat(number, F.lit("1")))
     return _docs(spark, sf_dir, F.lit(0).alias("z"), R.short(F.col("text")).alias("reward"), R.accuracy(said, number).alias("right_"), R.binary(F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.5)).alias("passed")).drop("z")
+
+
+@query(
+    "supervised_rows",
+    """SELECT doc_id, CAST(length('<|im_start|>user' || chr(10) || source || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS INTEGER) AS ignored, CAST(length('fine<|im_end|>') + 1 AS INTEGER) AS learnt FROM documents""",
+)
+def supervised_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns rendered, tokenized (a code point is a token) and masked."""
+    rows = G.supervised(_docs(spark, sf_dir, _exchange(F.col("source")).alias("turns")), T.TEMPLATES["chatml"], "turns", lambda t: [ord(c) for c in t], 10_000)
+    ignored = F.size(F.filter("labels", lambda x: x == G.IGNORE))
+    return rows.select("doc_id", ignored.alias("ignored"), (F.size("input_ids") - ignored).alias("learnt"))
+
+
+@query("answers_generated", "SELECT doc_id, length('Question: ' || source) AS asked, 'echo' AS said, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS score FROM documents")
+def answers_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with sources go to a batch generator, and code to a service that fails for odd ids."""
+    if "even" not in C.PROVIDERS:
+        C.provider("even")(lambda code, language: 1 / (int(code) % 2 == 0))
+    rows = _docs(spark, sf_dir, "source", C.answer_prompt(F.col("source"), F.array("text")).alias("prompt"), F.col("doc_id").cast("string").alias("code"), F.lit("python").alias("language"))
+    rows = C.executed(C.generated(rows, lambda: lambda prompts: ["echo" if "### Source 0:" in p else "" for p in prompts]), "even")
+    asked = F.length(F.regexp_extract("prompt", r"(Question: [^\n]*)", 1))
+    return rows.select("doc_id", asked.alias("asked"), F.col("generation").alias("said"), "score")
+
+
+@query("repetition_characters", "WITH d AS (SELECT doc_id, coalesce(source, '') AS s FROM documents), g AS (SELECT doc_id, CASE WHEN length(s) >= 2 THEN list_transform(range(1, length(s)), lambda i: s[i:i + 1]) ELSE [] END AS g FROM d) SELECT doc_id, round(CASE WHEN len(g) > 0 THEN (len(list_distinct(g)) / CAST(len(g) AS DOUBLE) - 1) ELSE 0.0 END, 6) AS reward FROM g")
+def repetition_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir, F.round(R.repetition(F.col("source"), 2, -1.0, "zh"), 6).alias("reward"))
+
+
+@query("stop_words", "SELECT doc_id, '<|im_end|>' AS end_token, '<|im_start|>' AS stops FROM documents")
+def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end, others = T.end_tokens(T.TEMPLATES["chatml"], "</s>")
+    return _docs(spark, sf_dir, F.lit(end).alias("end_token"), F.lit(",".join(others)).alias("stops"))
