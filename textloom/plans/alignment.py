@@ -62,17 +62,3 @@ def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = load(spark, sf_dir, "conversations").where("role <> 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
     return rows.select("conv_id", F.array_join(render(TEMPLATES["chatml"], F.col("m")), "").alias("text"))
-
-
-@query("tool_extract")
-def tool_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A call rendered in each dialect and read back."""
-    from ..operators import tools as X
-
-    call = '{"name": "tool_name", "arguments": {"foo": "bar", "size": 10}}'
-    out = None
-    for d in X.DIALECTS:
-        rows = X.render_call_column(spark.createDataFrame([(d, call)], "dialect string, call string"), "call", d)
-        rows = X.extract_calls(rows, "text", d).select("dialect", "text", F.col("read.calls")[0]["name"].alias("name"), F.col("read.calls")[0]["arguments"].alias("arguments"))
-        out = rows if out is None else out.unionByName(rows)
-    return out

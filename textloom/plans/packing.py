@@ -59,24 +59,15 @@ def knapsack_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pack_knapsack(docs, 512).select("batch", "pack", F.size("keys").alias("n"), F.size("input_ids").alias("size"))
 
 
-_MASKS = [(0, [1, 1, 2, 2, 2, 0]), (1, [1, 2, 2, 3, 3, 3])]
-
-
-@query("seqlens", "SELECT * FROM (VALUES (0, '2,3', '0,2,5'), (1, '1,2,3', '0,1,3,6')) t(id, lengths, offsets)")
-def seqlens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_MASKS, "id int, mask array<int>").select("id", P.segment_lengths(F.col("mask")).alias("lengths"))
-    join = lambda c: F.array_join(c.cast("array<string>"), ",")
-    return rows.select("id", join(F.col("lengths")).alias("lengths"), join(P.cumulative(F.col("lengths"))).alias("offsets"))
-
-
 @query(
     "attention_mask",
-    """WITH m AS (SELECT * FROM (VALUES (0, [1, 1, 2, 2, 2, 0]), (1, [1, 2, 2, 3, 3, 3])) t(id, mask)), i AS (SELECT id, mask, unnest(range(0, 6)) AS i FROM m), j AS (SELECT *, unnest(range(0, 6)) AS j FROM i)
-    SELECT id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, mask[i + 1] = mask[j + 1] AND mask[i + 1] <> 0 AND j <= i AS allowed FROM j""",
+    """WITH m AS (SELECT doc_id, CASE CAST(doc_id % 3 AS INTEGER) WHEN 0 THEN [1, 1, 2, 0] WHEN 1 THEN [1, 2, 2, 2] ELSE [1, 2, 3, 0] END AS mask FROM documents), i AS (SELECT doc_id, mask, unnest(range(0, 4)) AS i FROM m), j AS (SELECT *, unnest(range(0, 4)) AS j FROM i)
+    SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, mask[i + 1] = mask[j + 1] AND mask[i + 1] <> 0 AND j <= i AS allowed FROM j""",
 )
 def attention_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_MASKS, "id int, mask array<int>").select("id", F.posexplode(P.block_mask(F.col("mask"))).alias("i", "row"))
-    return rows.select("id", "i", F.posexplode("row").alias("j", "allowed"))
+    masks = F.array(*(F.array(*map(F.lit, m)) for m in ((1, 1, 2, 0), (1, 2, 2, 2), (1, 2, 3, 0))))
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(P.block_mask(F.get(masks, (F.col("doc_id") % 3).cast("int")))).alias("i", "row"))
+    return rows.select("doc_id", "i", F.posexplode("row").alias("j", "allowed"))
 
 
 @query(

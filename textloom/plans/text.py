@@ -46,22 +46,25 @@ def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.length(normalize(F.col("text"))).cast("long").alias("n_normal"), F.size(word_ngrams(normalize(F.col("text")), 8)).cast("long").alias("n_grams"))
 
 
-_CODES = [("a", "x ```python\nprint(1)\n``` y ```python\nprint(2)\n```"), ("b", "none here"), ("c", "```cpp\nint x;\n```")]
-
-
-@query("extract_code", "SELECT * FROM (VALUES ('a', 'print(2)' || chr(10)), ('b', ''), ('c', '')) t(id, code)")
+@query("extract_code", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'print(' || doc_id || ')' || chr(10) END AS code FROM documents")
 def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_CODES, "id string, text string").select("id", extract_code(F.col("text")).alias("code"))
+    """The last of two blocks; a block of another language is none."""
+    block = F.format_string("```python\nprint(1)\n``` y ```python\nprint(%s)\n```", F.col("doc_id").cast("string"))
+    other = F.lit("```cpp\nint x;\n```")
+    return load(spark, sf_dir, "documents").select("doc_id", extract_code(F.concat("text", F.when(F.col("doc_id") % 3 == 0, other).otherwise(block))).alias("code"))
 
 
-@query("param_count", "SELECT * FROM (VALUES ('org/Model-7B-chat', 7000000000), ('Mix-8x7b', 56000000000), ('tiny-350m', 350000000), ('none', -1), ('a-1.5b-then-72B', 72000000000)) t(name, n)")
+@query("param_count", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN (doc_id % 90 + 1) * 1000000000 WHEN 1 THEN 8 * (doc_id % 9 + 1) * 1000000000 ELSE -1 END AS n FROM documents")
 def param_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(x,) for x in ("org/Model-7B-chat", "Mix-8x7b", "tiny-350m", "none", "a-1.5b-then-72B")], "name string")
-    return names.select("name", parameter_count(F.col("name")).alias("n"))
+    d = F.col("doc_id")
+    one = F.concat(F.lit("org/Model-350m-"), (d % 90 + 1).cast("string"), F.lit("B-chat"))
+    many = F.concat(F.lit("Mix-8x"), (d % 9 + 1).cast("string"), F.lit("b"))
+    return load(spark, sf_dir, "documents").select("doc_id", parameter_count(F.when(d % 3 == 0, one).when(d % 3 == 1, many).otherwise("none")).alias("n"))
 
 
-@query("formal_text", "SELECT doc_id, length(trim(text)) AS n FROM documents")
+@query("formal_text", "SELECT doc_id, md5(trim(text)) AS digest, length(trim(text)) AS n FROM documents")
 def without_thoughts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wrapped in thoughts and tool tags, a text comes back as it was."""
     wrapped = F.concat(F.lit("<THINK>a\nb</think><tool_call>"), F.trim("text"), F.lit("</tool_call><|im_end|>"))
-    return load(spark, sf_dir, "documents").select("doc_id", F.length(formal_text(wrapped)).cast("long").alias("n"))
+    out = formal_text(wrapped)
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(out.cast("binary")).alias("digest"), F.length(out).cast("long").alias("n"))
