@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next one's docs. All but the last return the columns of documents.
+as the next one's docs. All but the last return the columns of documents, whatever other columns there are and
+whatever their names. Every stage takes texts of any length, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,27 +19,27 @@ from textloom.llm.substrings import cleaned
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or their group's outlier test reject go."""
+    """Documents that the rules or their group's outlier test reject go: null and empty texts among them; equal rows stay or go together."""
     return keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
+    """One document of each near-duplicate component stays, that with the least doc_id; null, empty and blank texts are like nothing and stay; of equal rows one stays."""
     return one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that start at several places are cut out of all texts."""
+    """Strings of 200 bytes that start at several places are cut out of all texts, of equal rows too; a null text becomes empty."""
     return cleaned(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become the words that the mixture takes of them; documents of which it takes none go."""
+    """Texts become the words that the mixture takes of them; documents of which it takes none go, null and empty ones among them; equal rows are dealt with one by one."""
     return mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE of each mixed text: doc_id, n_tokens, digests, ids."""
+    """Byte-level BPE of each mixed text: doc_id, n_tokens, digests, ids; a row for every row, null and empty texts without tokens."""
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
 
 

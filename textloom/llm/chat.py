@@ -80,7 +80,11 @@ def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds turns (role, text) and learned (the text under the loss mask), both parsed from ``formatted`` and unescaped."""
+    """Adds turns (role, text) and learned (the text under the loss mask), both parsed from ``formatted`` and unescaped.
+
+    formatted: formatted, loss as :func:`format_paths` gives them; empty roles and texts come back empty, texts of any length and repeated rows as
+    they are, an empty table stays empty.
+    """
     body = F.expr(r"filter(split(formatted, '<\\|im_end\\|>\n', -1), x -> x <> '')")
     inner = F.transform(body, lambda x: F.substring(x, len(START) + 1, 2**31 - 1))
     role = r"^((?:[^\\\n]|\\[\s\S])*+)\n"
@@ -90,7 +94,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_trees(rows: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as reply trees: each turn answers the one before; ties go by role and text, null first."""
+    """Rows (conv_id, turn, role, text) as reply trees: each turn answers the one before; ties go by role and text, null first.
+
+    Rows with a null conv_id are one conversation; repeated rows are turns of their own; other columns are not read; an empty table has no trees.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order))
     # a null conv_id is a conversation of its own: its key is absent from the number line

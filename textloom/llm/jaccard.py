@@ -143,7 +143,10 @@ def _verify(percent: int):
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, comp): the smallest node each node of ``edges`` (u, v) is connected to, by repeated hooking and contraction."""
+    """(node, comp): the smallest node each node of ``edges`` (u, v) is connected to, by repeated hooking and contraction.
+
+    Repeated edges count once; an edge from a node to itself or with a null end links nothing; no edges, no rows.
+    """
     edges = table(edges.select("u", "v").where("u <> v").distinct(), f"{name}-edges")
     label = None
     while True:
