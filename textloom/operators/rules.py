@@ -98,22 +98,25 @@ def greedy_chunks(rules: DataFrame, budget: int = 20_000) -> DataFrame:
     return rows.groupBy("_block", "chunk").agg(F.array_sort(F.collect_list("rule")).alias("rules")).select(F.struct("_block", "chunk").alias("chunk"), "rules")
 
 
-def merge_rules(rules: DataFrame, merge: Callable[[DataFrame], DataFrame], budget: int = 20_000) -> DataFrame:
+def merge_rules(rules: DataFrame, merge: Callable[[DataFrame], DataFrame], budget: int = 20_000, growth: int = 16) -> DataFrame:
     """(rule): chunks are merged, the results made distinct, and again until they fit one chunk, which is merged last.
 
-    merge: (chunk, rules) to (chunk, rules), e.g. a scorer over prompts. If a round leaves as many rules as it took, the merger keeps them
-    apart: they are the result, however many; no row ever holds more than a chunk.
+    merge: (chunk, rules) to (chunk, rules), e.g. a scorer over prompts. After a round that leaves as many rules as it took, chunks
+    have twice the budget, up to ``growth`` times the first, so that rules far apart in order meet. If even such a round merges nothing, the
+    merger keeps the rules apart: they are the result, however many; no row holds more than the largest chunk.
     """
     rules = distinct_rules(rules.select(F.array("rule").alias("rules"))) if "rules" not in rules.columns else distinct_rules(rules)
-    rules = table(rules, "rules")
+    rules, room = table(rules, "rules"), budget
     while True:
         n, chars = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("rule")), F.lit(0))).first()
-        if chars // CHARS_PER_TOKEN <= budget:
+        if chars // CHARS_PER_TOKEN <= room:
             whole = rules.agg(F.array_sort(F.collect_list("rule")).alias("rules")).select(F.lit(0).alias("chunk"), "rules")
             return distinct_rules(merge(whole.where(F.size("rules") > 0)))
-        fewer = table(distinct_rules(merge(greedy_chunks(rules, budget))), "rules")
+        fewer = table(distinct_rules(merge(greedy_chunks(rules, room))), "rules")
         if fewer.count() >= n:
-            return fewer
+            if room >= budget * growth:
+                return fewer
+            room = min(room * 2, budget * growth)
         rules = fewer
 
 
