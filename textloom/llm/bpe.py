@@ -121,6 +121,11 @@ class Bpe:
                 row, lengths, best, ids, ranks = row[live], lengths[live], best[live], ids[live], ranks[live]
             if not len(row):
                 return out
+            r, c = np.nonzero(ranks == best[:, None])
+            if len(r) == len(row):  # one pair in each row: the columns close up by one
+                ids, ranks = self._one_each(ids, ranks, c, best)
+                lengths = lengths - 1
+                continue
             r, c = np.nonzero(self._chosen(ranks == best[:, None], best))
             gone = np.bincount(r, minlength=len(row))
             column = np.arange(ids.shape[1])
@@ -140,6 +145,19 @@ class Bpe:
                 after = ids[x, np.minimum(y + 1, len(column) - 1)]
                 ranks[x, y] = self.pair(ids[x, y], np.where(last, np.int32(-1), after))
 
+    def _one_each(self, ids: np.ndarray, ranks: np.ndarray, c: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pair at ``c`` of each row merged into ``best``."""
+        here = np.arange(len(ids))
+        ids[here, c] = best
+        column = np.arange(ids.shape[1] - 1)
+        take = column + (column > c[:, None])
+        ids, ranks = np.take_along_axis(ids, take, axis=1), np.take_along_axis(ranks, take, axis=1)
+        after = ids[here, np.minimum(c + 1, len(column) - 1)]
+        ranks[here, c] = self.pair(best, np.where(c + 1 < len(column), after, np.int32(-1)))
+        x = np.flatnonzero(c)
+        ranks[x, c[x] - 1] = self.pair(ids[x, c[x] - 1], best[x])
+        return ids, ranks
+
     def _chosen(self, hit: np.ndarray, best: np.ndarray) -> np.ndarray:
         """Of the pairs of minimum rank those to merge: the leftmost; if the token made can give no lower rank the others, too, of overlapping ones every other."""
         one = ~self.alone[best]
