@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,12 +46,22 @@ def _tokenizer(path: str, special_as_text: bool):
     return _tokenizers[path, special_as_text]
 
 
-def _words(x: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The runs of bytes other than ASCII white space of each row, one row after another, and their number in each row."""
+def _words(x: np.ndarray, offs: np.ndarray, fine: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """The runs of bytes other than ASCII white space of each row, one row after another, and their number in each row.
+
+    ``fine``: A-Z is lower-cased unless a character beyond ASCII, which might combine with it, follows, and runs are cut
+    between an ASCII letter and ASCII punctuation and, but for apostrophes, between punctuation and a letter.
+    """
     gap = (x == 32) | ((x >= 9) & (x <= 13))
     new = np.ones(len(x) + 1, bool)
     new[1:] = np.append(gap, True)[: len(x)]
     new[offs] = True
+    if fine:
+        upper = (x >= 65) & (x <= 90)
+        letter = upper | ((x >= 97) & (x <= 122))
+        other = (x > 32) & (x < 127) & ~letter & ~((x >= 48) & (x <= 57))
+        new[1:-1] |= (letter[:-1] & other[1:]) | (other[:-1] & (x[:-1] != 39) & letter[1:])
+        x = np.where(upper & (np.append(x[1:], np.uint8(0)) < 128), x + np.uint8(32), x)
     starts = np.flatnonzero(~gap & new[:-1])
     counts = np.diff(np.searchsorted(starts, offs))
     before = np.cumsum(~gap) - ~gap
@@ -59,32 +70,73 @@ def _words(x: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(kept)]), counts
 
 
-def token_ids(data: np.ndarray, offsets: np.ndarray, tokenizer, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, numbers of ids) of runs of rows; a row's ids are those of its words in order.
+def _encoded(words: list[str], tokenizer, mark: tuple[str, int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words and their number in each; with a special token as mark, a thousand words at a time between marks."""
+    if mark is None:
+        found = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([t for e in found for t in e], "<u4"), np.array([len(e) for e in found], np.int64)
+    joined = [mark[0].join(words[i : i + 1000]) + mark[0] for i in range(0, len(words), 1000)]
+    ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False))])
+    ends = np.flatnonzero(ids == mark[1])
+    return ids[ids != mark[1]], np.diff(ends, prepend=-1) - 1
+
+
+class Encoder:
+    """Ids of texts by a tokenizer that lower-cases, drops white space and breaks words between letters and other characters.
 
-    The tokenizer drops white space and no token or normal form reaches across it, so each different word of a run of rows is
-    encoded once.
+    No token or normal form reaches across such a break, so each different word is encoded once for every ``most`` words;
+    texts that hold a special token's string are only broken at white space, and their words encoded one by one.
     """
-    for i, j in spans(offsets, most):
-        base = int(offsets[i])
-        words, counts = _words(data[base : int(offsets[j])], offsets[i : j + 1] - base)
+
+    def __init__(self, tokenizer, most: int = 400_000):
+        self.tokenizer, self.most = tokenizer, most
+        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.special = [] if tokenizer.encode_special_tokens else [t.lower().encode() for t in special]
+        self.mark = min(special.items(), key=lambda t: t[1]) if self.special else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.sizes, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _learn(self, words: pa.Array, fine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word the place and the number of its ids in an array, and the array."""
         coded = words.dictionary_encode()
-        encoded = [e.ids for e in tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-        sizes = np.array([len(e) for e in encoded], np.int64)
-        every = np.array([t for e in encoded for t in e], "<u4")
         at = coded.indices.to_numpy()
-        ids = every[ranges((np.cumsum(sizes) - sizes)[at], sizes[at])] if len(at) else np.zeros(0, "<u4")
-        ends = np.r_[0, np.cumsum(sizes[at])][np.r_[0, np.cumsum(counts)]]
-        yield ids, np.diff(ends)
+        if not fine:
+            ids, sizes = _encoded(coded.dictionary.to_pylist(), self.tokenizer, None)
+            return (np.cumsum(sizes) - sizes)[at], sizes[at], ids
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        new = coded.dictionary.filter(place.is_null())
+        if len(self.known) and len(self.known) + len(new) > self.most:
+            self._forget()
+            return self._learn(words, fine)
+        ids, sizes = _encoded(new.to_pylist(), self.tokenizer, self.mark)
+        where = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        where[where < 0] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        self.sizes, self.ids = np.append(self.sizes, sizes), np.append(self.ids, ids)
+        return (np.cumsum(self.sizes) - self.sizes)[where[at]], self.sizes[where[at]], self.ids
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, numbers of ids) of runs of rows."""
+        for i, j in spans(offsets, most):
+            base = int(offsets[i])
+            x = data[base : int(offsets[j])]
+            low = x.tobytes().lower() if self.special else b""
+            fine = not any(t in low for t in self.special)
+            words, counts = _words(x, offsets[i : j + 1] - base, fine)
+            first, sizes, every = self._learn(words, fine)
+            ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(counts)]]
+            yield every[ranges(first, sizes)], np.diff(ends)
 
 
 def _pieces(path: str, capacity: int, end: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path, special_as_text)
+        encode = Encoder(_tokenizer(path, special_as_text))
         for batch in batches:
             data, offsets = text_bytes(batch["text"])
             row = 0
-            for ids, counts in token_ids(data, offsets, tokenizer):
+            for ids, counts in encode(data, offsets):
                 at, out = 0, []
                 for i, n in enumerate(counts.tolist()):
                     whole = np.append(ids[at : at + n], np.uint32(end)).astype("<u4")
@@ -249,7 +301,7 @@ def _placed(flows: Flows, out: str):
     return run
 
 
-def packed(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, small: int = 8, groups: int = 64, special_as_text: bool = False) -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, small: int = 3, groups: int = 128, special_as_text: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): the pieces of all ``docs`` (doc_id, text) in sequences of at most ``capacity`` tokens.
 
     A document is its text's ids, then ``end``; null and empty texts are the end alone. Longer ones are cut into pieces of
