@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
 
 from ..shared import drop_table, table, unused  # noqa: F401  (the operators take them from here)
 
@@ -46,6 +51,49 @@ def row_key() -> list[Column]:
     ]
 
 
+def row_digest(docs: DataFrame) -> Column:
+    """SHA-256 of all columns of a row of ``docs``: rows with equal digests are equal rows."""
+
+    def text(f) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            return F.to_json(c)
+        return F.hex(c) if isinstance(f.dataType, BinaryType) else c.cast("string")
+
+    each = F.struct(*(text(f).alias(f"c{i}") for i, f in enumerate(docs.schema.fields)))
+    return F.unhex(F.sha2(F.to_json(each), 256))
+
+
+def secret() -> bytes:
+    """A key for :func:`keyed_hashes`, new for each run: no texts can be made beforehand whose hashes are equal."""
+    return secrets.token_bytes(16)
+
+
+def keyed_hashes(values: Iterable[bytes], key: bytes) -> np.ndarray:
+    """64-bit BLAKE2 hashes under a key."""
+    start = hashlib.blake2b(digest_size=8, key=key)
+
+    def one(value: bytes) -> bytes:
+        h = start.copy()
+        h.update(value)
+        return h.digest()
+
+    return np.frombuffer(b"".join(map(one, values)), "<u8")
+
+
+def byte_runs(x: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The maximal runs of bytes with ``inside`` in each row, one row after another, as binary values; and each row's number of them."""
+    new = np.ones(len(x) + 1, bool)  # the byte before is outside or another row's
+    new[1:] = np.append(~inside, True)[: len(x)]
+    new[offsets] = True
+    starts = np.flatnonzero(inside & new[:-1])
+    counts = np.diff(np.searchsorted(starts, offsets))
+    before = np.cumsum(inside) - inside
+    kept = np.ascontiguousarray(x[inside])  # runs side by side
+    ends = np.append(before[starts], len(kept)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(kept)]), counts
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     h = h ^ (h >> np.uint64(31))

@@ -26,19 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..ship import ship
-from .common import mix, row_key, table, text_bytes
+from .common import WORD, mix, row_digest, row_key, secret, table, text_bytes
 from .shingles import shingle_sets
 
 _SALTS = (np.uint64(0x632BE59BD9B4E019), np.uint64(0x8CB92BA72F3D8DD7))
 _ROW = "doc_id long, fp long, n int, node string, rare int, pre array<long>, second array<long>, third array<long>, toks binary"
 
 
-def _chunk_sets(t: pa.Table, width: int):
+def _chunk_sets(t: pa.Table, width: int, key: bytes):
     data, offsets = text_bytes(t["text"])
-    sets = shingle_sets(data, offsets, width)
+    sets = shingle_sets(data, offsets, key, width)
     return sets, np.concatenate([np.zeros(0, np.uint64), *sets])
 
 
@@ -56,11 +55,11 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _send(width: int, blocks: int):
+def _send(width: int, blocks: int, key: bytes):
     """A chunk of documents -> its distinct tokens in blocks of a token range."""
 
     def run(t: pa.Table) -> pa.Table:
-        tokens, here = np.unique(_chunk_sets(t, width)[1] >> np.uint64(64 - _KEPT), return_counts=True)
+        tokens, here = np.unique(_chunk_sets(t, width, key)[1] >> np.uint64(64 - _KEPT), return_counts=True)
         here = here.astype(np.uint32)
         found, first = np.unique(_block(tokens, blocks), return_index=True)
         cut = [*zip(first, np.append(first[1:], len(tokens)), strict=True)]
@@ -96,9 +95,9 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(width: int, percent: int):
+def _prefixes(width: int, percent: int, key: bytes):
     def run(docs: pa.Table, graded: pa.Table) -> pa.Table:
-        sets, every = _chunk_sets(docs, width)
+        sets, every = _chunk_sets(docs, width, key)
         _, inverse = np.unique(every >> np.uint64(64 - _KEPT), return_inverse=True)
         order = np.argsort(graded["block"].to_numpy())
         packed = graded["grades"].to_pylist()
@@ -170,13 +169,14 @@ def _classes(docs: DataFrame, percent: int, width: int, chunk_chars: int) -> tup
     """(doc_id, fp, n, node, ...) of every row, and (node, comp, best): best is the least (doc_id, fp) of the component."""
     spark = docs.sparkSession
     ship(spark)
+    key = secret()
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(chars / chunk_chars))
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *row_key())
     dealt = keyed.select(F.pmod(F.xxhash64("did", "fp"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "fp", "text")
-    sent = dealt.groupBy("chunk").applyInArrow(_send(width, chunks), "chunk int, block int, tokens binary, here binary")
+    sent = dealt.groupBy("chunk").applyInArrow(_send(width, chunks, key), "chunk int, block int, tokens binary, here binary")
     graded = sent.groupBy("block").applyInArrow(_count, "chunk int, block int, grades binary")
-    rows = table(dealt.groupBy("chunk").cogroup(graded.groupBy("chunk")).applyInArrow(_prefixes(width, percent), _ROW), "shingle-rows")
+    rows = table(dealt.groupBy("chunk").cogroup(graded.groupBy("chunk")).applyInArrow(_prefixes(width, percent, key), _ROW), "shingle-rows")
     del dealt, sent, graded
     nodes = rows.where("toks is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "rare", "pre", "second", "third", "toks")))
     nodes = table(nodes, "shingle-nodes")
@@ -210,17 +210,17 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, width: int = 5, chunk_ch
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, chunk_chars: int = 2_000_000) -> DataFrame:
     """The rows of ``docs``, all columns whatever their names, of which one row of each component of :func:`jaccard_classes` stays: the one with the least doc_id.
 
-    Rows with an empty set (null, empty and blank texts) stay; of rows equal in doc_id and text one stays; an empty table stays empty.
+    Rows with an empty set (null, empty and blank texts) stay; of rows equal in doc_id and text the one whose whole row has the least
+    digest stays, so the choice is the same in all partitionings; an empty table stays empty.
     """
     rows, classes = _classes(docs, percent, width, chunk_chars)
-    low = F.lit(-(2**63))
-    best = classes.select("best").distinct().select(F.coalesce("best.doc_id", low).alias("did"), F.col("best.fp").alias("fp"), F.lit(False).alias("blank"))
-    blank = rows.where("n = 0").select(F.coalesce("doc_id", low).alias("did"), "fp", F.lit(True).alias("blank")).distinct()
-    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), *row_key())
-    both = keyed.join(best.unionByName(blank), ["did", "fp"])
-    # one of equal rows is taken before they are dealt
-    one = both.where("not blank").withColumn("nth", F.row_number().over(Window.partitionBy("did", "fp").orderBy(F.lit(0)))).where("nth = 1").drop("nth")
-    return one.unionByName(both.where("blank")).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    best = classes.select("best").distinct().select(F.coalesce("best.doc_id", F.lit(-(2**63))).alias("did"), F.col("best.fp").alias("fp"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, docs.columns, strict=True)), *row_key(), row_digest(docs).alias("row"))
+    full = F.coalesce(F.col(names[docs.columns.index("text")]), F.lit("")).rlike(WORD)
+    # equal rows are one before they are dealt
+    one = keyed.where(full).groupBy("did", "fp").agg(F.min_by(F.struct(*names), "row").alias("r")).join(best, ["did", "fp"]).select("r.*")
+    return one.unionByName(keyed.where(~full).select(*names)).toDF(*docs.columns)
 
 
 def _links(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

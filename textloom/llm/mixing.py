@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.preparation import indexed, running
-from .common import WORD, table
+from .common import WORD, row_digest, table
 
 BLOCK, SHARD, CELLS, ROUNDS = 64, 65536, 1024, 12
 
@@ -17,7 +17,7 @@ def n_words(text: Column) -> Column:
 
 
 def _sources(sized: DataFrame, weights: list[int], share: float, most: float, block: int) -> DataFrame:
-    """sid, skey, source_size, target, n_blocks, quota of each source; one row each.
+    """sid, skey, source_size, source_from (words of the sources before), target, n_blocks, quota and quota_from of each source; one row each.
 
     Targets fill up like water: the level that all unlimited sources reach for each unit of weight is
     found from running sums over the sources in the order in which they meet their limits.
@@ -37,7 +37,7 @@ def _sources(sized: DataFrame, weights: list[int], share: float, most: float, bl
     every = every.withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block)))
     whole = F.least(F.round(F.coalesce(F.try_divide(F.col("target") * F.col("n_blocks"), F.col("source_size")), F.lit(0.0))), F.floor(F.col("n_blocks") * F.lit(float(most))))
     every = every.withColumn("quota", whole.cast("long")).select("sid", "skey", "source_size", "target", "n_blocks", "quota")
-    return running(every, ["skey"], {"quota_from": "quota"})
+    return running(every, ["skey"], {"quota_from": "quota", "source_from": "source_size"})
 
 
 def permuted(index: Column, n: Column, *keys: Column, rounds: int = ROUNDS) -> Column:
@@ -83,8 +83,8 @@ def _tie() -> Column:
     return F.xxhash64("doc_id", "text").alias("tie")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK, shard: int = SHARD, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(rows, pieces). rows: those of ``docs`` with size, source_size, target, sid and off (first word in the source);
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK, shard: int = SHARD, seed: int = 7, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, pieces). rows: those of ``docs`` with size, source_size, target, sid, off (first word in the source) and ``row``, which names a row;
     pieces: sid, off, block, lo, hi (words of the row in the block), times (how often the block is taken).
 
     A source's texts, in pseudorandom order, are a row of words cut into blocks of ``block`` words. Sources by
@@ -92,20 +92,15 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     ``most`` times its source's size. Slots are drawn for each output shard (:func:`_drawn`); slot j of a
     source takes block p(j mod n) with p the permutation of round j div n; blocks are joined by index.
     Null or empty texts have size 0 and are never taken; repeated rows are rows of their own; same
-    input, same result; an empty table gives an empty result.
+    input, same result, however it is partitioned: rows that may change places in the order are equal rows. An empty table
+    gives an empty result.
     """
-    sized = table(docs.select("doc_id", _source_key(), n_words(F.col("text")).alias("size"), _tie()), "sizes")
-    buckets = max(1, -(-sized.count() // 4096))
-    bucket = F.pmod(F.col("tie"), F.lit(buckets))
+    row = F.lit(None).cast("binary") if row is None else row
+    salt = F.xxhash64(F.monotonically_increasing_id())  # deals equal rows to several ranges
+    sized = table(docs.select("doc_id", _source_key(), n_words(F.col("text")).alias("size"), _tie(), row.alias("row"), salt.alias("salt")), "sizes")
     sources = table(_sources(sized, list(weights), share, most, block), "sources")
-    sums = sized.groupBy("skey", bucket.alias("bucket")).agg(F.sum("size").alias("all"))
-    before = F.sum("all").over(Window.partitionBy("skey").orderBy("bucket")) - F.col("all")
-    sums = sums.withColumn("base", before).join(sources.select("skey", "sid", "source_size", "target"), "skey")
-    rows = sized.withColumn("bucket", bucket).join(sums.drop("all"), ["skey", "bucket"])
-    order = Window.partitionBy("skey", "bucket").orderBy("tie", "doc_id")
-    off = F.col("base") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "tie", "skey").orderBy("off"))
-    rows = table(rows.withColumn("off", off).select("doc_id", "skey", "tie", "size", "source_size", "target", "sid", "off").withColumn("nth", nth), "mixing-rows")
+    rows = running(sized, ["skey", "tie", "row", "doc_id", "salt"], {"words_before": "size"}).join(sources.select("skey", "sid", "source_size", "source_from", "target"), "skey")
+    rows = table(rows.select("doc_id", "row", "size", "source_size", "target", "sid", (F.col("words_before") - F.col("source_from")).alias("off")), "mixing-rows")
 
     slots = table(_drawn(sources, seed, shard), "draws").join(sources.select("sid", "n_blocks"), "sid")
     # few rows that each stand for many slots: dealt out before they are unfolded
@@ -134,17 +129,17 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     A row whose blocks are all taken c times keeps its text as it is, c times, joined by a line end;
     others have their words joined by spaces, piece after piece in order, a piece taken twice twice.
     n_chars is set anew where there is such a column. Rows with null, empty or blank text are never taken; repeated rows are
-    rows of their own; an empty table stays empty.
+    rows of their own, and equal ones interchangeable; an empty table stays empty.
     """
-    rows, pieces = mixed(docs, **options)
+    rows, pieces = mixed(docs, row=row_digest(docs), **options)
     lists = pieces.groupBy("sid", "off").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("parts"))
-    lists = rows.where("size > 0").join(lists, ["sid", "off"]).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("skey").alias("_skey"), F.col("nth").alias("_nth"), "size", "parts")
-    kept = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("doc_id").alias("id"), F.col("text").alias("text"), _tie(), _source_key())
-    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("id", "tie", "skey").orderBy(F.lit(0))))
-    same = F.col("id").eqNullSafe(F.col("_id"))
-    for k in ("tie", "skey", "nth"):
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    both = kept.join(lists, same)
+    lists = rows.where("size > 0").join(lists, ["sid", "off"]).select("row", "size", "parts")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kept = docs.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, docs.columns, strict=True)), row_digest(docs).alias("row"))
+    text = names[docs.columns.index("text")]
+    # equal rows are one before they are dealt; each of their lists takes it again
+    kept = kept.where(F.col(text).rlike(WORD)).groupBy("row").agg(F.first(F.struct(*names)).alias("r"))
+    both = lists.join(kept, "row").select("size", "parts", "r.*", F.col(f"r.{text}").alias("text"))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     covered = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["hi"] - p["lo"])
     equal = (covered == F.col("size")) & (F.array_min(F.transform("parts", lambda p: p["times"])) == F.array_max(F.transform("parts", lambda p: p["times"])))

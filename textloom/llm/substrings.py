@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..ship import ship
-from .common import drop_table, mix, ranges, row_key, spans, table, text_bytes
+from .common import drop_table, keyed_hashes, mix, ranges, row_key, secret, spans, table, text_bytes
 
 LENGTH, CORE, STEP = 200, 48, 16
-_B1, _B2 = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95)
+_B1 = np.uint64(0x2545F4914F6CDD1D)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -52,7 +52,10 @@ def _power(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hasher:
-    """Hashes of any substring of ``data`` in constant time, by differences of polynomial prefix sums."""
+    """Hashes of any substring of ``data`` in constant time, by differences of polynomial prefix sums.
+
+    They deal work out and make features; that strings are equal is never concluded from them.
+    """
 
     def __init__(self, data: np.ndarray, base: np.uint64):
         self.up, self.down = _power(base, len(data) + 1)
@@ -75,8 +78,11 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[:n], head[width - 1 : width - 1 + n])
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, length: int, core: int) -> tuple[np.ndarray, ...]:
-    """row, first start, last start, anchor (relative to the row), anchor hash, context hash; starts partition each row's."""
+def contexts(data: np.ndarray, offsets: np.ndarray, length: int, core: int, key: bytes = b"") -> tuple[np.ndarray, ...]:
+    """row, first start, last start, anchor (relative to the row), anchor hash, context hash; starts partition each row's.
+
+    Contexts are hashed by a cryptographic function under ``key``: equal hashes stand for equal contexts.
+    """
     size = np.diff(offsets)
     rows = np.flatnonzero(size >= length)
     if not len(rows):
@@ -94,7 +100,8 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, core: int) -> t
     first, a = starts[new], anchor[new]
     last = starts[np.append(new[1:], len(starts)) - 1]
     row = np.repeat(rows, counts)[new]
-    inner = Hasher(data, _B2)(first, last + length)
+    body = data.tobytes()
+    inner = keyed_hashes((body[b:z] for b, z in zip(first.tolist(), (last + length).tolist(), strict=True)), key)
     shape = ((last - first) << 32 | (first - a) & 0xFFFFFFFF).astype(np.uint64)
     origin = offsets[row]
     return row, first - origin, last - origin, a - origin, hashes[a], mix(inner + mix(shape))
@@ -211,13 +218,13 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 _CONTEXT = "did long, fp long, s int, e int, a int, ah long, ch long"
 
 
-def _find(length: int, core: int):
+def _find(length: int, core: int, secret_key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch["text"])
             did, fp = batch["did"].to_numpy(), batch["fp"].to_numpy()
             for rows, offs, shift in pieces(offsets, length):
-                row, s, e, a, ah, ch = contexts(data, offs, length, core)
+                row, s, e, a, ah, ch = contexts(data, offs, length, core, secret_key)
                 if len(row):
                     row = rows[row]
                     cols = [did[row], fp[row], *((x + shift).astype(np.int32) for x in (s, e, a)), ah.view(np.int64), ch.view(np.int64)]
@@ -292,12 +299,12 @@ def _sort_groups(length: int, most: int = 1 << 20):
     return run
 
 
-def _divide(length: int, step: int):
+def _divide(length: int, step: int, secret_key: bytes):
     """Contexts -> parts of at most ``step`` starts on a grid relative to the anchor, keyed by the core all strings of a grid cell share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def digest(x: bytes) -> int:
-            return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+            return int.from_bytes(hashlib.blake2b(x, digest_size=8, key=secret_key).digest(), "little", signed=True)
 
         for batch in batches:
             held: list[list] = [[] for _ in range(8)]
@@ -339,7 +346,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_
     Intervals of a document may overlap. did, fp: see :func:`~.common.row_key`. Texts below ``length``
     bytes, empty and null texts have none; rows equal in id and text count as two places.
     """
-    found = table(docs.select("did", "fp", "text").mapInArrow(_find(length, core), _CONTEXT), "anchors")
+    key = secret()
+    found = table(docs.select("did", "fp", "text").mapInArrow(_find(length, core, key), _CONTEXT), "anchors")
     often = table(found.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah"), "often")
     kept = table(found.join(often, "ah"), "repeated-anchors")  # between two tables: a hot anchor's rows can be split
     drop_table(found)
@@ -354,7 +362,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_
     crowd = known.where(F.col("groups") > max_group).select("ah").distinct()
     out.append(_sorted(cut.join(crowd, "ah", "left_anti"), length))
     for step in (STEP, 1):
-        parts = table(cut.join(crowd, "ah", "left_semi").mapInArrow(_divide(length, step), _CUT + ", ch long"), f"parts{step}")
+        parts = table(cut.join(crowd, "ah", "left_semi").mapInArrow(_divide(length, step, key), _CUT + ", ch long"), f"parts{step}")
         known = _counted(parts, f"part-classes{step}")
         rows = parts.join(known, ["ah", "ch"])
         out.append(rows.where("n > 1").select("did", "fp", F.col("s").alias("b"), (F.col("e") + length).alias("z")))
