@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -118,42 +118,79 @@ class Mixture:
         return {"train": train, "test": test}
 
 
+def draw(place: Column, probs: list[float], seed: int) -> Column:
+    """The part that a place draws: 32 bits of a seeded hash against the running sums of the probabilities."""
+    u = F.conv(F.substring(F.md5(F.concat(place.cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    drawn = F.lit(len(probs) - 1)
+    for i in reversed(range(len(probs) - 1)):
+        drawn = F.when(u < sum(probs[: i + 1]) / sum(probs), F.lit(i)).otherwise(drawn)
+    return drawn.cast("int")
+
+
+def drawn_places(spark: SparkSession, sizes: list[int], probs: list[float], first: bool, seed: int = 42, block: int = 1 << 17) -> DataFrame:
+    """(at, part, n): what each place draws and how often the part was drawn before, up to the place that uses up the ``first`` part or the last one.
+
+    Draws are counted for each block of places; running sums of the counts tell in which block a part is drawn for the last time
+    that it needs, and only this block is looked through. Blocks are added, as many again each time, until the end is among
+    them. Parts of probability 0 are never drawn and not waited for.
+    """
+    wanted = [i for i, q in enumerate(probs) if q > 0]
+    most = max(sizes[i] * sum(probs) / probs[i] for i in wanted)
+    blocks = max(1, math.ceil(most / block))
+    places = lambda a, z: spark.range(a * block, z * block).select(F.col("id").alias("at"), draw(F.col("id"), probs, seed).alias("part"))
+    number = F.floor(F.col("at") / block).alias("block")
+    earlier = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts, have = None, 0
+    size = F.element_at(F.array(*(F.lit(n).cast("long") for n in sizes)), F.col("part") + 1)
+    while True:
+        more = places(have, blocks).groupBy(number, "part").agg(F.count("*").alias("n"))
+        counts = table(more if counts is None else counts.unionByName(more), "draws")
+        sums = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        ends = {r.part: r for r in sums.where((F.col("before") < size) & (F.col("before") + F.col("n") >= size)).collect()}  # one row for each part
+        if len(ends) == len(wanted) or first and ends:
+            break
+        have, blocks = blocks, blocks * 2
+    last = []
+    for part, r in ends.items():
+        mine = places(r.block, r.block + 1).where(F.col("part") == part).orderBy("at").offset(sizes[part] - r.before - 1).limit(1)
+        last.append(mine.first().at)
+    end = min(last) if first else max(last)
+    within = Window.partitionBy("block", "part").orderBy("at")
+    drawn = places(0, end // block + 1).where(F.col("at") <= end).withColumn("block", number).withColumn("k", F.row_number().over(within) - 1)
+    return drawn.join(F.broadcast(sums.drop("n")) if blocks * len(probs) <= 1 << 16 else sums.drop("n"), ["block", "part"]).select("at", "part", (F.col("before") + F.col("k")).alias("n"))
+
+
 def interleave(parts: list[DataFrame], order: list[str], strategy: str = "interleave_under", probs: list[float] | None = None, seed: int = 42) -> DataFrame:
-    """Rows of the parts in turn, with _at (place) and _part.
+    """Rows of the parts in turn, with _at (place) and _part; more underscores where the parts have such columns.
 
     ``concat``: one after another. ``interleave_under`` stops with the first part that is used up,
     ``interleave_over`` goes on until all are, starting the shorter ones again. With ``probs`` each place
-    draws its part by a seeded hash.
+    draws its part by a seeded hash, until the last row that the strategy waits for is placed. Without a row in one of the parts
+    nothing can be interleaved: the result is empty.
     """
     if strategy not in ("concat", "interleave_under", "interleave_over"):
         raise ValueError(f"unknown strategy {strategy}")
     sizes = [p.count() for p in parts]
-    if strategy == "concat":
-        return reduce(DataFrame.unionByName, [indexed(p, order, "_i").withColumn("_part", F.lit(k)).withColumn("_at", F.col("_i") + sum(sizes[:k])).drop("_i") for k, p in enumerate(parts)])
-    rows = reduce(DataFrame.unionByName, [indexed(p, order, "_i").withColumn("_part", F.lit(k)) for k, p in enumerate(parts)])
     spark, k = parts[0].sparkSession, len(parts)
+    at, part, i = unused(parts[0].columns, "_at", "_part", "_i")
+    rows = reduce(DataFrame.unionByName, [indexed(p, order, i).withColumn(part, F.lit(j)) for j, p in enumerate(parts)])
+    if strategy == "concat":
+        first = F.element_at(F.array(*(F.lit(sum(sizes[:j])).cast("long") for j in range(k))), F.col(part) + 1)
+        return rows.withColumn(at, F.col(i) + first).drop(i)
     if 0 in sizes:
-        return rows.withColumn("_at", F.col("_i")).drop("_i").limit(0)
+        return rows.withColumn(at, F.col(i)).drop(i).limit(0)
     if probs is None:
         rounds = min(sizes) if strategy == "interleave_under" else max(sizes)
-        places = spark.range(rounds * k).select(F.col("id").alias("_at"), (F.col("id") % k).cast("int").alias("_part"), F.floor(F.col("id") / k).alias("_n"))
+        places = spark.range(rounds * k).select(F.col("id").alias("at"), (F.col("id") % k).cast("int").alias("part"), F.floor(F.col("id") / k).alias("n"))
     else:
         if len(probs) != k:
             raise ValueError("one probability for each part")
-        u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) * sum(probs)
-        drawn = F.lit(k - 1)
-        for i in reversed(range(k - 1)):
-            drawn = F.when(u < sum(probs[: i + 1]), F.lit(i)).otherwise(drawn)
-        # enough places that every part is used up but for a vanishing chance, then cut where the strategy ends
-        enough = int(max(n / max(q / sum(probs), 1e-9) for n, q in zip(sizes, probs, strict=True) if q > 0) * 1.5 + 200)
-        places = spark.range(enough).select(F.col("id").alias("_at"), drawn.cast("int").alias("_part"))
-        places = places.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1)
-        ends = [places.where((F.col("_part") == i) & (F.col("_n") == n - 1)).select("_at") for i, n in enumerate(sizes)]
-        last = reduce(DataFrame.unionByName, ends).agg(*((F.min if strategy == "interleave_under" else F.max)("_at").alias("e"),)).first()[0]
-        places = places.where(F.col("_at") <= last)
-    size = F.element_at(F.array(*map(F.lit, sizes)), F.col("_part") + 1)
-    places = places.withColumn("_i", F.col("_n") % size).drop("_n")
-    return places.join(rows, ["_part", "_i"]).drop("_i")
+        if min(probs) < 0 or not sum(probs):
+            raise ValueError("probabilities are not negative, and not all 0")
+        places = drawn_places(spark, sizes, probs, strategy == "interleave_under", seed)
+    size = F.element_at(F.array(*(F.lit(n).cast("long") for n in sizes)), F.col("part") + 1)
+    places = places.select(F.col("at").alias(at), F.col("part").alias(part), (F.col("n") % size).alias(i))
+    return places.join(rows, [part, i]).drop(i)
 
 
 def resume(rows: DataFrame, done: list[DataFrame], key: str) -> DataFrame:

@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, rule_text
 from ..shared import table
-from .preparation import indexed
+from .folds import greedy_runs
 
 #: Estimated tokens are a quarter of the characters.
 CHARS_PER_TOKEN = 4
@@ -77,47 +76,36 @@ def parsed_rules(answers: DataFrame, column: str = "answer", out: str = "rules")
 
 
 def greedy_chunks(rules: DataFrame, budget: int = 20_000) -> DataFrame:
-    """(chunk, rules): consecutive rules by order, as many as the budget of estimated tokens allows; one that is too long is alone.
+    """(chunk, rules): consecutive rules in their order, as many as the budget of estimated tokens allows; one that is too long is alone.
 
-    The fold is by its nature in one order; it runs over the rules' lengths in blocks of a bounded number,
-    each block closing its last chunk.
+    One fold over all rules, however many (:func:`~.folds.greedy_runs`).
     """
-    numbered = indexed(rules.select("rule"), ["rule"], "_i").withColumn("_block", F.floor(F.col("_i") / 100_000))
+    sized = rules.select("rule", F.floor(F.length("rule") / CHARS_PER_TOKEN).alias("tokens"))
+    runs = greedy_runs(sized, ["rule"], "tokens", budget, "chunk")
+    return runs.groupBy("chunk").agg(F.array_sort(F.collect_list("rule")).alias("rules"))
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_i")
-        chunk, size, out = 0, 0, []
-        for n in g["rule"].str.len():
-            if size and (size + n) // CHARS_PER_TOKEN > budget:
-                chunk, size = chunk + 1, 0
-            size += n
-            out.append(chunk)
-        return g.assign(chunk=out)[["_block", "chunk", "rule"]]
 
-    rows = numbered.groupBy("_block").applyInPandas(fold, "_block long, chunk long, rule string")
-    return rows.groupBy("_block", "chunk").agg(F.array_sort(F.collect_list("rule")).alias("rules")).select(F.struct("_block", "chunk").alias("chunk"), "rules")
-
-
-def merge_rules(rules: DataFrame, merge: Callable[[DataFrame], DataFrame], budget: int = 20_000, growth: int = 16) -> DataFrame:
+def merge_rules(rules: DataFrame, merge: Callable[[DataFrame], DataFrame], budget: int = 20_000) -> DataFrame:
     """(rule): chunks are merged, the results made distinct, and again until they fit one chunk, which is merged last.
 
-    merge: (chunk, rules) to (chunk, rules), e.g. a scorer over prompts. After a round that leaves as many rules as it took, chunks
-    have twice the budget, up to ``growth`` times the first, so that rules far apart in order meet. If even such a round merges nothing, the
-    merger keeps the rules apart: they are the result, however many; no row holds more than the largest chunk.
+    merge: (chunk, rules) to (chunk, rules), e.g. a scorer over prompts. A level that leaves as many characters as it took or
+    more has nothing left to merge within the budget: its rules are the result, however many. So the levels end, and no row
+    holds more than a chunk.
     """
     rules = distinct_rules(rules.select(F.array("rule").alias("rules"))) if "rules" not in rules.columns else distinct_rules(rules)
-    rules, room = table(rules, "rules"), budget
-    while True:
-        n, chars = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("rule")), F.lit(0))).first()
-        if chars // CHARS_PER_TOKEN <= room:
-            whole = rules.agg(F.array_sort(F.collect_list("rule")).alias("rules")).select(F.lit(0).alias("chunk"), "rules")
-            return distinct_rules(merge(whole.where(F.size("rules") > 0)))
-        fewer = table(distinct_rules(merge(greedy_chunks(rules, room))), "rules")
-        if fewer.count() >= n:
-            if room >= budget * growth:
-                return fewer
-            room = min(room * 2, budget * growth)
-        rules = fewer
+    rules = table(rules, "rules")
+    chars = _characters(rules)
+    while chars // CHARS_PER_TOKEN > budget:
+        rules = table(distinct_rules(merge(greedy_chunks(rules, budget))), "rules")
+        before, chars = chars, _characters(rules)
+        if chars >= before:
+            return rules
+    whole = rules.agg(F.array_sort(F.collect_list("rule")).alias("rules")).select(F.lit(0).cast("long").alias("chunk"), "rules")
+    return distinct_rules(merge(whole.where(F.size("rules") > 0)))
+
+
+def _characters(rules: DataFrame) -> int:
+    return rules.agg(F.coalesce(F.sum(F.length("rule")), F.lit(0))).first()[0]
 
 
 def keep_first_words(chunks: DataFrame, words: int = 3) -> DataFrame:

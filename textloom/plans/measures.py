@@ -165,13 +165,19 @@ def sample_top_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("distinct_ids"), F.bool_and(F.length("text") == F.col("n_text")).alias("whole_rows"))
 
 
-@query("interleave_probs", "SELECT count(*) AS distinct_ids, true AS contiguous, true AS whole_rows FROM documents")
+@query(
+    "interleave_probs",
+    """WITH d AS (SELECT doc_id, text, doc_id % 2 AS part, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY doc_id % 2) AS n FROM documents),
+p AS (SELECT id AS place, CASE WHEN CAST('0x' || substr(md5(CAST(id AS VARCHAR) || '|42'), 1, 8) AS BIGINT) / 4294967296.0 < 0.7 THEN 0 ELSE 1 END AS part FROM range(0, (SELECT 10 * count(*) + 1000 FROM documents)) t(id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY place) - 1 AS k FROM p),
+e AS (SELECT max(place) AS last FROM r JOIN (SELECT DISTINCT part, n FROM d) s USING (part) WHERE k = n - 1)
+SELECT place, doc_id, CAST(length(text) AS INTEGER) AS n_text FROM r JOIN d ON d.part = r.part AND d.i = r.k % d.n, e WHERE place <= last""",
+)
 def interleave_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places drawn by probability until all parts are used up: every row is there, and no place is left out."""
-    rows = _docs(spark, sf_dir, "text", F.length("text").alias("n_text"))
+    """Every place of two parts drawn by probability until both are used up, with whole rows."""
+    rows = _docs(spark, sf_dir, "text")
     mixed = P.interleave([rows.where(_mod(2) == 0), rows.where(_mod(2) == 1)], ["doc_id"], "interleave_over", [0.7, 0.3])
-    places = F.count_distinct("_at") == F.max("_at") + 1
-    return mixed.agg(F.count_distinct("doc_id").alias("distinct_ids"), places.alias("contiguous"), F.bool_and(F.length("text") == F.col("n_text")).alias("whole_rows"))
+    return mixed.select(F.col("_at").alias("place"), "doc_id", F.length("text").alias("n_text"))
 
 
 @query("concatenated", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) - 1 ELSE row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) - 1 + (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) END AS place FROM documents")

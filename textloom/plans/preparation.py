@@ -111,14 +111,38 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.similarity(b.join(other, "item_id"), "predicted", "label").select("item_id", "rouge_1", "rouge_2", "rouge_l", "bleu_4")
 
 
-@query("rule_merge")
+@query(
+    "rule_chunks",
+    """WITH RECURSIVE l AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS rule FROM documents),
+r AS (SELECT rule, length(rule) // 4 AS n, row_number() OVER (ORDER BY rule) AS i, sum(length(rule) // 4) OVER (ORDER BY rule ROWS UNBOUNDED PRECEDING) AS c FROM l WHERE trim(rule) <> ''),
+e AS (SELECT c, min(i) AS i FROM r GROUP BY c),
+j AS (SELECT r.i, greatest(r.i + 1, coalesce(e.i, 1 + (SELECT max(i) FROM r))) AS next FROM r ASOF LEFT JOIN e ON r.c - r.n + 2000 < e.c),
+s AS (SELECT CAST(1 AS BIGINT) AS i WHERE EXISTS (SELECT 1 FROM r) UNION ALL SELECT j.next FROM s JOIN j ON j.i = s.i WHERE j.next <= (SELECT max(i) FROM r)),
+k AS (SELECT s.i, row_number() OVER (ORDER BY s.i) - 1 AS chunk, j.next FROM s JOIN j ON j.i = s.i)
+SELECT k.chunk, count(*) AS n_rules, CAST(sum(r.n) AS BIGINT) AS tokens, min(r.rule) AS first_rule, max(r.rule) AS last_rule FROM k JOIN r ON r.i >= k.i AND r.i < k.next GROUP BY k.chunk""",
+)
+def rule_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as rules, in greedy chunks of 2,000 estimated tokens."""
+    from ..operators.rules import distinct_rules, greedy_chunks
+
+    rules = distinct_rules(load(spark, sf_dir, "documents").select(F.split("text", "\n").alias("rules")))
+    tokens = F.aggregate("rules", F.lit(0).cast("long"), lambda n, r: n + F.floor(F.length(r) / 4))
+    return greedy_chunks(rules, 2000).select("chunk", F.size("rules").cast("long").alias("n_rules"), tokens.alias("tokens"), F.array_min("rules").alias("first_rule"), F.array_max("rules").alias("last_rule"))
+
+
+@query("rule_merge", "SELECT min(rule) AS rule FROM (SELECT DISTINCT unnest(string_split(text, chr(10))) AS rule FROM documents) WHERE trim(rule) <> '' GROUP BY lower(rule[1:2])")
 def rule_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of documents as rules, merged by levels."""
-    from ..functions.text import sentences
-    from ..operators.rules import keep_first_words, merge_rules
+    """Lines of documents as rules, merged by levels: of those that begin with the same two letters the first stays, so the last level has one for each beginning."""
+    from ..operators.rules import merge_rules
+
+    begin = lambda r: F.lower(F.substring(r, 1, 2))
+
+    def first(chunks: DataFrame) -> DataFrame:
+        best = chunks.select("chunk", F.explode("rules").alias("rule")).groupBy("chunk", begin(F.col("rule")).alias("begin")).agg(F.min("rule").alias("rule"))
+        return best.groupBy("chunk").agg(F.collect_list("rule").alias("rules"))
 
-    rules = load(spark, sf_dir, "documents").select(sentences(F.col("text")).alias("rules"))
-    return merge_rules(rules, keep_first_words, budget=20_000)
+    rules = load(spark, sf_dir, "documents").select(F.split("text", "\n").alias("rules"))
+    return merge_rules(rules, first, budget=100_000)
 
 
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
