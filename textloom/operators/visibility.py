@@ -12,23 +12,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import citations, n_long_words, sentences
+from ..shared import unused
 
 KINDS = ("wordpos", "word", "pos")
 
 
-def cited_sentences(text: Column) -> Column:
-    """array<struct<words, cites>> of an answer, in order."""
-    return F.transform(sentences(text), lambda s: F.struct(n_long_words(s).alias("words"), citations(s).alias("cites")))
+def cited_sentences(text: Column, split: Column | None = None) -> Column:
+    """array<struct<words, cites>> of an answer, in order; ``split``: its sentences, where they are known."""
+    return F.transform(sentences(text) if split is None else split, lambda s: F.struct(n_long_words(s).alias("words"), citations(s).alias("cites")))
 
 
-def with_impressions(answers: DataFrame, text: str = "text", out: str = "scores", n: int = 5) -> DataFrame:
+def with_impressions(answers: DataFrame, text: str = "text", out: str = "scores", n: int = 5, split: str | None = None) -> DataFrame:
     """Adds ``out``: array<struct<slot, wordpos, word, pos>> of n slots, each kind summing to 1. A null text has uniform scores.
 
+    ``split``: a column with each answer's sentences, as :func:`~.sentences.with_sentences` makes it; else a fixed rule splits.
+
     Sentences, raw scores and totals are columns of their own, so none is computed twice. (Unfold the result with
     explode_outer: explode adds a filter on the array, which Spark pushes below and computes once more.)
     """
-    sents, raw, totals = (f"_{out}_{x}" for x in ("sents", "raw", "totals"))
-    rows = answers.withColumn(sents, cited_sentences(F.coalesce(F.col(text), F.lit(""))))
+    sents, raw, totals = unused([*answers.columns, out], "sents", "raw", "totals")
+    rows = answers.withColumn(sents, cited_sentences(F.coalesce(F.col(text), F.lit("")), None if split is None else F.col(split)))
     last = (F.size(sents) - 1).cast("double")
     cites = F.flatten(F.transform(sents, lambda s, i: F.transform(s["cites"], lambda c: F.struct(c.alias("slot"), s["words"].alias("words"), i.alias("i"), F.size(s["cites"]).alias("c")))))
     rows = rows.withColumn(raw, F.filter(cites, lambda c: (c["slot"] >= 0) & (c["slot"] < n)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences
+from ..operators.sentences import train, with_sentences
 from ..operators.visibility import best_worst, mean_scores, target_score, with_impressions
 from .registry import load, query
 
@@ -81,3 +82,22 @@ def geo_mean_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def best_worst_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("doc_id", best_worst(F.col("scores")).alias("b")).select("doc_id", F.col("b.best").cast("int").alias("best"), F.col("b.worst").cast("int").alias("worst"))
+
+
+@query("learnt_sentences")
+def learnt_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document by the model learnt from all of them: their number, and the longest one's length."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    split = with_sentences(docs, train(docs))
+    longest = F.array_max(F.transform("sentences", lambda s: F.length(s)))
+    return split.select("doc_id", F.size("sentences").alias("n_sentences"), longest.alias("longest"), F.md5(F.array_join("sentences", "\n")).alias("digest"))
+
+
+@query("learnt_impressions")
+def learnt_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impressions of answers that cite a slot after each sentence of a document, split by the model learnt from the answers."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", sentences(F.col("text")).alias("s"))
+    cited = F.transform("s", lambda s, k: F.concat(s, F.lit("["), ((F.col("doc_id") * 7 + k * 3) % 6).cast("string"), F.lit("]")))
+    answers = docs.select("doc_id", F.array_join(cited, " ").alias("text"))
+    rows = with_impressions(with_sentences(answers, train(answers)), n=N, split="sentences").select("doc_id", F.explode_outer("scores").alias("s"))
+    return rows.select("doc_id", "s.slot", *(F.round(f"s.{k}", 6).alias(k) for k in ("wordpos", "word", "pos")))
