@@ -12,13 +12,20 @@ def one(spark, column):
 
 def test_fixers(spark):
     fixed = lambda code, lang="python": one(spark, fix_code(F.lit(code), F.lit(lang)))
-    tail = "\nimport sys\nsys.set_int_max_str_digits(0)\n"
-    assert fixed("x = 1") == "x = 1" + tail + "x = 1"
-    assert fixed("import os\nprint(os.getlogin())") == "import os" + tail + "import os\nprint(False)"
-    assert "math.gcd(4, 6)" in fixed("import fractions\nprint(fractions.gcd(4, 6))") and "import math" in fixed("import fractions\nprint(fractions.gcd(4, 6))")
-    assert "from fractions import Fraction\n" in fixed("from fractions import gcd, Fraction\ngcd(1, 2)")
-    assert "from collections.abc import Mapping" in fixed("from collections import Mapping")
-    assert fixed("a = 1 + \\\n\n  2\\") .endswith("a = 1 + \\\n  2")
+    sys_ = "import sys\nsys.set_int_max_str_digits(0)\n"
+    assert fixed("x = 1") == sys_ + "x = 1"
+    assert fixed("import os\nprint(os.getlogin())\r\n") == "import os\n" + sys_ + "print(False)"
+    assert fixed("import fractions\nprint(fractions.gcd(4, 6))") == "import fractions\nimport math\n" + sys_ + "print(math.gcd(4, 6))"
+    assert fixed("from fractions import gcd, Fraction\ngcd(1, 2)") == "from fractions import Fraction; from math import gcd\n" + sys_ + "gcd(1, 2)"
+    assert fixed("from fractions import (Fraction, gcd as g)  # both\n") .startswith("from fractions import Fraction; from math import gcd as g\n")
+    assert fixed("from fractions import *\ngcd(1, 2)").startswith("from fractions import *\nfrom math import gcd\n")
+    assert fixed("from inspect import getargspec, stack\nf") .startswith("from inspect import getfullargspec as getargspec, stack\n")
+    assert fixed("from collections import Mapping, Counter\nx = collections.Set").startswith("from collections import Counter; from collections.abc import Mapping\n")
+    assert fixed("from collections import deque\nx = collections.Set").endswith("x = collections.abc.Set")
+    assert fixed("import imp\nimport important\ny = asyncio.async(x)") == "import importlib\nimport important\n" + sys_ + "y = asyncio.ensure_future(x)"
+    assert fixed("from a import (b,\n  c)\nz") == sys_ + "from a import (b,\n  c)\nz"
+    assert fixed("def f():\n    import os\n    return 1") == sys_ + "def f():\n    import os\n    return 1"
+    assert fixed("a = array.array('c', 'x')\nb = 1 + \\\n\n  2\\") == sys_ + "a = array.array('b', 'x')\nb = 1 + \\\n  2"
     assert fixed("", "python") == "" and fixed("x", "rust") == "x"
     assert fixed("int main() {}", "C++17") == "#include <bits/stdc++.h>\n\nusing namespace std;\n\nint main() {}"
     assert one(spark, fix_cpp(F.lit("std::x"), F.lit("p1"))) == '#include <bits/stdc++.h>\n#include "p1.h"\nstd::x'
