@@ -113,3 +113,26 @@ def ioi_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     tests = load(spark, sf_dir, "events").select(F.col("user_id").alias("submission"), F.col("event_type").alias("subtask"), F.lit(30).alias("points"), F.lit(2).alias("digits"), F.least(F.lit(1.0), F.abs(v) / 100).alias("score"), F.when(v > 50, "AC").when(v > 20, "PA").otherwise("WA").alias("status"))
     return R.subtask_scores(tests).select(F.col("submission").alias("user_id"), F.col("subtask").alias("event_type"), "score", "weighted", "status")
+
+
+@query("formula_accuracy", """
+    WITH d AS (SELECT doc_id, n_chars AS n, length(source) AS k, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT doc_id, k, CASE WHEN quality IS NULL AND n % 3 = 0 THEN NULL WHEN coalesce(toxic, 0) = 1 THEN 0.0 ELSE 1.0 END AS reward FROM d""")
+def formula_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers and solutions made of a document's numbers in five spellings; toxic ones are one off, and some unlabelled ones have no solution that can be read."""
+    from ..operators.formulas import with_formula_accuracy
+
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n"), F.length("source").cast("long").alias("k")).join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    off = F.coalesce("toxic", F.lit(0)).cast("long")
+    spelt = [
+        (F.format_string(r"so \boxed{\frac{%d}{%d}}", 2 * F.col("n") + off, 2 * F.col("k")), F.format_string(r"%d/%d", "n", "k")),
+        (F.format_string(r"\boxed{%d\sqrt{%d}}", F.col("n") + off, "k"), F.format_string(r"$\sqrt{%d}$", F.col("n") * F.col("n") * F.col("k"))),
+        (F.format_string(r"thus $(x+%d)(x-%d)$", F.col("n") + off, "k"), F.format_string(r"x^2 + (%d)x - %d", F.col("n") - F.col("k"), F.col("n") * F.col("k"))),
+        (F.format_string(r"\boxed{\left\{%d, %d\right\}}", "k", F.col("n") + off), F.format_string(r"\{%d, %d\}", "n", "k")),
+        (F.format_string(r"$$x = %d.%d$$", F.col("n") + off, "k"), F.format_string(r"%d\frac{%d}{%s}", "n", "k", F.rpad(F.lit("1"), (F.length(F.col("k").cast("string")) + 1), "0"))),
+    ]
+    at = (F.col("k") + F.col("n")) % len(spelt)
+    pick = lambda i: F.element_at(F.array(*(s[i] for s in spelt)), (at + 1).cast("int"))
+    unread = F.col("quality").isNull() & (F.col("n") % 3 == 0)
+    rows = rows.select("doc_id", F.col("k").cast("int").alias("k"), pick(0).alias("answer"), F.when(unread, "see the text above").otherwise(pick(1)).alias("solution"))
+    return with_formula_accuracy(rows, "answer", "solution").select("doc_id", "k", "reward")
