@@ -22,10 +22,32 @@ def _docs(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame
     return load(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
-def _ids(mod: int, least: int = 0) -> Column:
-    """An array of 1, 2, ... of (doc_id mod ``mod``) + ``least`` entries."""
-    n = (F.col("doc_id") % mod + least).cast("int")
-    return F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+def _words() -> Column:
+    """Ids made of a row's values: the lengths of its text's words."""
+    return F.transform(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^ \t\n\f\r]+"), F.lit(0)), lambda w: F.length(w))
+
+
+def _letters(column: str = "source") -> Column:
+    return F.transform(F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit("."), F.lit(0)), lambda x: F.ascii(x))
+
+
+_ARRAYS = r"""WITH d AS (SELECT *, CAST(list_transform(regexp_extract_all(coalesce(text, ''), '[^ \t\n\f\r]+'), lambda x: length(x)) AS INTEGER[]) AS w,
+    CAST(list_transform(regexp_extract_all(coalesce(source, ''), '.'), lambda x: ascii(x)) AS INTEGER[]) AS s, CAST(list_transform(regexp_extract_all(coalesce(lang, ''), '.'), lambda x: ascii(x)) AS INTEGER[]) AS l FROM documents)
+"""
+
+
+def _target(source: str, target: str, cutoff: str) -> str:
+    """How much of a response is kept."""
+    return f"CAST(CASE WHEN {target} * 2 < {cutoff} THEN least({cutoff}, {target}) WHEN {source} * 2 < {cutoff} THEN least({cutoff} - {source}, {target}) ELSE least(floor({cutoff} * ({target} / CAST({source} + {target} AS DOUBLE))), {target}) END AS INTEGER)"
+
+
+def _source(source: str, kept: str, cutoff: str) -> str:
+    """How much of a prompt is kept."""
+    return f"CAST(least(greatest({cutoff} - {kept}, 0), {source}) AS INTEGER)"
+
+
+def _text(ids: str) -> str:
+    return f"coalesce(array_to_string({ids}, ','), '')"
 
 
 def _joined(c: Column) -> Column:
@@ -46,10 +68,12 @@ def source_block_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "block", V.best_worst(F.col("scores"))["best"].cast("int").alias("best"), F.get("scores", F.lit(1))["word"].alias("word"))
 
 
-@query("splice_texts", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'new,b,c' WHEN 1 THEN 'a,new,c' WHEN 2 THEN 'a,b,new' ELSE 'a,b,c' END AS texts FROM documents")
+@query("splice_texts", """WITH d AS (SELECT doc_id, source, n_chars % 4 AS t, string_split(coalesce(text, ''), chr(10) || chr(10)) AS p FROM documents)
+    SELECT doc_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i - 1 = t THEN source ELSE x END), '|') AS texts FROM d""")
 def splice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = F.array(*map(F.lit, "abc"))
-    return _docs(spark, sf_dir, _joined(V.splice(texts, (F.col("doc_id") % 4).cast("int"), F.lit("new"))).alias("texts"))
+    """Paragraphs of which one is replaced; where the place is none of theirs, none."""
+    texts = F.split(F.coalesce("text", F.lit("")), "\n\n")
+    return _docs(spark, sf_dir, F.array_join(V.splice(texts, (F.col("n_chars") % 4).cast("int"), F.col("source")), "|").alias("texts"))
 
 
 @query("without_headers", "SELECT doc_id, text, text IS NOT NULL AND text <> '' AS present FROM documents")
@@ -58,11 +82,11 @@ def without_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, X.without_headers(headed).alias("text"), X.present(F.col("text")).alias("present"))
 
 
-@query("hashed_ids", "SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS hashed FROM documents")
+@query("hashed_ids", "SELECT doc_id, md5(source || '/' || n_chars) AS hashed FROM documents")
 def hashed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.preparation import hashed_id
 
-    return _docs(spark, sf_dir, hashed_id(F.col("doc_id")).alias("hashed"))
+    return _docs(spark, sf_dir, hashed_id(F.concat("source", F.lit("/"), F.col("n_chars").cast("string"))).alias("hashed"))
 
 
 @query("thoughts", "SELECT doc_id, length(text) AS bare, length(text) + 19 AS added FROM documents")
@@ -89,13 +113,15 @@ def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "verdicts",
-    "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'CE' WHEN 1 THEN 'MLE' WHEN 2 THEN 'TLE' WHEN 3 THEN 'WA' WHEN 4 THEN 'RE' WHEN 5 THEN 'RE' WHEN 6 THEN 'AC' ELSE 'PA' END AS verdict FROM documents",
+    """SELECT doc_id, CASE WHEN quality = 1 THEN 'AC' WHEN quality IS NULL THEN 'PA' WHEN toxic = 1 THEN 'TLE' WHEN n_chars % 4 = 0 THEN 'CE' WHEN n_chars % 4 = 1 THEN 'MLE' WHEN n_chars % 4 = 2 THEN 'WA' ELSE 'RE' END AS verdict
+    FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = ["x Compilation error y", "Memory limit exceeded", "Time limit exceeded.", "Output isn't correct", "could not compile", "wrong answer", "fine", "Time limit exceeded"]
-    at = (F.col("doc_id") % 8).cast("int")
-    score = F.when(at < 6, 0.0).when(at == 6, 1.0).otherwise(0.5)
-    return _docs(spark, sf_dir, X.verdict(score, F.get(F.array(*map(F.lit, said)), at)).alias("verdict"))
+    """Labels as scores; feedback that begins with a whole text and ends with a judge's words, or with words that are none."""
+    rows = _docs(spark, sf_dir, "text", "n_chars").join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    ends = F.array(*map(F.lit, (" Compilation error ", "Memory limit exceeded", "Output isn't correct", "Could not compile")))
+    said = F.concat("text", F.when(F.col("toxic") == 1, " Time limit exceeded. ").otherwise(F.get(ends, (F.col("n_chars") % 4).cast("int"))))
+    return rows.select("doc_id", X.verdict(F.coalesce(F.col("quality").cast("double"), F.lit(0.5)), said).alias("verdict"))
 
 
 @query("method_names", "SELECT doc_id, 'autogeo' AS method, 'researchy-geo' AS dataset, lower(source) AS engine FROM documents")
@@ -104,21 +130,18 @@ def method_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, X.parse_method_name(name, ["auto", "autogeo"]).alias("m")).select("doc_id", "m.method", "m.dataset", "m.engine")
 
 
-@query("question_ids", "SELECT doc_id, CAST(doc_id AS VARCHAR) AS question FROM documents")
+@query("question_ids", "SELECT doc_id, lang || '-' || n_chars AS question FROM documents")
 def question_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.lit("file:///data/x.y/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, "_aggregated.json").otherwise(".json"))
+    end = F.when(F.col("n_chars") % 2 == 0, "_aggregated.json").otherwise(".json")
+    path = F.concat(F.lit("file:///data/x.y/"), "source", F.lit("/"), "lang", F.lit("-"), F.col("n_chars").cast("string"), end)
     return _docs(spark, sf_dir, X.question_id(path).alias("question"))
 
 
-@query(
-    "trimmed_padding",
-    """WITH d AS (SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS n FROM documents)
-    SELECT doc_id, CASE WHEN n = 0 THEN '0' ELSE array_to_string(range(1, n + 1), ',') END AS lefts,
-    CASE WHEN n = 0 THEN '0' ELSE array_to_string(range(1, n + 1), ',') || ',0' END AS rights FROM d""",
-)
+@query("trimmed_padding", _ARRAYS + "SELECT doc_id, CASE WHEN len(w) = 0 THEN '0' ELSE array_to_string(w, ',') END AS lefts, CASE WHEN len(w) = 0 THEN '0' ELSE array_to_string(w, ',') || ',0' END AS rights FROM d")
 def trimmed_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pad = F.array(*[F.lit(0)] * 3)
-    left, right = X.trim_padding(F.concat(pad, _ids(4)), 0), X.trim_padding(F.concat(_ids(4), pad), 0, "right", eos=0)
+    """Word lengths between as many zeros as the source has letters."""
+    pad = F.transform(_letters(), lambda c: F.lit(0))
+    left, right = X.trim_padding(F.concat(pad, _words()), 0), X.trim_padding(F.concat(_words(), pad), 0, "right", eos=0)
     return _docs(spark, sf_dir, _joined(left).alias("lefts"), _joined(right).alias("rights"))
 
 
@@ -133,18 +156,24 @@ def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.transform("prompt", lambda t: F.concat(t["role"], F.lit(":"), t["content"])), "|").alias("turns"))
 
 
-@query("media_marks", "SELECT doc_id, 'a' || repeat('<image>', CAST(doc_id % 3 AS INTEGER)) || 'b' || repeat('<image>', CAST(doc_id % 3 AS INTEGER)) AS text, 2 AS marks FROM documents")
+@query("media_marks", "SELECT doc_id, replace(coalesce(text, ''), chr(10), repeat('<image>', length(coalesce(source, '')))) AS text, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS INTEGER) AS marks FROM documents")
 def media_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with two marks and two images pass the check, and each mark becomes as many as there are tokens."""
-    rows = _docs(spark, sf_dir, F.array(A.turn("user", F.lit("a<image>b<image>"))).alias("_prompt"), F.array(F.lit("x"), F.lit("y")).alias("_images"), F.lit(None).cast("array<string>").alias("_videos"), F.lit(None).cast("array<string>").alias("_audios"))
+    """Texts with a mark for each line end and as many images pass the check, and each mark becomes as many as there are tokens."""
+    text = F.coalesce("text", F.lit(""))
+    marked = F.replace(text, F.lit("\n"), F.lit("<image>"))
+    images = F.array_repeat(F.lit("x"), F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))))
+    rows = _docs(spark, sf_dir, "source", marked.alias("marked"), F.array(A.turn("user", marked)).alias("_prompt"), images.alias("_images"), F.lit(None).cast("array<string>").alias("_videos"), F.lit(None).cast("array<string>").alias("_audios"))
     rows = A.check_media(rows)
-    return rows.select("doc_id", A.placeholders(F.lit("a<image>b<image>"), "<image>", (F.col("doc_id") % 3).cast("int")).alias("text"), F.size("_images").alias("marks"))
+    return rows.select("doc_id", A.placeholders(F.col("marked"), "<image>", F.length(F.coalesce("source", F.lit("")))).alias("text"), F.size("_images").alias("marks"))
 
 
-@query("alternating_turns", "SELECT doc_id, CASE CAST(doc_id % 4 AS INTEGER) WHEN 0 THEN '' WHEN 1 THEN '' ELSE 'human:t1|gpt:t2' END AS turns FROM documents")
+@query("alternating_turns", """WITH c AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn, role, text) AS l FROM conversations GROUP BY conv_id)
+    SELECT conv_id, coalesce(array_to_string(list_transform(l[1:len(l) - len(l) % 2], lambda x, i: CASE WHEN i % 2 = 1 THEN 'human:' ELSE 'gpt:' END || x), '|'), '') AS turns FROM c""")
 def alternating_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = F.transform(_ids(4), lambda i: F.concat(F.lit("t"), i.cast("string")))
-    return _docs(spark, sf_dir, F.array_join(F.transform(A.alternating(data), lambda t: F.concat(t["from"], F.lit(":"), t["value"])), "|").alias("turns"))
+    """The texts of conversations as alternating turns."""
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
+    rows = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("l")).withColumn("l", F.transform("l", lambda t: t["text"]))
+    return rows.select("conv_id", F.array_join(F.transform(A.alternating(F.col("l")), lambda t: F.concat(t["from"], F.lit(":"), t["value"])), "|").alias("turns"))
 
 
 @query("dialogue_turns", "SELECT doc_id, 'human:Who?|gpt:' || source || '|human:More|gpt:Yes' AS turns, 'More' AS instruction, 'Yes' AS answer, 'Who?|' || source AS history FROM documents")
@@ -181,55 +210,88 @@ def templates_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, one("chatml").alias("text"), one("mistral").alias("fused"))
 
 
-@query("thinking_pairs", "SELECT doc_id, '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) || 'fine<|im_end|>' || chr(10) AS learnt, 'fine<|im_end|>' || chr(10) AS plain FROM documents")
+@query("thinking_pairs", "SELECT doc_id, '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) || text || '<|im_end|>' || chr(10) AS learnt, text || '<|im_end|>' || chr(10) AS plain FROM documents")
 def thinking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda on: F.get(T.pairs(T.TEMPLATES["qwen3"], _exchange(F.col("source")), thinking=on), F.lit(0))["response"]
+    """Responses that are whole texts, with and without an empty thought before them."""
+    turns = F.array(A.turn("user", F.col("source")), A.turn("assistant", F.col("text")))
+    one = lambda on: F.get(T.pairs(T.TEMPLATES["qwen3"], turns, thinking=on), F.lit(0))["response"]
     return _docs(spark, sf_dir, one(True).alias("learnt"), one(False).alias("plain"))
 
 
-_TOOL = "'{\"name\": \"t' || doc_id || '\", \"description\": \"d\", \"parameters\": {\"type\": \"object\", \"properties\": {\"a\": {\"type\": \"string\", \"description\": \"x\"}}, \"required\": [\"a\"]}}'"
-
-
 @query(
     "tool_prompts",
-    f"""SELECT doc_id, '[AVAILABLE_TOOLS] [{{"type": "function", "function": ' || {_TOOL} || '}}][/AVAILABLE_TOOLS]' AS listed,
-    'You have access to the following tools:' || chr(10) || '> Tool Name: t' || doc_id || chr(10) || 'Tool Description: d' || chr(10) || 'Tool Args:' || chr(10) || '  - a (string, required): x' || chr(10) || chr(10)
-    || 'Use the following format if using a tool:' || chr(10) || '```' || chr(10) || 'Action: tool name (one of [t' || doc_id || '])' || chr(10)
-    || 'Action Input: the input to the tool, in a JSON format representing the kwargs (e.g. ```{{"input": "hello world", "num_beams": 5}}```)' || chr(10) || '```' || chr(10) AS described FROM documents""",
+    rf"""WITH d AS (SELECT doc_id, coalesce(source, 'none') AS s, n_chars AS n FROM documents),
+    t AS (SELECT *, '{{"name": "' || s || '", "description": "of ' || n || '", "parameters": {{"type": "object", "properties": {{"a": {{"type": "string", "description": "x", "enum": ["' || s || '", "y"]}}, "b": {{"type": "array", "items": {{"type": "number"}}}}}}, "required": ["a"]}}}}' AS j,
+      '{{' || chr(10) || '    "name": "' || s || '",' || chr(10) || '    "description": "of ' || n || '",' || chr(10) || '    "parameters": {{' || chr(10) || '        "type": "object",' || chr(10) || '        "properties": {{' || chr(10)
+      || '            "a": {{' || chr(10) || '                "type": "string",' || chr(10) || '                "description": "x",' || chr(10) || '                "enum": [' || chr(10) || '                    "' || s || '",' || chr(10) || '                    "y"' || chr(10) || '                ]' || chr(10) || '            }},' || chr(10)
+      || '            "b": {{' || chr(10) || '                "type": "array",' || chr(10) || '                "items": {{' || chr(10) || '                    "type": "number"' || chr(10) || '                }}' || chr(10) || '            }}' || chr(10) || '        }},' || chr(10)
+      || '        "required": [' || chr(10) || '            "a"' || chr(10) || '        ]' || chr(10) || '    }}' || chr(10) || '}}' AS i FROM d)
+    SELECT doc_id, '[AVAILABLE_TOOLS] [{{"type": "function", "function": ' || j || '}}][/AVAILABLE_TOOLS]' AS mistral,
+    'You have access to the following tools:' || chr(10) || '> Tool Name: ' || s || chr(10) || 'Tool Description: of ' || n || chr(10) || 'Tool Args:' || chr(10) || '  - a (string, required): x, should be one of [' || s || ', y]' || chr(10) || '  - b (array): , where each item should be number' || chr(10) || chr(10)
+    || 'Use the following format if using a tool:' || chr(10) || '```' || chr(10) || 'Action: tool name (one of [' || s || '])' || chr(10)
+    || 'Action Input: the input to the tool, in a JSON format representing the kwargs (e.g. ```{{"input": "hello world", "num_beams": 5}}```)' || chr(10) || '```' || chr(10) AS default_,
+    '{O.FRAMES["glm4"].format(tools="")}' || chr(10) || chr(10) || '## ' || s || chr(10) || chr(10) || i || chr(10) || '在调用上述函数时，请使用 Json 格式表示调用的参数。' AS glm4,
+    '{O.FRAMES["llama3"].format(today="02 Mar 2024", tools="")}' || '{{' || chr(10) || '    "type": "function",' || chr(10) || '    "function": ' || replace(i, chr(10), chr(10) || '    ') || chr(10) || '}}' || chr(10) || chr(10) AS llama3,
+    split_part('{O.FRAMES["qwen"].format(tools="@@")}', '@@', 1) || chr(10) || '{{"type": "function", "function": ' || j || '}}' || split_part('{O.FRAMES["qwen"].format(tools="@@")}', '@@', 2) AS qwen FROM t""",
 )
 def tool_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tool = '[{"name": "t%s", "description": "d", "parameters": {"type": "object", "properties": {"a": {"type": "string", "description": "x"}}, "required": ["a"]}}]'
-    rows = _docs(spark, sf_dir, F.format_string(tool, F.col("doc_id").cast("string")).alias("tools"))
-    rows = T.with_tool_text(rows, T.TEMPLATES["mistral"], "tools", "listed")
-    return O.list_tool_column(rows, "tools", "default", "described").select("doc_id", "listed", "described")
+    """A tool made of a document's source and length, listed in five dialects; the frames are fixed texts."""
+    made = '[{"name": "%s", "description": "of %d", "parameters": {"type": "object", "properties": {"a": {"type": "string", "description": "x", "enum": ["%s", "y"]}, "b": {"type": "array", "items": {"type": "number"}}}, "required": ["a"]}}]'
+    name = F.coalesce("source", F.lit("none"))
+    rows = _docs(spark, sf_dir, F.format_string(made, name, F.col("n_chars").cast("long"), name).alias("tools"))
+    rows = T.with_tool_text(rows, T.TEMPLATES["mistral"], "tools", "mistral")
+    for dialect, out in (("default", "default_"), ("glm4", "glm4"), ("llama3", "llama3"), ("qwen", "qwen")):
+        rows = O.list_tool_column(rows, "tools", dialect, out, today="02 Mar 2024")
+    return rows.select("doc_id", "mistral", "default_", "glm4", "llama3", "qwen")
 
 
 @query(
     "tool_calls",
-    """SELECT doc_id, 'Action: f' || chr(10) || 'Action Input: {"k": ' || doc_id || '}' AS default_text, '<tool_call>' || chr(10) || '{"name": "f", "arguments": {"k": ' || doc_id || '}}' || chr(10) || '</tool_call>' AS qwen_text,
-    'f' AS name, '{"k": ' || doc_id || '}' AS arguments, doc_id % 2 = 1 AS plain FROM documents""",
+    """WITH d AS (SELECT doc_id, n_chars % 3 = 0 AS two, coalesce(source, 'none') AS s, '{"k": ' || n_chars || ', "t": "' || coalesce(lang, '?') || '"}' AS a FROM documents),
+    m AS (SELECT *, '{"name": "f", "arguments": ' || a || '}' AS x, '{"name": "' || s || '", "arguments": ' || a || '}' AS y, '{"name": "f", "parameters": ' || a || '}' AS px, '{"name": "' || s || '", "parameters": ' || a || '}' AS py FROM d)
+    SELECT doc_id, 'Action: f' || chr(10) || 'Action Input: ' || a || CASE WHEN two THEN chr(10) || 'Action: ' || s || chr(10) || 'Action Input: ' || a ELSE '' END AS default_,
+    'f' || chr(10) || a AS glm4, CASE WHEN two THEN '[' || px || ', ' || py || ']' ELSE px END AS llama3, '[' || x || CASE WHEN two THEN ', ' || y ELSE '' END || ']' AS mistral,
+    '<tool_call>' || chr(10) || x || chr(10) || '</tool_call>' || CASE WHEN two THEN chr(10) || '<tool_call>' || chr(10) || y || chr(10) || '</tool_call>' ELSE '' END AS qwen,
+    'f' || CASE WHEN two THEN ',' || s ELSE '' END AS names, a AS arguments, true AS agree, true AS plain FROM m""",
 )
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls rendered in two dialects; read back; every other text holds no call."""
-    call = F.format_string('{"name": "f", "arguments": {"k": %s}}', F.col("doc_id").cast("string"))
-    rows = _docs(spark, sf_dir, call.alias("call"))
-    rows = O.render_call_column(O.render_call_column(rows, "call", "default", "default_text"), "call", "qwen", "qwen_text")
-    rows = O.extract_calls(rows, "qwen_text", "qwen").withColumn("words", F.when(F.col("doc_id") % 2 == 1, "no call").otherwise(F.col("default_text")))
-    rows = O.extract_calls(rows, "words", "default", "other")
-    first = F.get("read.calls", F.lit(0))
-    return rows.select("doc_id", "default_text", "qwen_text", first["name"].alias("name"), first["arguments"].alias("arguments"), F.col("other.calls").isNull().alias("plain"))
-
-
-@query("rule_prompts", "SELECT doc_id, '- ' || source || chr(10) || '- b' AS bullets, true AS whole FROM documents")
+    """One or two calls made of a document's values, rendered in five dialects and read back from each; whole texts hold no call."""
+    arguments = F.concat(F.lit('{"k": '), F.col("n_chars").cast("string"), F.lit(', "t": "'), F.coalesce("lang", F.lit("?")), F.lit('"}'))
+    call = lambda name: F.concat(F.lit('{"name": "'), name, F.lit('", "arguments": '), arguments, F.lit("}"))
+    first = call(F.lit("f"))
+    both = F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("["), first, F.lit(", "), call(F.coalesce("source", F.lit("none"))), F.lit("]"))).otherwise(first)
+    rows = _docs(spark, sf_dir, "text", first.alias("one"), both.alias("calls"))
+    same = F.lit(True)
+    for dialect in O.DIALECTS:
+        rows = O.render_call_column(rows, "one" if dialect == "glm4" else "calls", dialect, f"{dialect}_")
+        rows = O.extract_calls(rows, f"{dialect}_", dialect, f"{dialect}_read")
+        rows = O.extract_calls(rows, "text", dialect, f"{dialect}_text")
+        read = F.col(f"{dialect}_read.calls")
+        same = same & F.coalesce(read == (F.slice("qwen_read.calls", F.lit(1), F.lit(1)) if dialect == "glm4" else F.col("qwen_read.calls")), F.lit(False))
+    plain = F.coalesce(*(F.when(F.col(f"{d}_text.calls").isNotNull(), False) for d in O.DIALECTS if d != "glm4"), F.lit(True))
+    calls = F.col("qwen_read.calls")
+    return rows.select("doc_id", "default_", *(F.col(f"{d}_").alias(d) for d in O.DIALECTS[1:]), F.array_join(F.transform(calls, lambda c: c["name"]), ",").alias("names"), F.get(calls, F.lit(0))["arguments"].alias("arguments"), same.alias("agree"), plain.alias("plain"))
+
+
+@query("rule_prompts", """WITH d AS (SELECT doc_id, source AS s, text AS t, '- ' || source || chr(10) || '- b' AS r, chr(10) || chr(10) AS nn FROM documents)
+    SELECT doc_id, r AS bullets,
+    md5('Rewrite the document so that it follows the rules below, and keep its facts.' || nn || '## Document' || chr(10) || t || nn || '## Rules' || chr(10) || r) AS rewrite,
+    md5('Some of the rules below say the same. Merge these, keep all others, and answer with a JSON list of strings.' || nn || r) AS merge,
+    md5('Which of the rules below can a writer follow in any document? Answer with these alone, as a JSON list of strings.' || nn || r) AS filter_,
+    md5('List the claims of the answer below with the numbers of the sources that it cites for each, as JSON: [{"claim": ..., "sources": [...]}]' || nn || t) AS claims,
+    md5('Does the source support the claim? Answer full_support, partial_support or no_support.' || nn || 'Claim: ' || s || nn || 'Source:' || chr(10) || t) AS support,
+    md5('Question: ' || s || nn || 'Document A:' || chr(10) || t || nn || 'Document B:' || chr(10) || s || nn || 'An answer drew more on document A. Explain which of its properties made it so.') AS explain_,
+    md5('From the explanation below, state general rules for documents as a JSON list of strings.' || nn || t) AS extract,
+    md5('For each point say whether the answer has it: Supported, Omitted or Contradicted, as JSON by number.' || nn || 'Points:' || chr(10) || '1. ' || s || chr(10) || '2. b' || nn || 'Answer:' || chr(10) || t) AS points FROM d""")
 def rule_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = F.array("source", F.lit("b"))
-    prompt = U.rewrite_prompt(F.col("text"), rules)
-    others = [U.merge_prompt(rules), U.filter_prompt(rules), U.claims_prompt(F.col("text")), U.support_prompt(F.col("source"), F.col("text")), U.rating_prompt(F.lit("Depth"), F.col("source"), F.col("text"))]
-    points = U.points_prompt(F.array(F.struct(F.lit(1).alias("point_number"), F.col("source").alias("point_content"))), F.col("text"))
-    whole = F.contains(prompt, F.col("text")) & F.contains(points, F.concat(F.lit("1. "), "source"))
-    for o in others:
-        whole = whole & F.contains(o, F.col("source") if o is not others[2] else F.col("text"))
-    return _docs(spark, sf_dir, X.rule_text(rules).alias("bullets"), whole.alias("whole"))
+    """The prompts on whole texts, letter by letter."""
+    s, t, rules = F.col("source"), F.col("text"), F.array("source", F.lit("b"))
+    points = F.array(*(F.struct(F.lit(i).alias("point_number"), p.alias("point_content")) for i, p in ((1, s), (2, F.lit("b")))))
+    prompts = {
+        "rewrite": U.rewrite_prompt(t, rules), "merge": U.merge_prompt(rules), "filter_": U.filter_prompt(rules), "claims": U.claims_prompt(t), "support": U.support_prompt(s, t),
+        "explain_": U.explain_prompt(s, t, s, F.lit("A")), "extract": U.extract_prompt(t), "points": U.points_prompt(points, t),
+    }
+    return _docs(spark, sf_dir, X.rule_text(rules).alias("bullets"), *(F.md5(p).alias(k) for k, p in prompts.items()))
 
 
 _DISTINCT = "SELECT DISTINCT source AS rule FROM documents UNION SELECT 'b'"
@@ -240,77 +302,84 @@ def rule_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.distinct_rules(_docs(spark, sf_dir, F.array("source", F.lit("b"), F.lit(" ")).alias("rules")))
 
 
-@query("position_ids", "SELECT doc_id, CASE CAST(doc_id % 3 AS INTEGER) WHEN 0 THEN '0,1' WHEN 1 THEN '0,0,1' ELSE '0,1,0,1' END AS places FROM documents")
+@query("position_ids", _ARRAYS + "SELECT doc_id, md5(coalesce(array_to_string(list_concat(range(0, len(s)), range(0, len(w))), ','), '')) AS places FROM d")
 def position_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir, _joined(G.position_ids(F.array((F.col("doc_id") % 3).cast("int"), F.lit(2)))).alias("places"))
+    """Places of a source's letters and a text's words that are packed together."""
+    return _docs(spark, sf_dir, F.md5(_joined(G.position_ids(F.array(F.size(_letters()), F.size(_words()))))).alias("places"))
 
 
-@query("segments", "SELECT doc_id, CASE CAST(doc_id % 3 AS INTEGER) WHEN 0 THEN '2' WHEN 1 THEN '1,2' ELSE '2,2' END AS lengths, CASE CAST(doc_id % 3 AS INTEGER) WHEN 0 THEN '0,2' WHEN 1 THEN '0,1,3' ELSE '0,2,4' END AS offsets FROM documents")
+@query("segments", _ARRAYS + """, x AS (SELECT doc_id, list_filter([len(s), len(w)], lambda v: v > 0) AS x FROM d)
+    SELECT doc_id, coalesce(array_to_string(x, ','), '') AS lengths, CASE len(x) WHEN 0 THEN '0' WHEN 1 THEN '0,' || x[1] ELSE '0,' || x[1] || ',' || (x[1] + x[2]) END AS offsets FROM x""")
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = F.concat(F.array_repeat(F.lit(1), (F.col("doc_id") % 3).cast("int")), F.array(*map(F.lit, (2, 2, 0))))
+    """A mask of a source's letters, a text's words and padding."""
+    mask = F.concat(*(F.array_repeat(F.lit(v), F.size(a)) for v, a in ((1, _letters()), (2, _words()), (0, _letters("lang")))))
     rows = _docs(spark, sf_dir, G.segment_lengths(mask).alias("lengths"))
     return rows.select("doc_id", _joined(F.col("lengths")).alias("lengths"), _joined(G.cumulative(F.col("lengths"))).alias("offsets"))
 
 
-_PR = "WITH d AS (SELECT doc_id, CAST(doc_id % 5 + 1 AS INTEGER) AS s, CAST(doc_id % 3 + 1 AS INTEGER) AS t, CAST(doc_id % 4 + 1 AS INTEGER) AS u FROM documents)\n"
-
-
-def _lengths(t: str) -> str:
-    return f"CASE WHEN {t} * 2 < 5 THEN least(5, {t}) WHEN s * 2 < 5 THEN least(5 - s, {t}) ELSE least(CAST(floor(5 * ({t} / CAST(s + {t} AS DOUBLE))) AS INTEGER), {t}) END"
-
-
-@query("encoded_unsupervised", _PR.rstrip("\n") + f", e AS (SELECT *, {_lengths('t')} AS nt FROM d) SELECT doc_id, CAST(least(greatest(5 - nt, 0), s) AS INTEGER) AS n, CAST(nt AS INTEGER) AS m FROM e")
+@query("encoded_unsupervised", _ARRAYS + f", e AS (SELECT *, {_target('len(w)', 'len(s)', '40')} AS nt FROM d) SELECT doc_id, {_text('w[1:' + _source('len(w)', 'nt', '40') + ']')} AS input_ids, {_text('s[1:nt]')} AS labels FROM e")
 def encoded_unsupervised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir, G.processor("ppo")(_ids(5, 1), _ids(3, 1), 5).alias("x"))
-    return rows.select("doc_id", F.size("x.input_ids").alias("n"), F.size("x.labels").alias("m"))
+    """Words of the text as the prompt, letters of the source as the response, within 40."""
+    rows = _docs(spark, sf_dir, G.processor("ppo")(_words(), _letters(), 40).alias("x"))
+    return rows.select("doc_id", _joined(F.col("x.input_ids")).alias("input_ids"), _joined(F.col("x.labels")).alias("labels"))
 
 
 @query(
     "encoded_pairs",
-    _PR.rstrip("\n") + f", e AS (SELECT *, {_lengths('greatest(t, u)')} AS nt FROM d) SELECT doc_id, CAST(least(greatest(5 - nt, 0), s) + least(nt, t) AS INTEGER) AS chosen, CAST(least(greatest(5 - nt, 0), s) + least(nt, u) AS INTEGER) AS rejected, CAST(least(greatest(5 - nt, 0), s) AS INTEGER) AS ignored FROM e",
+    _ARRAYS + f""", e AS (SELECT *, {_target('len(l)', 'greatest(len(w), len(s))', '60')} AS nt FROM d), g AS (SELECT *, {_source('len(l)', 'nt', '60')} AS ns FROM e)
+    SELECT doc_id, {_text('list_concat(l[1:ns], w[1:nt])')} AS chosen, {_text('list_concat(l[1:ns], s[1:nt])')} AS rejected, {_text('list_concat(list_transform(l[1:ns], lambda x: -100), w[1:nt])')} AS labels FROM g""",
 )
 def encoded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir, G.processor("rm")(_ids(5, 1), _ids(3, 1), _ids(4, 1), 5).alias("x"))
-    return rows.select("doc_id", F.size("x.chosen_input_ids").alias("chosen"), F.size("x.rejected_input_ids").alias("rejected"), F.size(F.filter("x.chosen_labels", lambda v: v == G.IGNORE)).alias("ignored"))
+    """The language as the prompt, words of the text against letters of the source, within 60."""
+    rows = _docs(spark, sf_dir, G.processor("rm")(_letters("lang"), _words(), _letters(), 60).alias("x"))
+    return rows.select("doc_id", _joined(F.col("x.chosen_input_ids")).alias("chosen"), _joined(F.col("x.rejected_input_ids")).alias("rejected"), _joined(F.col("x.chosen_labels")).alias("labels"))
 
 
 @query(
     "kto_batches",
-    """WITH d AS (SELECT doc_id, doc_id // 10 AS batch, least(doc_id % 5 + 1, 5) + doc_id % 3 + 1 AS n, doc_id % 5 + 1 + doc_id % 4 + 1 AS k, doc_id % 2 = 0 AS tag FROM documents)
-    SELECT doc_id, CAST(max(n) OVER (PARTITION BY batch) AS INTEGER) AS n, CAST(max(k) OVER (PARTITION BY batch) AS INTEGER) AS k, tag FROM d""",
+    _ARRAYS + f""", e AS (SELECT *, {_target('len(l)', 'len(w)', '100')} AS nt, {_target('len(l)', 'len(s)', '100')} AS kt FROM d),
+    g AS (SELECT doc_id, doc_id // 10 AS batch, n_chars % 2 = 0 AS tag, list_concat(l[1:{_source('len(l)', 'nt', '100')}], w[1:nt]) AS x, list_concat(list_transform(l[1:{_source('len(l)', 'kt', '100')}], lambda x: -100), s[1:kt]) AS k FROM e),
+    m AS (SELECT *, max(len(x)) OVER (PARTITION BY batch) AS nx, max(len(k)) OVER (PARTITION BY batch) AS nk FROM g)
+    SELECT doc_id, {_text('list_resize(x, nx, 0)')} AS input_ids, {_text('list_resize(k, nk, -100)')} AS kl_labels, tag FROM m""",
 )
 def kto_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir, F.floor(F.col("doc_id") / 10).alias("batch"), G.processor("kto")(_ids(5, 1), _ids(3, 1), _ids(4, 1), F.col("doc_id") % 2 == 0, 100).alias("x")).select("doc_id", "batch", "x.*")
+    """The language as the prompt, words of the text as the response, letters of the source as the other one; padded in batches of ten."""
+    rows = _docs(spark, sf_dir, F.floor(F.col("doc_id") / 10).alias("batch"), G.processor("kto")(_letters("lang"), _words(), _letters(), F.col("n_chars") % 2 == 0, 100).alias("x")).select("doc_id", "batch", "x.*")
     done = G.kto_batch(rows, "batch", "doc_id")
-    return done.select("doc_id", F.size("input_ids").alias("n"), F.size("kl_labels").alias("k"), F.col("kto_tags").alias("tag"))
+    return done.select("doc_id", _joined(F.col("input_ids")).alias("input_ids"), _joined(F.col("kl_labels")).alias("kl_labels"), F.col("kto_tags").alias("tag"))
 
 
-@query("pair_sides", "SELECT doc_id, 0 AS side, CAST(doc_id % 3 + 1 AS INTEGER) AS n FROM documents UNION ALL SELECT doc_id, 1, CAST(doc_id % 4 + 1 AS INTEGER) FROM documents")
+@query("pair_sides", _ARRAYS + f"SELECT doc_id, 0 AS side, {_text('w')} AS ids FROM d UNION ALL SELECT doc_id, 1, {_text('s')} FROM d")
 def pair_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir, *(x.alias(f"{k}_{c}") for k, x in (("chosen", _ids(3, 1)), ("rejected", _ids(4, 1))) for c in ("input_ids", "labels")))
-    return G.pairwise_rows(rows, "doc_id").select("doc_id", "side", F.size("input_ids").alias("n"))
+    rows = _docs(spark, sf_dir, *(x.alias(f"{k}_{c}") for k, x in (("chosen", _words()), ("rejected", _letters())) for c in ("input_ids", "labels")))
+    return G.pairwise_rows(rows, "doc_id").select("doc_id", "side", _joined(F.col("input_ids")).alias("ids"))
 
 
 @query(
     "turns_masked",
-    """WITH d AS (SELECT doc_id, CAST(doc_id % 3 + 1 AS INTEGER) AS a, CAST(doc_id % 4 + 1 AS INTEGER) AS b FROM documents)
-    SELECT doc_id, repeat('-100,', a) || array_to_string(range(1, b + 1), ',') || ',' || repeat('-100,', b) || array_to_string(range(1, a + 1), ',') || ',9' AS labels,
-    repeat('-100,', a + b + b) || array_to_string(range(1, a + 1), ',') || ',9' AS last_only FROM d""",
+    _ARRAYS + f""", a AS (SELECT *, {_target('len(w)', 'len(s)', '99')} AS t1, {_target('len(s)', 'len(l)', '99')} AS u2 FROM d),
+    b AS (SELECT *, {_source('len(w)', 't1', '99')} AS s1, {_source('len(s)', 'u2', '99')} AS v2 FROM a),
+    c AS (SELECT *, 99 - s1 - t1 AS room, 99 - v2 - u2 AS rest FROM b),
+    e AS (SELECT *, CASE WHEN room > 0 THEN {_target('len(s)', 'len(l)', 'room')} ELSE 0 END AS t2, CASE WHEN rest > 0 THEN {_target('len(w)', 'len(s)', 'rest')} ELSE 0 END AS u1 FROM c),
+    f AS (SELECT *, CASE WHEN room > 0 THEN {_source('len(s)', 't2', 'room')} ELSE 0 END AS s2, CASE WHEN rest > 0 THEN {_source('len(w)', 'u1', 'rest')} ELSE 0 END AS v1 FROM e)
+    SELECT doc_id, {_text("list_concat(list_transform(w[1:s1], lambda x: -100), list_concat(s[1:t1], list_concat(list_transform(s[1:s2], lambda x: -100), list_concat(l[1:t2], [9]))))")} AS labels,
+    {_text("list_concat(list_transform(list_concat(w[1:v1], list_concat(s[1:u1], s[1:v2])), lambda x: -100), list_concat(l[1:u2], [9]))")} AS last_only FROM f""",
 )
 def turns_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two turns under the cutoff: the prompts are ignored; with a masked history only the last response is learnt."""
-    a, b = _ids(3, 1), _ids(4, 1)
-    turns = F.array(F.struct(a.alias("prompt"), b.alias("response")), F.struct(b.alias("prompt"), a.alias("response")))
-    one = lambda **k: _joined(G.processor("sft")(turns, 1000, eos=9, **k)["labels"])
+    """Two turns (words and source; source and language) share 99 places: the prompts are ignored; with a masked history only the last response is learnt, and cut last."""
+    turns = F.array(F.struct(_words().alias("prompt"), _letters().alias("response")), F.struct(_letters().alias("prompt"), _letters("lang").alias("response")))
+    one = lambda **k: _joined(G.processor("sft")(turns, 100, eos=9, **k)["labels"])
     return _docs(spark, sf_dir, one().alias("labels"), one(mask_history=True).alias("last_only"))
 
 
-@query("reward_len", "SELECT doc_id, -length(text) AS reward, CASE WHEN doc_id % 3 = 2 THEN 0.0 ELSE 1.0 END AS right_, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS passed FROM documents")
+@query("reward_len", "SELECT doc_id, -length(text) AS reward, CASE WHEN n_chars % 3 = 2 THEN 0.0 ELSE 1.0 END AS right_, CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END AS passed FROM documents LEFT JOIN labels USING (doc_id)")
 def reward_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length; answers of twelve digits in three spellings, one of which is wrong; the binary of a pass rate."""
-    number = (F.col("doc_id") + 123456789012).cast("string")
-    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("so \\boxed{"), number, F.lit(".0}"))).when(F.col("doc_id") % 3 == 1, number).otherwise(F.concat(number, F.lit("1")))
-    return _docs(spark, sf_dir, F.lit(0).alias("z"), R.short(F.col("text")).alias("reward"), R.accuracy(said, number).alias("right_"), R.binary(F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.5)).alias("passed")).drop("z")
+    kind = F.col("n_chars") % 3
+    number = (F.col("n_chars") + 123456789012).cast("string")
+    said = F.when(kind == 0, F.concat(F.lit("so \\boxed{"), number, F.lit(".0}"))).when(kind == 1, number).otherwise(F.concat(number, F.lit("1")))
+    rows = _docs(spark, sf_dir, "text", "n_chars").join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.select("doc_id", R.short(F.col("text")).alias("reward"), R.accuracy(said, number).alias("right_"), R.binary(F.coalesce(F.col("quality").cast("double"), F.lit(0.5))).alias("passed"))
 
 
 @query(
