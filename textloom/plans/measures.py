@@ -98,15 +98,16 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.load_checkpoint(spark, path, "step1")
 
 
-@query("tokenized_tables", "SELECT doc_id, CAST(doc_id % 4 + 1 AS INTEGER) AS n, true AS missing FROM documents")
+@query("tokenized_tables", "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\f\\r]+')) AS INTEGER) AS n, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\f\\r]+'), lambda w: length(w)), ',') AS ids, true AS missing FROM documents WHERE n_chars > 0")
 def tokenized_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tokenised set saved once, not again; none where none was saved."""
+    """A tokenised set (lengths of words) saved once, not again; none where none was saved."""
     path = _place(spark, "tokens")
-    rows = _docs(spark, sf_dir, F.sequence(F.lit(1), (_mod(4) + 1).cast("int")).alias("input_ids"))
+    words = F.regexp_extract_all("text", F.lit(r"[^ \t\n\f\r]+"), F.lit(0))
+    rows = load(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", F.transform(words, lambda w: F.length(w)).alias("input_ids"))
     for r in (rows, rows.limit(1)):
         S.save_tokenized(r, path)
     missing = S.load_tokenized(spark, f"{path}-none") is None
-    return S.load_tokenized(spark, path).select("doc_id", F.size("input_ids").alias("n"), F.lit(missing).alias("missing"))
+    return S.load_tokenized(spark, path).select("doc_id", F.size("input_ids").alias("n"), F.array_join("input_ids", ",").alias("ids"), F.lit(missing).alias("missing"))
 
 
 @query("single_exports", "SELECT CAST(doc_id AS VARCHAR) AS k, quality, toxic, 'x' AS extra FROM labels")
@@ -193,11 +194,10 @@ def stream_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts["validation"].withColumn("part", F.lit("validation")).unionByName(parts["train"].withColumn("part", F.lit("train")))
 
 
-@query("preference_places", "SELECT doc_id, 'good' AS won, 'bad' AS lost FROM documents")
+@query("preference_places", "SELECT doc_id, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' THEN text ELSE source END AS document_a, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' THEN source ELSE text END AS document_b, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' THEN 'A' ELSE 'B' END AS winner FROM documents")
 def preference_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir, P.preference_pair(F.lit("good"), F.lit("bad"), F.col("doc_id")).alias("p"))
-    a, b, first = F.col("p.document_a"), F.col("p.document_b"), F.col("p.winner") == "A"
-    return rows.select("doc_id", F.when(first, a).otherwise(b).alias("won"), F.when(first, b).otherwise(a).alias("lost"))
+    """The better document (the text) first or second, by a hash."""
+    return _docs(spark, sf_dir, P.preference_pair(F.col("text"), F.col("source"), F.col("doc_id")).alias("p")).select("doc_id", "p.*")
 
 
 @query("required_columns", "SELECT doc_id FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500) WHERE doc_id % 7 <> 0")
@@ -229,35 +229,49 @@ def score_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.mean_scores(V.scores_with_fallback(rows, "score", "said"), ["source"], ["score"]).select("source", F.round("score", 4).alias("mean"))
 
 
-@query("complete_scores", "SELECT doc_id, doc_id % 2 = 0 AND doc_id % 3 <> 0 AS complete FROM documents")
+@query("complete_scores", "SELECT doc_id, quality IS NOT NULL AND (n_chars % 3 <> 0 OR toxic = 1) AS complete FROM documents LEFT JOIN labels USING (doc_id)")
 def complete_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = F.struct(F.when(_mod(2) == 0, 1.0).alias("Precision"), *((F.when(_mod(3) != 0, 1.0) if c == "Depth" else F.lit(None).cast("double")).alias(c) for c in U.CRITERIA))
-    return _docs(spark, sf_dir, U.is_complete(score, ["Precision", "Clarity"]).alias("complete"))
+    """Labels as scores; a rated criterion is there for most lengths, or another one for toxic texts."""
+    rows = _docs(spark, sf_dir, "n_chars").join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    rated = {"Depth": F.when(F.col("n_chars") % 3 != 0, 1.0), "Support": F.when(F.col("toxic") == 1, 1.0)}
+    score = F.struct(F.col("quality").cast("double").alias("Precision"), *(rated.get(c, F.lit(None).cast("double")).alias(c) for c in U.CRITERIA))
+    return rows.select("doc_id", F.coalesce(U.is_complete(score, ["Precision", "Clarity"]), F.lit(False)).alias("complete"))
 
 
-@query("criteria_cross", "SELECT doc_id, unnest(['Clarity', 'Depth', 'Balance', 'Breadth', 'Support', 'Insightfulness']) AS criterion FROM documents")
+@query("criteria_cross", """WITH c AS (SELECT *, unnest(['Clarity', 'Depth', 'Balance', 'Breadth', 'Support', 'Insightfulness']) AS criterion FROM documents)
+    SELECT doc_id, criterion, md5('Rate the answer from 0 to 10 for its ' || lower(criterion) || '.' || chr(10) || chr(10) || 'Question: ' || source || chr(10) || chr(10) || 'Answer:' || chr(10) || text) AS prompt FROM c""")
 def criteria_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.criteria_rows(_docs(spark, sf_dir))
+    """The prompt of each document for each criterion."""
+    from ..operators.rules import rating_prompt
+
+    rows = U.criteria_rows(_docs(spark, sf_dir, "source", "text"))
+    return rows.select("doc_id", "criterion", F.md5(rating_prompt(F.col("criterion"), F.col("source"), F.col("text"))).alias("prompt"))
 
 
-@query("generation_rows", "SELECT doc_id, k AS generation_id FROM documents, (SELECT unnest(range(0, 4))::INTEGER AS k)")
+@query("generation_rows", "SELECT doc_id, k AS generation_id, md5(text) AS digest FROM documents, (SELECT unnest(range(0, 4))::INTEGER AS k)")
 def generation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.repeated_prompts(_docs(spark, sf_dir), 4)
+    return R.repeated_prompts(_docs(spark, sf_dir, "text"), 4).select("doc_id", "generation_id", F.md5("text").alias("digest"))
 
 
-@query("generations_gathered", "SELECT doc_id, 'g0,g1,g2' AS generations, round(doc_id * 3.0 + 3, 4) AS total, doc_id % 2 = 1 AS kept FROM documents")
+@query("generations_gathered", "SELECT doc_id, source || '0,' || source || '1,' || source || '2' AS generations, round(n_chars * 3.0 + 3, 4) AS total, n_chars % 3 > 0 AS kept FROM documents WHERE source IS NOT NULL")
 def generations_gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored generations as arrays in order; the pass-rate filter reads their rewards."""
-    rows = R.repeated_prompts(_docs(spark, sf_dir), 3).withColumn("generation", F.concat(F.lit("g"), F.col("generation_id").cast("string"))).withColumn("reward", F.col("doc_id") + F.col("generation_id"))
-    got = R.gathered_generations(rows, "doc_id", "generation_id")
-    good = R.pass_rate_filter(got.withColumn("rewards", F.transform("rewards", lambda x: F.when(F.col("doc_id") % 2 == 1, 0.5).otherwise(1.0)))).select("doc_id", F.lit(True).alias("kept"))
+    """Scored generations as arrays in order; the pass-rate filter reads rewards of which none, one or two are 1."""
+    rows = R.repeated_prompts(_docs(spark, sf_dir, "source", "n_chars").where("source IS NOT NULL"), 3)
+    rows = rows.withColumn("generation", F.concat("source", F.col("generation_id").cast("string"))).withColumn("reward", F.col("n_chars") + F.col("generation_id"))
+    passes = rows.withColumn("reward", (F.col("n_chars") % 3 > F.col("generation_id")).cast("double"))
+    keys = ["doc_id", "generation_id", "generation", "reward"]
+    got = R.gathered_generations(rows.select(*keys), "doc_id", "generation_id")
+    good = R.pass_rate_filter(R.gathered_generations(passes.select(*keys), "doc_id", "generation_id")).select("doc_id", F.lit(True).alias("kept"))
     total = F.aggregate("rewards", F.lit(0.0), lambda a, x: a + x)
     return got.join(good, "doc_id", "left").select("doc_id", F.array_join("generations", ",").alias("generations"), F.round(total, 4).alias("total"), F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-@query("claims_with_documents", "SELECT doc_id, 0 AS source_index, 'a' AS document FROM documents UNION ALL SELECT doc_id, 1, 'b' FROM documents UNION ALL SELECT doc_id, 7, NULL FROM documents")
+@query("claims_with_documents", """WITH c AS (SELECT doc_id, source, lang, unnest([n_chars % 3, length(source) % 4, 7]) AS i FROM documents)
+    SELECT doc_id, CAST(i AS INTEGER) AS source_index, CASE i WHEN 0 THEN source WHEN 1 THEN lang END AS document FROM c""")
 def claims_with_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("key"), F.lit(0).alias("claim_id"), F.lit("c").alias("claim"), F.array(F.lit(0), F.lit(1), F.lit(7)).alias("source_indices"), F.array(F.lit("a"), F.lit("b")).alias("text_list"))
+    """Claims that cite two of a row's values by number, or numbers that are none of theirs."""
+    indices = F.array((F.col("n_chars") % 3).cast("int"), (F.length("source") % 4).cast("int"), F.lit(7))
+    rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.lit(0).alias("claim_id"), F.col("text").alias("claim"), indices.alias("source_indices"), F.array("source", "lang").alias("text_list"))
     return U.claim_documents(rows).select(F.col("key").alias("doc_id"), "source_index", "document")
 
 
@@ -272,17 +286,22 @@ def points_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("query_id").alias("doc_id"), F.concat(F.get(labels, F.lit(0)), F.lit(","), F.get(simple, F.lit(0))["point_content"]).alias("judged"))
 
 
-@query("support_rates", "SELECT doc_id, CASE WHEN doc_id % 3 + doc_id % 4 + doc_id % 5 = 0 THEN 0.0 ELSE round((doc_id % 3) / CAST(doc_id % 3 + doc_id % 4 + doc_id % 5 AS DOUBLE), 6) END AS rate, CASE WHEN doc_id % 3 + doc_id % 4 + doc_id % 5 > 0 AND (doc_id % 3) / CAST(doc_id % 3 + doc_id % 4 + doc_id % 5 AS DOUBLE) >= 0.8 THEN 1.0 ELSE 0.0 END AS reward FROM documents")
+@query("support_rates", """WITH d AS (SELECT doc_id, length(text) - length(replace(text, '.', '')) AS s, length(text) - length(replace(text, ',', '')) AS o, length(text) - length(replace(text, chr(10), '')) AS c FROM documents)
+    SELECT doc_id, CASE WHEN s + o + c = 0 THEN 0.0 ELSE round(s / CAST(s + o + c AS DOUBLE), 6) END AS rate, CASE WHEN s + o + c > 0 AND s / CAST(s + o + c AS DOUBLE) >= 0.8 THEN 1.0 ELSE 0.0 END AS reward FROM d WHERE s IS NOT NULL""")
 def support_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, o, c = _mod(3), _mod(4), _mod(5)
-    return _docs(spark, sf_dir, F.round(U.support_rate(s, o, c), 6).alias("rate"), R.points_reward(s, s + o + c).alias("reward"))
+    """Periods, commas and line ends of a text as points that are supported, left out and contradicted."""
+    s, o, c = (F.length("text") - F.length(F.replace("text", F.lit(x), F.lit(""))) for x in (".", ",", "\n"))
+    return load(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.round(U.support_rate(s, o, c), 6).alias("rate"), R.points_reward(s, s + o + c).alias("reward"))
 
 
-@query("rules_and_gain", "SELECT doc_id, round((doc_id % 4) / 15.0, 6) AS followed, round(0.33 * 6 - 0.33 * 3 * (doc_id % 5), 6) AS gain FROM documents")
+@query("rules_and_gain", """WITH d AS (SELECT doc_id, contains(text, 'the')::INT + contains(text, chr(10))::INT + (n_chars > 1000)::INT + (length(source) > 3)::INT AS k, n_chars % 5 AS m FROM documents)
+    SELECT doc_id, round(k / 15.0, 6) AS followed, round(0.33 * 6 - 0.33 * 3 * m, 6) AS gain FROM d""")
 def rules_and_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(i.cast("string"), i <= F.col("doc_id") % 4)))
+    """Rules that a text follows: words, lines, length, source."""
+    tests = [F.contains("text", F.lit("the")), F.contains("text", F.lit("\n")), F.col("n_chars") > 1000, F.length("source") > 3]
+    answers = F.create_map(*(x for i, t in enumerate(tests) for x in (F.lit(str(i + 1)), t)))
     score = lambda *v: F.struct(*(x.cast("double").alias(k) for k, x in zip(V.KINDS, v, strict=True)))
-    new, old = score(F.lit(1), F.lit(2), F.lit(3)), score(_mod(5), _mod(5), _mod(5))
+    new, old = score(F.lit(1), F.lit(2), F.lit(3)), score(*[F.col("n_chars") % 5] * 3)
     return _docs(spark, sf_dir, F.round(R.rules_followed(answers), 6).alias("followed"), F.round(R.visibility_gain(new, old), 6).alias("gain"))
 
 
@@ -313,51 +332,55 @@ def execution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("subtasks_joined", """
-    WITH t AS (SELECT doc_id AS submission, doc_id % 3 AS problem, unnest(['a', 'b', 'zz']) AS test_name FROM documents),
-    k AS (SELECT * FROM t WHERE test_name <> 'zz'), r AS (SELECT *, CASE WHEN test_name = 'a' THEN 1.0 WHEN submission % 2 = 0 THEN 0.25 END AS score FROM k)
-    SELECT submission, round(min(coalesce(score, 0.0)), 2) AS score, round(min(coalesce(score, 0.0)) * 40, 2) AS weighted, CASE WHEN submission % 2 = 0 THEN 'PA' ELSE 'AC' END AS status FROM r GROUP BY submission""")
+    WITH t AS (SELECT doc_id AS submission, n_chars AS n, length(source) % 3 AS problem, unnest(['a', 'b', 'c', 'zz']) AS test_name FROM documents),
+    k AS (SELECT * FROM t WHERE test_name IN ('a', 'b') OR test_name = 'c' AND problem = 1), r AS (SELECT *, CASE WHEN test_name = 'a' THEN 1.0 WHEN test_name = 'b' AND n % 4 > 0 THEN (n % 4) / 4.0 WHEN test_name = 'c' THEN 0.5 END AS score FROM k)
+    SELECT submission, round(min(coalesce(score, 0.0)), 2) AS score, round(min(coalesce(score, 0.0)) * 40, 2) AS weighted FROM r GROUP BY submission""")
 def subtasks_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test names with a case; runs from a cache in which a test may be twice; a test that was not run has nothing."""
-    subtasks = _docs(spark, sf_dir).select(F.col("doc_id").alias("submission"), _mod(3).alias("problem"), F.lit(1).alias("subtask"), F.lit(40.0).alias("points"), F.lit(2).alias("digits"), F.array(*map(F.lit, ("a", "b", "zz"))).alias("test_names"))
-    cases = spark.range(3).select(F.col("id").alias("problem"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("test_name"))
-    one = lambda name, score, status: subtasks.select("submission", F.lit(name).alias("test_name"), F.lit(score).alias("score"), F.lit(status).alias("status"))
-    runs = one("a", 1.0, "AC").unionByName(one("a", 0.0, "WA")).unionByName(one("b", 0.25, "PA").where("submission % 2 = 0"))
-    return R.subtask_scores(R.subtask_tests(subtasks, cases, runs)).select("submission", "score", "weighted", "status")
+    subtasks = _docs(spark, sf_dir, "n_chars", "source").select(F.col("doc_id").alias("submission"), "n_chars", (F.length("source") % 3).cast("long").alias("problem"), F.lit(1).alias("subtask"), F.lit(40.0).alias("points"), F.lit(2).alias("digits"), F.array(*map(F.lit, ("a", "b", "c", "zz"))).alias("test_names"))
+    names = F.when(F.col("id") == 1, F.array(*map(F.lit, "abc"))).otherwise(F.array(*map(F.lit, "ab")))
+    cases = spark.range(3).select(F.col("id").alias("problem"), F.explode(names).alias("test_name"))
+    one = lambda name, score, status: subtasks.select("submission", F.lit(name).alias("test_name"), score.alias("score"), F.lit(status).alias("status"), "n_chars")
+    runs = one("a", F.lit(1.0), "AC").unionByName(one("a", F.lit(0.0), "WA")).unionByName(one("b", F.col("n_chars") % 4 / 4.0, "PA").where("n_chars % 4 > 0")).unionByName(one("c", F.lit(0.5), "PA"))
+    return R.subtask_scores(R.subtask_tests(subtasks.drop("n_chars"), cases, runs.drop("n_chars"))).select("submission", "score", "weighted")
 
 
-_ARRAYS = "WITH d AS (SELECT doc_id, CAST(doc_id % 3 AS INTEGER) AS k FROM documents)\n"
 
-
-@query("token_measures", _ARRAYS + """
-    SELECT doc_id, round((k = 1)::INT * 0.5 + (k = 0)::INT * 0.5, 6) AS accuracy, round(exp((1.0 + k) / 2), 6) AS perplexity, -1.0 - k AS logp, 2 AS n, round(-1.0 - 0.5 * k, 6) AS debiased, round(2 / 3.0, 6) AS valid, round(3e-4 * sqrt((k + 1) / 4000000.0), 10) AS rate FROM d""")
+@query("token_measures", """
+    WITH d AS (SELECT doc_id, length(source) AS k, CAST(list_transform(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\f\\r]+'), lambda w: length(w)) AS INTEGER[]) AS w FROM documents),
+    e AS (SELECT *, list_filter(w, lambda x: x <= 9) AS v, list_transform(range(1, len(w)), lambda i: CASE WHEN w[i + 1] > 9 THEN NULL WHEN w[i] = w[i + 1] THEN 1.0 ELSE 0.0 END) AS h FROM d)
+    SELECT doc_id, round(list_avg(h), 6) AS accuracy, round(exp(list_avg(list_transform(v, lambda x: x / 10.0))), 6) AS perplexity, round(coalesce(list_sum(list_transform(v, lambda x: x / -10.0)), 0), 4) AS logp, CAST(len(v) AS INTEGER) AS n,
+    round(coalesce(list_sum(list_transform(w, lambda x, i: CASE WHEN x > 9 THEN 0.0 WHEN i <= k THEN x / -10.0 ELSE x / -20.0 END)), 0), 4) AS debiased, round(len(v) / CAST(len(w) AS DOUBLE), 6) AS valid, round(3e-4 * sqrt(len(v) / 4000000.0), 9) AS rate FROM e WHERE len(w) > 0 AND k IS NOT NULL""")
 def token_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _mod(3).cast("int")
-    labels = F.array(F.lit(-100), F.lit(0), F.lit(1))
-    logps = F.array(F.lit(-9.0), F.lit(-1.0), -k.cast("double"))
+    """Lengths of a text's words as predictions, losses and labels; words of ten letters and more are ignored."""
+    words = F.transform(F.regexp_extract_all("text", F.lit(r"[^ \t\n\f\r]+"), F.lit(0)), lambda w: F.length(w))
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.length("source").alias("k"), words.alias("w")).where((F.size("w") > 0) & F.col("k").isNotNull())
+    labels = F.transform("w", lambda x: F.when(x > 9, -100).otherwise(x))
+    logps = F.transform("w", lambda x: x / -10.0)
     pair = M.sequence_logps(logps, labels)
-    return _docs(
-        spark, sf_dir,
-        F.round(M.token_accuracy(F.array(k, k, F.lit(0)), labels), 6).alias("accuracy"),
-        F.round(M.perplexity(F.array(F.lit(1.0), k.cast("double"), F.lit(50.0)), F.array(F.lit(1), F.lit(1), F.lit(0))), 6).alias("perplexity"),
-        pair["logp"].alias("logp"), pair["n"].alias("n"), F.round(M.debiased_logp(logps, labels, F.lit(2), 0.5), 6).alias("debiased"),
-        F.round(M.valid_ratio(labels), 6).alias("valid"), F.round(M.learning_rate(k + 1), 10).alias("rate"),
+    return rows.select(
+        "doc_id",
+        F.round(M.token_accuracy(F.col("w"), labels), 6).alias("accuracy"),
+        F.round(M.perplexity(F.transform("w", lambda x: x / 10.0), F.transform("w", lambda x: (x <= 9).cast("int"))), 6).alias("perplexity"),
+        F.round(pair["logp"], 4).alias("logp"), pair["n"].alias("n"), F.round(M.debiased_logp(logps, labels, F.col("k"), 0.5), 4).alias("debiased"),
+        F.round(M.valid_ratio(labels), 6).alias("valid"), F.round(M.learning_rate(pair["n"]), 9).alias("rate"),
     )
 
 
-_X, _Y = "-0.1 - (doc_id % 5) / 10.0", "-0.1 - (doc_id % 3) / 10.0"
-
 
-@query("preference_losses", f"""WITH d AS (SELECT doc_id, {_X} AS c, {_Y} AS r FROM documents)
+@query("preference_losses", """WITH d AS (SELECT doc_id, -0.1 - length(source) / 10.0 AS c, -0.1 - (n_chars % 30) / 10.0 AS r FROM documents WHERE source IS NOT NULL)
     SELECT doc_id, round(ln(1 + exp(-(c - r))), 6) AS pairwise, round(-c + 0.1 * ln(1 + exp(-((c - r) - (ln(1 - exp(c)) - ln(1 - exp(r)))))), 6) AS odds, round(ln(1 + exp(-(2.0 * (c - r - 0.25)))), 6) AS margin FROM d""")
 def preference_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, r = F.expr(_X.replace("10.0", "10.0D")), F.expr(_Y.replace("10.0", "10.0D"))
-    return _docs(spark, sf_dir, *(F.round(x, 6).alias(k) for k, x in (("pairwise", M.pairwise_loss(c, r)), ("odds", M.odds_ratio_loss(c, r, 0.1)), ("margin", M.margin_loss(c, r, 2.0, 0.5)))))
+    c, r = F.lit(-0.1) - F.length("source") / F.lit(10.0), F.lit(-0.1) - F.col("n_chars") % 30 / F.lit(10.0)
+    return load(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", *(F.round(x, 6).alias(k) for k, x in (("pairwise", M.pairwise_loss(c, r)), ("odds", M.odds_ratio_loss(c, r, 0.1)), ("margin", M.margin_loss(c, r, 2.0, 0.5)))))
 
 
-@query("preference_accuracy", "SELECT round(avg(CASE WHEN doc_id % 5 > doc_id % 3 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, (SELECT round(avg(m), 6) FROM (SELECT avg(n_chars) AS m FROM documents GROUP BY doc_id // 64)) AS mean FROM documents")
+@query("preference_accuracy", "SELECT round(avg(CASE WHEN n_chars > 100 * length(source) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, (SELECT round(avg(m), 6) FROM (SELECT avg(n_chars) AS m FROM documents GROUP BY doc_id // 64)) AS mean FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL")
 def preference_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir, _mod(5).alias("c"), _mod(3).alias("r"), F.floor(F.col("doc_id") / 64).alias("batch"), "n_chars")
-    return M.pairwise_accuracy(rows, "c", "r").select(F.round("accuracy", 6).alias("accuracy")).crossJoin(M.mean_of_means(rows, "batch", ["n_chars"]).select(F.round("n_chars", 6).alias("mean")))
+    """How many texts are longer than a hundred of their sources' names; batches' mean lengths."""
+    rows = _docs(spark, sf_dir, (F.length("source") * 100).alias("r"), F.floor(F.col("doc_id") / 64).alias("batch"), "n_chars")
+    accuracy = M.pairwise_accuracy(rows.where("r IS NOT NULL AND n_chars IS NOT NULL"), "n_chars", "r").select(F.round("accuracy", 6).alias("accuracy"))
+    return accuracy.crossJoin(M.mean_of_means(rows, "batch", ["n_chars"]).select(F.round("n_chars", 6).alias("mean")))
 
 
 @query("log_progress", "SELECT doc_id, round((doc_id + 1) / 2000.0 * 100, 2) AS percent, round(10.0 / (doc_id + 1) * (2000 - doc_id - 1), 4) AS seconds_left, round(n_chars / 10.0, 4) AS tokens_per_second FROM documents")

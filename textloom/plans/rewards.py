@@ -85,13 +85,13 @@ def reward_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pass_rate_filter",
-    """WITH g AS (SELECT doc_id, unnest(range(0, 4)) AS k FROM labels), r AS (SELECT doc_id, CASE WHEN (doc_id + k) % 7 = 6 THEN NULL ELSE CAST((doc_id * 3 + k * 5) % 4 >= 2 AS INTEGER) END AS x FROM g)
+    """WITH g AS (SELECT doc_id, n_chars AS n, unnest(range(0, 4)) AS k FROM documents), r AS (SELECT doc_id, CASE WHEN (n + k) % 7 = 6 THEN NULL ELSE CAST((n * 3 + k * 5) % 9 >= 5 AS INTEGER) END AS x FROM g)
     SELECT doc_id FROM r GROUP BY doc_id HAVING avg(x) > 0.1 AND avg(x) < 0.9""",
 )
 def pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("doc_id")
-    draws = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when((d + k) % 7 != 6, ((d * 3 + k * 5) % 4 >= 2).cast("double")))
-    return R.pass_rate_filter(load(spark, sf_dir, "labels").select("doc_id", draws.alias("rewards"))).select("doc_id")
+    n = F.col("n_chars")
+    draws = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when((n + k) % 7 != 6, ((n * 3 + k * 5) % 9 >= 5).cast("double")))
+    return R.pass_rate_filter(load(spark, sf_dir, "documents").select("doc_id", draws.alias("rewards"))).select("doc_id")
 
 
 @query(

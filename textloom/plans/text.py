@@ -54,10 +54,10 @@ def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", extract_code(F.concat("text", F.when(F.col("doc_id") % 3 == 0, other).otherwise(block))).alias("code"))
 
 
-@query("param_count", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN (doc_id % 90 + 1) * 1000000000 WHEN 1 THEN 8 * (doc_id % 9 + 1) * 1000000000 ELSE -1 END AS n FROM documents")
+@query("param_count", "SELECT doc_id, CASE n_chars % 3 WHEN 0 THEN (n_chars % 90 + 1) * 1000000000 WHEN 1 THEN CAST(8 * (n_chars % 9 + 1) AS BIGINT) * 1000000000 ELSE -1 END AS n FROM documents")
 def param_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("doc_id")
-    one = F.concat(F.lit("org/Model-350m-"), (d % 90 + 1).cast("string"), F.lit("B-chat"))
+    d = F.col("n_chars").cast("long")
+    one = F.concat("lang", F.lit("/Model-350m-"), (d % 90 + 1).cast("string"), F.lit("B-chat"))
     many = F.concat(F.lit("Mix-8x"), (d % 9 + 1).cast("string"), F.lit("b"))
     return load(spark, sf_dir, "documents").select("doc_id", parameter_count(F.when(d % 3 == 0, one).when(d % 3 == 1, many).otherwise("none")).alias("n"))
 
