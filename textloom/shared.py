@@ -48,6 +48,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remember(spark: SparkSession, path: str) -> None:
+    """A folder of our own to delete with the tables, by :func:`drop_all` or at the end of the process."""
+    _made.append((spark, path))
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by :func:`table` once nothing reads it any more."""
     _delete(df.sparkSession, df._textloom_path)
