@@ -346,7 +346,7 @@ def test_warc(spark):
         with pytest.raises(ValueError):
             for x in records(bad):
                 parse(x)
-    for bad in (made[2].replace(b"Content-Length: 8", b"Content-Length: 9"), made[2].replace(b"WARC/1.1", b"WORC/1.1"), made[2].replace(b"WARC-Date", b"WARC Date"), made[2][:-1]):
+    for bad in (made[2].replace(b"Content-Length: 8", b"Content-Length: 9"), made[2].replace(b"WARC/1.1", b"WORC/1.1"), made[2].replace(b"WARC/1.1", b"WARC/x"), made[2].replace(b"WARC-Date", b"WARC Date"), made[2][:-1]):
         with pytest.raises(ValueError):
             parse(bad)
 

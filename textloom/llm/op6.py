@@ -1,12 +1,15 @@
-"""Query: all pages written to WARC archives and read back."""
+"""Query: all pages written to WARC files and read back."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .warc import read_archives, write_archives
+from ..shared import remember, shared_dir
+from .common import drop_table, table
+from .warc import load_archives, read_archives, save_archives, write_archives
 
 NAME = "op6_warc"
 
@@ -14,7 +17,13 @@ NAME = "op6_warc"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     archives = table(write_archives(pages), "warc")
-    back = read_archives(archives)
+    folder = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    remember(spark, folder)
+    written = save_archives(archives, folder)
+    drop_table(archives)
+    if written.isEmpty():
+        return read_archives(written.select(F.lit(b"").alias("archive"))).select(F.lit(None).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    back = read_archives(load_archives(spark, folder))
     good = F.when(F.col("error").isNull(), F.when(F.col("name") != "", F.col("name").cast("long"))).otherwise(F.raise_error("error").cast("long"))
     return back.select(good.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 

@@ -6,11 +6,12 @@ import base64
 import hashlib
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -19,8 +20,9 @@ from .common import table
 DICTIONARY_MAGIC = 0x184D2A5D  # the skippable frame that holds the dictionary
 FRAME_MAGIC = 0xFD2FB528
 VERSION = b"WARC/1.1"
+_VERSION = re.compile(rb"WARC/[01]\.\d+\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_FIELD = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*([^\r\n]*)\r\n")
+_FIELD = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*([^\r\n]*)\r\n((?:[ \t][^\r\n]*\r\n)*)")
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -46,18 +48,30 @@ def record(kind: str, name: str, uri: str, payload: bytes, digest: str, length:
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (names in lower case) and block of one record; ValueError if it is not well formed."""
-    if not data.startswith(VERSION + b"\r\n"):
+    """Header fields (names in lower case) and block of one record of version 0.x or 1.x; ValueError if it is not well formed.
+
+    A line that begins with a space or tab goes on with the field before it; a field that is there twice has both values,
+    with a comma between. Values are UTF-8, or else Latin-1.
+    """
+    version = _VERSION.match(data)
+    if not version:
         raise ValueError("no WARC version line")
     end = data.find(b"\r\n\r\n")
     if end < 0:
         raise ValueError("the header has no end")
-    fields, at = {}, len(VERSION) + 2
+    fields: dict[str, str] = {}
+    at = version.end()
     while at < end + 2:
         m = _FIELD.match(data, at)
         if not m:
             raise ValueError(f"bad header line at {at}")
-        fields[m[1].decode().lower()] = m[2].decode()
+        raw = b" ".join([m[2], *(x.strip(b" \t") for x in m[3].split(b"\r\n") if x.strip(b" \t"))]).rstrip(b" \t")
+        try:
+            value = raw.decode()
+        except UnicodeDecodeError:
+            value = raw.decode("latin-1")
+        name = m[1].decode().lower()
+        fields[name] = f"{fields[name]}, {value}" if name in fields else value
         at = m.end()
     for k in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if k not in fields:
@@ -68,6 +82,45 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
+def _unchunked(body: bytes) -> bytes:
+    """The body of a message that came in chunks; ValueError if it did not."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        if size < 0 or len(body) < end + 2 + size:
+            raise ValueError("a bad chunk")
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def payloads(fields: dict[str, str], block: bytes) -> list[bytes]:
+    """What may be meant by a record's payload: the body of an HTTP message, as it was sent and with its chunks joined; else the block."""
+    if not fields.get("content-type", "").lower().startswith("application/http"):
+        return [block]
+    head, found, body = block.partition(b"\r\n\r\n")
+    if not found:
+        return [b""]
+    if re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", head):
+        try:
+            return [_unchunked(body), body]
+        except ValueError:
+            pass
+    return [body]
+
+
+def _is_digest(said: str, data: bytes) -> bool:
+    """Whether ``algorithm:value`` (base 32 or hexadecimal) is the digest of ``data``; algorithms that are not known are believed."""
+    name, _, value = said.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("sha1", "sha256", "sha512", "md5"):
+        return True
+    digest = hashlib.new(name, data).digest()
+    return value.strip().upper().rstrip("=") in (base64.b32encode(digest).decode().rstrip("="), digest.hex().upper())
+
+
 class ArchiveWriter:
     """Collects records; the dictionary is trained on the first ``sample`` of them, at most ``dict_bytes`` large."""
 
@@ -158,16 +211,16 @@ def _write(most: int):
     return run
 
 
-_READ = "name string, payload_bytes long, payload_digest string, record_type string, refers_to string, block binary, error string"
+_READ = "record_id string, name string, target_uri string, date string, payload_bytes long, payload_digest string, record_type string, refers_to string, block binary, error string"
 
 
 def _read(blocks: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
         names = [x.split()[0] for x in _READ.split(", ")]
+        kinds = {"payload_bytes": pa.int64(), "block": pa.binary()}
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(n, pa.string())) for i, n in enumerate(names)], names)
 
         for batch in batches:
             for archive in batch["archive"]:
@@ -180,36 +233,45 @@ def _read(blocks: bool):
                             yield out(rows)
                             rows, size = [], 0
                 except ValueError as e:
-                    rows.append((None, None, None, None, None, None, str(e)))
+                    rows.append((None,) * 9 + (str(e),))
                 yield out(rows)
 
     return run
 
 
+def _own(record_id: str | None) -> str | None:
+    """The page's name in an id that :func:`record` made."""
+    m = re.fullmatch(r"<urn:page:(.*)>", record_id or "")
+    return m[1] if m else None
+
+
 def _checked(data: bytes, blocks: bool) -> tuple:
     """A row of a record; what is wrong with it, if anything, in the last column."""
     try:
         fields, block = parse(data)
-        kind = fields["warc-type"]
-        name = re.fullmatch(r"<urn:page:(.*)>", fields["warc-record-id"])
-        digest = re.fullmatch(r"sha1:([A-Z2-7]{32})", fields.get("warc-payload-digest", ""))
-        if not name or not digest:
-            raise ValueError("a bad record id or digest")
-        to = None
-        if kind == "revisit":
-            m = re.fullmatch(r"<urn:page:(.*)>", fields.get("warc-refers-to", ""))
-            if not m or block or not fields.get("warc-payload-length", "").isdigit():
-                raise ValueError("a bad revisit")
-            to, length = m[1], int(fields["warc-payload-length"])
-        elif kind == "response":
-            length = len(block)
-            if base32_sha1(block) != digest[1]:
+        kind, said = fields["warc-type"].lower(), fields.get("warc-payload-digest")
+        if "warc-block-digest" in fields and not _is_digest(fields["warc-block-digest"], block):
+            raise ValueError("the block has another digest")
+        to = fields.get("warc-refers-to")
+        length, digest = None, None
+        if kind == "revisit":  # of the payload of another record
+            if not said and not to and "warc-refers-to-target-uri" not in fields:
+                raise ValueError("a revisit of nothing")
+            size = fields.get("warc-payload-length", "")
+            length = int(size) if size.isdigit() else None
+            to = to or fields.get("warc-refers-to-target-uri")
+        elif kind in ("response", "resource", "request", "conversion"):
+            some = payloads(fields, block)
+            fits = [p for p in some if said is None or "warc-segment-number" in fields or _is_digest(said, p)]  # a segment is not the whole
+            if not fits:
                 raise ValueError("the payload has another digest")
-        else:
-            raise ValueError(f"unknown type {kind}")
-        return name[1], length, digest[1], kind, to, block if blocks else None, None
-    except (ValueError, UnicodeDecodeError) as e:
-        return None, None, None, None, None, None, str(e)
+            length, digest = len(fits[0]), base32_sha1(fits[0])
+        if said and (digest is None or "warc-segment-number" in fields):
+            digest = said.removeprefix("sha1:")
+        name = _own(to)
+        return fields["warc-record-id"], _own(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-date"], length, digest, kind, to if name is None else name, block if blocks else None, None
+    except ValueError as e:
+        return (None,) * 9 + (str(e),)
 
 
 def write_archives(pages: DataFrame, least: int = 0, archive_bytes: int = 16 << 20) -> DataFrame:
@@ -246,12 +308,53 @@ def _base32(column: str):
     return F.concat(*(letter(i, k) for i in range(8) for k in range(4)))
 
 
-def read_archives(archives: DataFrame, blocks: bool = False) -> DataFrame:
-    """The records of ``archives`` (a binary column ``archive``): name, payload_bytes, payload_digest, record_type, refers_to, block, error.
+def _save(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    Every frame is decoded with the archive's own dictionary and must hold one record whose header,
-    Content-Length and payload digest are right; a record that is not has nulls and says why in ``error``;
-    a damaged frame ends its archive with such a row. ``blocks``: return the blocks, else null.
+        files, top = fs.FileSystem.from_uri(folder)
+        files.create_dir(top, recursive=True)
+        for batch in batches:
+            rows = []
+            for i, n, archive in zip(batch["i"].to_pylist(), batch["n_records"].to_pylist(), batch["archive"], strict=True):
+                data = archive.as_buffer()
+                name = f"{i:015d}-{hashlib.sha256(data).hexdigest()[:16]}.warc.zst"
+                part = f"{top}/_{uuid.uuid4().hex}"  # seen under its name when it is whole; written again, it is the same
+                with files.open_output_stream(part) as out:
+                    out.write(data)
+                files.move(part, f"{top}/{name}")
+                rows.append((name, n, len(data)))
+            names, counts, sizes = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["name", "n_records", "bytes"])
+
+    return run
+
+
+def save_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes ``archives`` (n_records, archive) as files ``*.warc.zst`` into a folder that all executors reach; returns (name, n_records, bytes) of each.
+
+    The archives should be a table (see :func:`~.common.table`): a task that runs again then writes the same files under the same names.
+    """
+    ship(archives.sparkSession)
+    numbered = archives.select(F.monotonically_increasing_id().alias("i"), "n_records", "archive")
+    return table(numbered.mapInArrow(_save(folder), "name string, n_records long, bytes long"), "archive-names")
+
+
+def load_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(path, archive) of all files ``*.warc.zst`` in a folder, by any store that Spark reads."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
+    return found.select("path", F.col("content").alias("archive"))
+
+
+def read_archives(archives: DataFrame, blocks: bool = False) -> DataFrame:
+    """The records of ``archives`` (a binary column ``archive``): record_id, name, target_uri, date, payload_bytes, payload_digest, record_type, refers_to, block, error.
+
+    Records are of any type, with any id, by any writer of versions 0.x and 1.x. Every frame is decoded with the archive's own dictionary
+    and must hold one record whose header, Content-Length and digests (where it has some) are right; a record that is not has nulls
+    and says why in ``error``; a damaged frame ends its archive with such a row. name: the page in ids that :func:`record` made, else
+    null; refers_to likewise, else the id, or the address, that a revisit names. The payload is the body of an HTTP message, else the
+    block; payload_bytes and payload_digest are null where a record has none (warcinfo, metadata), and a revisit's are what it says.
+    ``blocks``: return the blocks, else null.
     """
     ship(archives.sparkSession)
     return archives.select("archive").mapInArrow(_read(blocks), _READ)
