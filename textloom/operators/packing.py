@@ -196,6 +196,28 @@ def kto_batch(rows: DataFrame, batch: str, order: str, pad: int = 0) -> DataFram
     return pad_batch(rows, batch, {"input_ids": pad, "labels": IGNORE, "kl_input_ids": pad, "kl_labels": IGNORE}).select(batch, order, "input_ids", "labels", "kl_input_ids", "kl_labels", "kto_tags")
 
 
+def with_dummy_media(rows: DataFrame, batch: str, order: str, image_ids: list[int] | None = None, audio_ids: list[int] | None = None, left: bool = False) -> DataFrame:
+    """Batches without media get the ids of a dummy: after the ids (before them if padding is on the ``left``) of the batch's first row, neither attended to nor learnt.
+
+    ``image_ids``, for a model that takes images, are given to batches without images and videos, ``audio_ids`` to those without audio; the
+    first row's ``_images`` and ``_audios`` name the dummy. Rows have input_ids, attention_mask, labels, _images, _videos, _audios; null media are none.
+    Only a count and the first row's order of each batch are joined to the rows. ``order`` tells rows of a batch apart.
+    """
+    n = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
+    seen, heard, first = unused(rows.columns, "seen", "heard", "first")
+    counts = rows.groupBy(batch).agg(F.sum(n("_images") + n("_videos")).alias(seen), F.sum(n("_audios")).alias(heard), F.min(order).alias(first))
+    rows_ = rows.join(counts, batch)
+    mine = F.col(order).eqNullSafe(F.col(first))
+    blind, deaf = mine & (F.col(seen) == 0) & F.lit(image_ids is not None), mine & (F.col(heard) == 0) & F.lit(audio_ids is not None)
+    empty = F.array().cast("array<int>")
+    some = lambda ids: F.array(*map(F.lit, ids)).cast("array<int>") if ids else empty
+    dummy = F.concat(F.when(blind, some(image_ids)).otherwise(empty), F.when(deaf, some(audio_ids)).otherwise(empty))
+    new = {"input_ids": dummy, "attention_mask": F.transform(dummy, lambda _: F.lit(0)), "labels": F.transform(dummy, lambda _: F.lit(IGNORE))}
+    put = lambda c, x: F.concat(x, F.col(c)) if left else F.concat(F.col(c), x)
+    named = {"_images": F.when(blind, F.array(F.lit("dummy"))).otherwise(F.col("_images")), "_audios": F.when(deaf, F.array(F.lit("dummy"))).otherwise(F.col("_audios"))}
+    return rows_.select(*((put(c, new[c]) if c in new else named[c] if c in named else F.col(f"`{c}`")).alias(c) for c in rows.columns))
+
+
 def tokenized(rows: DataFrame, pairs: str, encode: Callable[[str], list[int]], out: str = "turns") -> DataFrame:
     """Adds array<struct<prompt, response>> of ids for a column of the same of texts; ``encode`` is any tokenizer's, called batch by batch in Python workers."""
     kind = StructType([StructField("prompt", ArrayType(IntegerType())), StructField("response", ArrayType(IntegerType()))])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, evaluation, measures, packing, preparation, rewards, scalars, star, text, visibility  # noqa: F401  (they register)
+from . import alignment, evaluation, measures, packing, preparation, rewards, runs, scalars, star, text, visibility  # noqa: F401  (they register)
 from .registry import QUERIES, SQL
 
 
