@@ -46,7 +46,8 @@ def drop_contaminated(rows: DataFrame, prefix: str = "contaminated") -> DataFram
 def repetition_penalty(text: Column, n: int, penalty: float, language: str = "en") -> Column:
     """(1 - distinct / all n-grams) * penalty; 0 for an empty or short text. A positive penalty is an error.
 
-    Words of ``en`` are divided by white space; of ``zh``, for which no segmenter is at hand, each character is one.
+    Words of ``en`` are divided by white space; of ``zh`` each character is one. For words of a learnt dictionary see
+    :func:`~.words.repetition_of_words`.
     """
     if language not in ("en", "zh"):
         raise ValueError(f"unknown language {language}")

@@ -148,14 +148,18 @@ def _bleu(ref: str, hyp: str, method3: bool = True) -> float:
     return float((1 if len(hyp) > len(ref) else np.exp(1 - len(ref) / len(hyp))) * np.exp(total))
 
 
-def similarity(rows: DataFrame, predicted: str, label: str) -> DataFrame:
-    """Adds rouge_1, rouge_2, rouge_l (F of words, per cent) and bleu_4 (characters, per cent), rounded to 4 places; empty texts have 0."""
+def similarity(rows: DataFrame, predicted: str, label: str, words: tuple[str, str] | None = None) -> DataFrame:
+    """Adds rouge_1, rouge_2, rouge_l (F of words, per cent) and bleu_4 (characters, per cent), rounded to 4 places; empty texts have 0.
+
+    ``words``: columns with the words of both texts (see :func:`~.words.with_words`); else they are divided by white space.
+    """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for p, t in zip(b[predicted].fillna(""), b[label].fillna(""), strict=True):
-                h, r = p.split(), t.split()
+            cut = (lambda c: [[] if w is None else list(w) for w in b[c]]) if words else (lambda c: [t.split() for t in b[c].fillna("")])
+            sides = map(cut, words or (predicted, label))
+            for p, t, h, r in zip(b[predicted].fillna(""), b[label].fillna(""), *sides, strict=True):
                 if not h or not r:
                     out.append((0.0, 0.0, 0.0, 0.0))
                     continue

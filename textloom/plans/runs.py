@@ -57,3 +57,15 @@ def dummy_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = with_dummy_media(rows, "batch", "doc_id", [900, 901], [902])
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return done.select("doc_id", joined("input_ids"), joined("labels"), F.col("_images").isNotNull().alias("has_image"))
+
+
+@query("learnt_words")
+def learnt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written without spaces, cut by a dictionary learnt from all of them; how much their words repeat."""
+    from ..operators.words import learn_words, repetition_of_words, with_words
+
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower("text"), r"\s+", "").alias("text"))
+    words = learn_words(rows, runs=r"\S+")
+    cut = with_words(rows, words, runs=r"\S+")
+    digest = F.md5(F.array_join("words", " "))
+    return cut.select("conv_id", "turn", F.size("words").alias("n_words"), digest.alias("digest"), F.round(repetition_of_words(F.col("words"), 3, -1.0), 6).alias("repetition"))
