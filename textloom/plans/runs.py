@@ -69,3 +69,30 @@ def learnt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = with_words(rows, words, runs=r"\S+")
     digest = F.md5(F.array_join("words", " "))
     return cut.select("conv_id", "turn", F.size("words").alias("n_words"), digest.alias("digest"), F.round(repetition_of_words(F.col("words"), 3, -1.0), 6).alias("repetition"))
+
+
+_SIZES = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(32 + n_chars % 700 AS INTEGER) AS w, CAST(32 + (n_chars * 7) % 700 AS INTEGER) AS h FROM documents WHERE n_chars IS NOT NULL),
+q AS (SELECT *, greatest(28, CAST(round_even(h / 28.0, 0) AS INTEGER) * 28) AS qh, greatest(28, CAST(round_even(w / 28.0, 0) AS INTEGER) * 28) AS qw FROM d),
+g AS (SELECT *, CASE WHEN qh * qw > 1003520 THEN greatest(28, floor(h / sqrt(h * w / 1003520.0) / 28) * 28) WHEN qh * qw < 3136 THEN ceil(h * sqrt(3136.0 / (h * w)) / 28) * 28 ELSE qh END // 14 AS gh,
+  CASE WHEN qh * qw > 1003520 THEN greatest(28, floor(w / sqrt(h * w / 1003520.0) / 28) * 28) WHEN qh * qw < 3136 THEN ceil(w * sqrt(3136.0 / (h * w)) / 28) * 28 ELSE qw END // 14 AS gw FROM q)
+"""
+
+
+@query(
+    "media_expanded",
+    _SIZES
+    + """SELECT doc_id, md5(replace(t, chr(10), '<|vision_start|>' || repeat('<|image_pad|>', CAST(gh * gw // 4 AS INTEGER)) || '<|vision_end|>')) AS qwen2_vl,
+    md5(replace(t, chr(10), repeat(repeat('[IMG]', (w - 1) // 16 + 1) || '[IMG_BREAK]', (h - 1) // 16) || repeat('[IMG]', (w - 1) // 16 + 1) || '[IMG_END]')) AS pixtral,
+    md5(replace(t, chr(10), repeat('<image>', 576))) AS llava, md5(replace(t, chr(10), '')) AS paligemma,
+    md5(replace(t, chr(10), chr(10) || chr(10) || '<start_of_image>' || repeat('<image_soft_token>', 256) || '<end_of_image>' || chr(10) || chr(10))) AS gemma3, md5(replace(t, chr(10), '<|image|>')) AS mllama FROM g""",
+)
+def media_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with an image at each line end, of a size made of the text's length, in six families."""
+    from ..operators.media import expand_images
+
+    n = F.col("n_chars").cast("long")
+    size = F.struct((32 + n % 700).cast("int").alias("width"), (32 + (n * 7) % 700).cast("int").alias("height"))
+    text = F.coalesce("text", F.lit(""))
+    marks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    rows = load(spark, sf_dir, "documents").where("n_chars IS NOT NULL").select("doc_id", F.replace(text, F.lit("\n"), F.lit("<image>")).alias("t"), F.array_repeat(size, marks).alias("sizes"))
+    return rows.select("doc_id", *(F.md5(expand_images(F.col("t"), F.col("sizes"), f)).alias(f) for f in ("qwen2_vl", "pixtral", "llava", "paligemma", "gemma3", "mllama")))
