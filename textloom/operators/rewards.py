@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..shared import unused
 from .contamination import repetition_penalty
 
 REWARDS: dict[str, Callable[..., Column]] = {}
@@ -91,27 +91,44 @@ def accuracy(text: Column, solution: Column) -> Column:
     return F.when(b != "", (F.coalesce(numbers, F.lit(False)) | (a == b)).cast("double"))
 
 
+def with_batch(rows: DataFrame, batch: list[str], **sums: Column) -> DataFrame:
+    """Adds aggregates of each batch (null is a batch of its own): summed up where the rows are, and joined back, so that no task holds a batch.
+
+    Names that ``rows`` has get underscores: they are the last columns, in order.
+    """
+    names = unused([*rows.columns, *batch], *sums)
+    keys = unused([*rows.columns, *names], *(f"key{i}" for i in range(len(batch))))
+    found = rows.groupBy(*(F.col(b).alias(k) for b, k in zip(batch, keys, strict=True))).agg(*(c.alias(n) for n, c in zip(names, sums.values(), strict=True)))
+    same = F.lit(True)
+    for b, k in zip(batch, keys, strict=True):
+        same = same & rows[b].eqNullSafe(found[k])
+    return rows.join(found, same).drop(*keys)
+
+
 def length_rewards(rows: DataFrame, batch: list[str], text: str = "text", correct: str = "correct", out: str = "reward") -> DataFrame:
     """0.5 less the place of a text's length between the batch's shortest and longest; wrong answers earn nothing. Equal lengths: 0."""
-    w = Window.partitionBy(*batch)
-    low, high, n = F.min(F.length(text)).over(w), F.max(F.length(text)).over(w), F.length(text)
+    both = with_batch(rows, batch, low=F.min(F.length(text)), high=F.max(F.length(text)))
+    low, high, n = F.col(both.columns[-2]), F.col(both.columns[-1]), F.length(text)
     value = 0.5 - (n - low) / (high - low)
-    return rows.withColumn(out, F.when(high == low, F.lit(0.0)).when(F.coalesce(F.col(correct), F.lit(True)), value).otherwise(F.least(F.lit(0.0), value)))
+    done = both.withColumn(out, F.when(high == low, F.lit(0.0)).when(F.coalesce(F.col(correct), F.lit(True)), value).otherwise(F.least(F.lit(0.0), value)))
+    return done.drop(*both.columns[-2:])
 
 
-def normalized(column: str, batch: list[str]) -> Column:
-    """Standard scores with the population deviation; of a constant batch 0."""
-    w = Window.partitionBy(*batch)
-    sd = F.stddev_pop(column).over(w)
-    return F.when(sd > 0, (F.col(column) - F.avg(column).over(w)) / sd).otherwise(F.lit(0.0))
+def with_scores(rows: DataFrame, batch: list[str], scores: dict[str, str]) -> DataFrame:
+    """Adds, for each name in ``scores``, the standard scores of its column with the batch's mean and population deviation; of a constant batch 0."""
+    sums = {f"{k}{i}": f(c) for i, c in enumerate(scores.values()) for k, f in (("mean", F.avg), ("sd", F.stddev_pop))}
+    both = with_batch(rows, batch, **sums)
+    added = both.columns[len(rows.columns) :]
+    value = lambda c, mean, sd: F.when(F.col(sd) > 0, (F.col(c) - F.col(mean)) / F.col(sd)).otherwise(F.lit(0.0))
+    return both.withColumns({out: value(c, *added[2 * i : 2 * i + 2]) for i, (out, c) in enumerate(scores.items())}).drop(*added)
 
 
 def combined_rewards(rows: DataFrame, batch: list[str], weights: dict[str, float], out: str = "reward") -> DataFrame:
     """Each column's standard scores, weighted and summed, and their standard scores again."""
-    for c in weights:
-        rows = rows.withColumn(f"_z_{c}", normalized(c, batch))
-    rows = rows.withColumn("_sum", sum((F.col(f"_z_{c}") * w for c, w in weights.items()), F.lit(0.0)))
-    return rows.withColumn(out, normalized("_sum", batch)).drop("_sum", *(f"_z_{c}" for c in weights))
+    total, *names = unused([*rows.columns, out], "total", *(f"z{i}" for i in range(len(weights))))
+    scored = with_scores(rows, batch, dict(zip(names, weights, strict=True)))
+    scored = scored.withColumn(total, sum((F.col(n) * w for n, w in zip(names, weights.values(), strict=True)), F.lit(0.0))).drop(*names)
+    return with_scores(scored, batch, {out: total}).drop(total)
 
 
 def logged(rows: DataFrame, batch: list[str], column: str) -> DataFrame:
