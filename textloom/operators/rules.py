@@ -88,18 +88,17 @@ def greedy_chunks(rules: DataFrame, budget: int = 20_000) -> DataFrame:
 def merge_rules(rules: DataFrame, merge: Callable[[DataFrame], DataFrame], budget: int = 20_000) -> DataFrame:
     """(rule): chunks are merged, the results made distinct, and again until they fit one chunk, which is merged last.
 
-    merge: (chunk, rules) to (chunk, rules), e.g. a scorer over prompts. A level that leaves as many characters as it took or
-    more has nothing left to merge within the budget: its rules are the result, however many. So the levels end, and no row
-    holds more than a chunk.
+    merge: (chunk, rules) to (chunk, rules), e.g. a scorer over prompts. After a level that leaves as many characters as it took or
+    more, chunks have twice the budget, so that rules far apart in order meet, however often that takes: at last all are in one
+    chunk. (So rules that a merger keeps apart must fit a task; with a merger that shortens every level no row holds more than the budget.)
     """
     rules = distinct_rules(rules.select(F.array("rule").alias("rules"))) if "rules" not in rules.columns else distinct_rules(rules)
     rules = table(rules, "rules")
-    chars = _characters(rules)
-    while chars // CHARS_PER_TOKEN > budget:
-        rules = table(distinct_rules(merge(greedy_chunks(rules, budget))), "rules")
+    room, chars = budget, _characters(rules)
+    while chars // CHARS_PER_TOKEN > room:
+        rules = table(distinct_rules(merge(greedy_chunks(rules, room))), "rules")
         before, chars = chars, _characters(rules)
-        if chars >= before:
-            return rules
+        room = room * 2 if chars >= before else room
     whole = rules.agg(F.array_sort(F.collect_list("rule")).alias("rules")).select(F.lit(0).cast("long").alias("chunk"), "rules")
     return distinct_rules(merge(whole.where(F.size("rules") > 0)))
 
