@@ -31,6 +31,8 @@ def test_children_are_killed_and_batches_end():
     late = "import time\nn = int(input())\nprint(n if n < 3 else 0)"
     cases = [(str(i), str(i)) for i in range(8)]
     assert judge(late, "python", cases, LIMITS, batch=2) == (3 / 8, "WA", 4) and judge(late, "python", cases, LIMITS, batch=2, to_end=True) == (3 / 8, "WA", 8)
+    assert run_program("read x; echo $((x * 2)); echo $0", "sh", "21", LIMITS).output.split()[0] == "42"
+    assert run_program("import sys\nprint(__name__, len(sys.argv), 'resource' in globals())", "python", limits=LIMITS).output == "__main__ 1 False\n"
     assert judge(None, "python", cases) == (0.0, "CE", 0) and judge("print(1)", "python", []) == (0.0, "CE", 0) and judge("x", "cobol", cases, LIMITS)[1] == "RE"
 
 

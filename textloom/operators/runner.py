@@ -7,7 +7,6 @@ hold nothing else (a container without network and secrets).
 from __future__ import annotations
 
 import os
-import resource
 import signal
 import subprocess
 import sys
@@ -24,7 +23,23 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from ..ship import ship
 from .scorer import provider
 
-LANGUAGES = {"python": [sys.executable, "-I", "-S"], "python3": [sys.executable, "-I", "-S"], "sh": ["/bin/sh"]}
+#: Interpreters; Python programs run in the process that has set its limits, so that it starts once.
+LANGUAGES = {"python": None, "python3": None, "sh": "/bin/sh"}
+# Sets the limits in the new process itself: a task has threads, so nothing may run between fork and exec.
+_LAUNCH = """import resource as r, sys
+a = list(map(int, sys.argv[1:4]))
+for k, v in ((r.RLIMIT_CPU, a[0]), (r.RLIMIT_AS, a[1]), (r.RLIMIT_FSIZE, a[2]), (r.RLIMIT_CORE, 0)):
+    r.setrlimit(k, (v, v))
+program, shell = sys.argv[4], sys.argv[5:]
+if shell:
+    import os
+    os.execv(shell[0], [*shell, program])
+sys.argv = [program]
+with open(program, "rb") as f:
+    code = f.read()
+del r, a, k, v, shell, f
+exec(compile(code, program, "exec"), {"__name__": "__main__", "__file__": program})
+"""
 
 
 @dataclass(frozen=True)
@@ -44,15 +59,6 @@ class Outcome:
     errors: str
 
 
-def _limited(limits: Limits):
-    def apply() -> None:
-        cpu = int(limits.seconds) + 1
-        for what, value in ((resource.RLIMIT_CPU, cpu), (resource.RLIMIT_AS, limits.memory_mb << 20), (resource.RLIMIT_FSIZE, limits.output_bytes), (resource.RLIMIT_CORE, 0)):
-            resource.setrlimit(what, (value, value))
-
-    return apply
-
-
 def run_program(code: str, language: str, stdin: str = "", limits: Limits = Limits()) -> Outcome:
     """Runs a program in an empty folder of its own; its output goes to files, so that no pipe can fill the task's memory."""
     if language not in LANGUAGES:
@@ -62,7 +68,9 @@ def run_program(code: str, language: str, stdin: str = "", limits: Limits = Limi
         program.write_text(code, "utf-8", errors="replace")
         (Path(top) / "in").write_text(stdin, "utf-8")
         with (Path(top) / "in").open() as given, out.open("wb") as said, err.open("wb") as failed:
-            p = subprocess.Popen([*LANGUAGES[language], str(program)], stdin=given, stdout=said, stderr=failed, cwd=top, env={"PATH": "/usr/bin:/bin", "LANG": "C.UTF-8"}, start_new_session=True, preexec_fn=_limited(limits))
+            bounds = map(str, (int(limits.seconds) + 1, limits.memory_mb << 20, limits.output_bytes))
+            command = [sys.executable, "-I", "-S", "-c", _LAUNCH, *bounds, str(program), *filter(None, [LANGUAGES[language]])]
+            p = subprocess.Popen(command, stdin=given, stdout=said, stderr=failed, cwd=top, env={"PATH": "/usr/bin:/bin", "LANG": "C.UTF-8"}, start_new_session=True)
             try:
                 p.wait(limits.seconds)
                 late = False
