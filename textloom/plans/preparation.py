@@ -19,12 +19,13 @@ _RANK = "row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHA
 
 @query(
     "mixture_weighted",
-    f"WITH r AS (SELECT doc_id, lang, {_RANK} AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang FROM r WHERE (lang = 'en' AND k <= floor(n * 0.25)) OR (lang = 'fr' AND k <= floor(n * 0.5)) OR lang IN ('de', 'es')",
+    f"WITH r AS (SELECT doc_id, lang, {_RANK} AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang FROM r WHERE (lang = 'en' AND k <= floor(n * 0.25)) OR (lang = 'fr' AND k <= floor(n * 0.5)) OR coalesce(lang, '') NOT IN ('en', 'fr')",
 )
 def mixture_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "lang")
-    parts = [P.Part(docs.where(F.col("lang") == x), w) for x, w in (("en", 0.25), ("fr", 0.5), ("de", None), ("es", None))]
-    return P.Mixture(parts, "doc_id").build()["train"]
+    parts = [P.Part(docs.where(F.col("lang") == x), w) for x, w in (("en", 0.25), ("fr", 0.5))]
+    others = P.Part(docs.where(~F.coalesce("lang", F.lit("")).isin("en", "fr")))
+    return P.Mixture([*parts, others], "doc_id").build()["train"]
 
 
 @query("split_exact", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id) AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN k <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS part FROM r")
@@ -35,11 +36,14 @@ def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _turns(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "lang")
-    mixed = P.interleave([docs.where(F.col("lang") == x) for x in ("en", "fr", "de", "es")], ["doc_id"], strategy)
+    parts = [docs.where(F.col("lang") == x) for x in ("en", "fr", "de")]
+    others = docs.where(~F.coalesce("lang", F.lit("")).isin("en", "fr", "de"))
+    mixed = P.interleave([*parts, others], ["doc_id"], strategy)
     return mixed.select(F.col("_at").alias("place"), "doc_id")
 
 
-_TURNS = """WITH p AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS part, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')),
+_TURNS = """WITH l AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS part FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY part) AS n FROM l),
 s AS (SELECT {0}(n) AS r FROM p), k AS (SELECT unnest(range(0, r)) AS k FROM s) SELECT CAST(k * 4 + part AS BIGINT) AS place, doc_id FROM k JOIN p ON i = k % n"""
 
 
