@@ -42,6 +42,29 @@ def test_contexts_built_to_collide(spark, crowd):
     assert got == [(i, *w) for i, w in enumerate(brute_repeats(texts))]
 
 
+def test_rows_of_one_id_with_equal_hashes(spark):
+    """Two texts with equal xxhash64 under one id are two places: what repeats of one stays in the other."""
+    from pyspark.sql import functions as F
+    from test_edges import brute_repeats
+
+    from textloom.llm.jaccard import one_of_each
+    from textloom.llm.substrings import remove_repeats
+
+    rng = random.Random(5)
+    a = "vkxkqockqqqqqqqqqqqqqqqqqqqqqqqqfagsnmnaqqqqqqqqqqqqqqqqqqqqqqqq"
+    b = "erqesapiqqqqqqqqqqqqqqqqqqqqqqqqGPh'/!z)qqqqqqqqqqqqqqqqqqqqqqqq"
+    tail = "".join(rng.choice("cdefgh ") for _ in range(400))
+    texts = [a + tail, b + tail, "other " + a + tail[:150]]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, texts[0][:190]), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert df.where("doc_id = 1").select(F.xxhash64("text")).distinct().count() == 1
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    want = sorted(((i, *w) for (i, _), w in zip(rows, brute_repeats([t for _, t in rows]), strict=True)), key=order)
+    assert sorted(map(tuple, remove_repeats(df).collect()), key=order) == want
+    short = spark.createDataFrame([(1, a), (1, b)], "doc_id long, text string")
+    assert sorted(r.text for r in one_of_each(short).collect()) == sorted([a, b])
+
+
 def test_rows_that_differ_elsewhere_in_all_partitionings(spark):
     """400 rows equal in id, text and source, and 100 equal in everything: the same rows, whole, whatever the partitions."""
     from textloom.llm.jaccard import one_of_each

@@ -43,14 +43,25 @@ def shifted(name: str, a: Column, bits: Column) -> Column:
     return F.call_function(name, a, bits)
 
 
+def _digest_part(text: Column, part: int) -> Column:
+    """64 bits of the SHA-256 digest of ``text`` as a long: the first (0), the second (1) and so on."""
+    return F.conv(F.substring(F.sha2(text, 256), 16 * part + 1, 16), 16, -10).cast("long")
+
+
 def row_key() -> list[Column]:
-    """(did, fp): names a row of documents up to rows equal in id and text; never null."""
+    """(did, fp): names a row of documents up to rows equal in id and text; never null. fp is cryptographic, as texts can be made whose plain hashes are equal."""
     return [
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"),
-        F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()).alias("fp"),
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(_digest_part(F.col("text"), 0)).alias("fp"),
     ]
 
 
+def place_key() -> list[Column]:
+    """(did, fp): as :func:`row_key`, but 128 bits of a digest of id and text, for joins that nothing compares afterwards."""
+    both = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
+    return [_digest_part(both, i).alias(n) for i, n in enumerate(("did", "fp"))]
+
+
 def row_digest(docs: DataFrame) -> Column:
     """SHA-256 of all columns of a row of ``docs``: rows with equal digests are equal rows."""
 

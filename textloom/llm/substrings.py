@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..ship import ship
-from .common import drop_table, keyed_hashes, mix, ranges, row_key, secret, spans, table, text_bytes
+from .common import drop_table, keyed_hashes, mix, place_key, ranges, secret, spans, table, text_bytes
 
 LENGTH, CORE, STEP = 200, 48, 16
 _B1 = np.uint64(0x2545F4914F6CDD1D)
@@ -343,7 +343,7 @@ def _counted(df: DataFrame, name: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_group: int = 4000) -> DataFrame:
     """(did, fp, b, z): byte intervals [b, z) of ``docs`` (did, fp, text) that repeated strings of ``length`` bytes cover.
 
-    Intervals of a document may overlap. did, fp: see :func:`~.common.row_key`. Texts below ``length``
+    Intervals of a document may overlap. did, fp: see :func:`~.common.place_key`. Texts below ``length``
     bytes, empty and null texts have none; rows equal in id and text count as two places.
     """
     key = secret()
@@ -443,7 +443,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_
     null or repeat, and every input row gives one row.
     """
     ship(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row_key())
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *place_key())
     spans_ = repeated_spans(keyed, length, core, max_group)
     lists = spans_.groupBy("did", "fp").agg(F.collect_set(F.struct("b", "z")).alias("spans"))
     joined = keyed.join(lists, ["did", "fp"], "left").select("doc_id", "text", "spans")
@@ -457,7 +457,7 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
     A character stays unless all its bytes go. A text of which nothing is left is empty.
     """
     ship(docs.sparkSession)
-    did, fp = row_key()
+    did, fp = place_key()
     at = docs.columns.index("text")
     held = [f"_c{i}" for i in range(len(docs.columns)) if i != at]  # names of docs may be any
     keyed = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns) if i != at), F.coalesce("text", F.lit("")).alias("text"), did, fp)
