@@ -104,3 +104,24 @@ def test_dummy_media(spark, left):
     assert [got[k].input_ids for k in ((1, 2), (2, 1), (3, 5))] == [[2], [3], [5]] and got[1, 2].seen == "x"
     assert {k: r.input_ids for k, r in ((k, r) for k, r in got.items())}.keys() == {(1, 1), (1, 2), (2, 0), (2, 1), (3, 5)}
     assert {tuple(r.input_ids) for r in with_dummy_media(df, "batch", "k").collect()} == {tuple(r[2]) for r in rows}
+
+
+def test_programs_share_an_interpreter(monkeypatch):
+    """Twenty programs start one interpreter; a program that ends it costs a new one, and nothing of a program is left for the next."""
+    import subprocess
+    from contextlib import closing
+
+    from textloom.operators import runner
+
+    started = []
+    plain = subprocess.Popen
+    monkeypatch.setattr(runner.subprocess, "Popen", lambda *a, **k: started.append(a) or plain(*a, **k))
+    with closing(runner.Launcher()) as launcher:
+        run = lambda code, given="": runner.run_program(code, "python", given, launcher=launcher)
+        assert [run("import os; x = int(input()); os.chdir('/'); print(x * 2)", str(i)).output for i in range(20)] == [f"{2 * i}\n" for i in range(20)]
+        assert len(started) == 1
+        assert run("print('x' in globals(), __import__('sys').argv[0].endswith('/program'))").output == "False True\n"
+        assert run("import os, signal; os.kill(os.getppid(), signal.SIGKILL)").status == "RE"
+        assert run("print(1)").output == "1\n" and len(started) == 2
+        assert run("import atexit; atexit.register(print, 'bye')").output == "bye\n"
+        assert run("raise SystemExit(3)").status == "RE" and run("raise SystemExit").status == "OK"
