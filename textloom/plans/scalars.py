@@ -264,8 +264,9 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = F.lit(True)
     for dialect in O.DIALECTS:
         rows = O.render_call_column(rows, "one" if dialect == "glm4" else "calls", dialect, f"{dialect}_")
-        rows = O.extract_calls(rows, f"{dialect}_", dialect, f"{dialect}_read")
         rows = O.extract_calls(rows, "text", dialect, f"{dialect}_text")
+    for dialect in O.DIALECTS:  # after all that need no other column of Python: each step is one worker
+        rows = O.extract_calls(rows, f"{dialect}_", dialect, f"{dialect}_read")
         read = F.col(f"{dialect}_read.calls")
         same = same & F.coalesce(read == (F.slice("qwen_read.calls", F.lit(1), F.lit(1)) if dialect == "glm4" else F.col("qwen_read.calls")), F.lit(False))
     plain = F.coalesce(*(F.when(F.col(f"{d}_text.calls").isNotNull(), False) for d in O.DIALECTS if d != "glm4"), F.lit(True))
