@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, StringType, StructField, StructType
 
 from .visibility import source_block
 
@@ -62,15 +63,22 @@ def answer_prompt(question: Column, texts: Column) -> Column:
     return F.concat(asked, question, F.lit("\n\n"), source_block(texts))
 
 
-def generated(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]], prompt: str = "prompt", out: str = "generation") -> DataFrame:
-    """Adds texts generated batch by batch: ``load`` is called once in each task and gives a function from prompts to texts (a local model)."""
+def generated(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]], prompt: str = "prompt", out: str = "generation", batch: int = 500) -> DataFrame:
+    """Adds texts generated ``batch`` prompts at a time: ``load`` is called once in each task and gives a function from prompts to texts (a local model)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         generate = load()
         for b in batches:
-            yield b.assign(**{out: generate(list(b[prompt]))})
+            for at in range(0, len(b), batch):
+                yield pa.array(generate(b.slice(at, batch).to_pylist()), pa.string())
+
+    return rows.withColumn(out, _by_arrow(run, StringType(), Iterator[pa.Array], Iterator[pa.Array])(F.col(f"`{prompt}`")))
+
 
-    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(out, StringType())]))
+def _by_arrow(run: Callable, kind: DataType, taken: object, given: object) -> Callable[..., Column]:
+    """A function of Arrow arrays as one of Columns: only its arguments go to the worker. It may differ from call to call, so it is called once a row."""
+    run.__annotations__ = {"batches": taken, "return": given}
+    return F.arrow_udf(run, kind).asNondeterministic()
 
 
 #: Names of services that run code -> a function from (code, language) to a score.
@@ -99,9 +107,10 @@ def executed(rows: DataFrame, name: str, code: str = "code", language: str = "la
         except Exception:  # whatever a service raises
             return 0.0
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         with ThreadPoolExecutor(threads) as pool:
-            for b in batches:
-                yield b.assign(**{out: list(pool.map(one, zip(b[code], b[language], strict=True)))})
+            for codes, languages in batches:
+                yield pa.array(pool.map(one, zip(codes.to_pylist(), languages.to_pylist(), strict=True)), pa.float64())
 
-    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(out, DoubleType())]))
+    by = _by_arrow(run, DoubleType(), Iterator[tuple[pa.Array, pa.Array]], Iterator[pa.Array])
+    return rows.withColumn(out, by(F.col(f"`{code}`"), F.col(f"`{language}`")))
