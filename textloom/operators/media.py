@@ -23,7 +23,7 @@ PIXTRAL = {"patch": 16, "longest": 1024}
 def expand(text: Column, mark: str, parts: Column) -> Column:
     """``text`` with its i-th mark as the i-th of ``parts``; marks beyond them stay."""
     pieces = F.split(text, rf"\Q{mark}\E", -1)
-    return F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.coalesce(F.get(parts, i - 1), F.lit(mark)), x))), "")
+    return let(parts, lambda p: F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.coalesce(F.get(p, i - 1), F.lit(mark)), x))), ""))
 
 
 def llava(size: Column, token: str = "<image>", side: int = 336, patch: int = 14, additional: int = 1) -> Column:
