@@ -32,3 +32,14 @@ def test_parts_of_marks_are_made_once(spark):
     (row,) = spark.range(1).select(expand(F.lit("a|b|c|"), "|", F.array_repeat(F.uuid(), 2)).alias("t")).collect()
     first = row.t[1:37]
     assert row.t == f"a{first}b{first}c|"
+
+
+def test_chunks_that_end_nothing_are_passed_over(spark):
+    """Only chunks that may be an end are read for one: all whose token has a mark or ends a paragraph."""
+    from textloom.operators.sentences import _may_end, chunks, token
+
+    text = "Dr. A said (yes!) \"no?\" wait… 3.5 so... on\n \n then [1]. x\n\ny plain Words, and; more: v1.2 end"
+    found = spark.range(1).select(F.explode(chunks(F.lit(text))).alias("c")).select("c", token(F.col("c")).alias("t"), _may_end(F.col("c")).alias("may")).collect()
+    assert "".join(r.c for r in found) == text
+    assert all(r.may for r in found if r.t["mark"] or r.t["ends"])
+    assert [r.c.strip() for r in found if not r.may] == ["A", "said", "then", "y", "plain", "Words,", "and;", "more:", "end"]

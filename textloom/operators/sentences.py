@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..shared import table, unused
 
 # Fixed values of the method: the likelihood-ratio bounds, and the share of an abbreviation's occurrences that have a period.
@@ -22,6 +23,7 @@ ABBREVIATION, STARTER, COLLOCATION, DOTTED = 0.3, 30.0, 7.88, 0.99
 _OPEN = r"""^["'“‘«„(\[{]+"""
 #: Closing quotes and brackets, citations among them.
 _SHUT = r"""(?:\[[^\w\s]*\d+[^\w\s]*\]|["'”’»)\]}])+$"""
+_BLANK_LINE = r"\n[^\S\n]*\n"
 _NUMBER = "##"
 _ELLIPSIS = "…"
 
@@ -31,23 +33,33 @@ def chunks(text: Column) -> Column:
     return F.split(text, r"(?<=\s)(?=\S)")
 
 
-def tokens(text: Column) -> Column:
-    """array<struct<base, mark, ends, case>> of the chunks.
+def token(chunk: Column) -> Column:
+    """struct<base, mark, ends, case> of a chunk.
 
     base: lower case, without quotes, brackets and punctuation around it; numbers are one type. mark: ``.`` (one period), ``…``, ``!``
     (also for ``?``) or nothing. ends: a paragraph ends here. case: of the first character, ``U``, ``l`` or ``-``.
     """
 
-    def token(chunk: Column) -> Column:
-        core = F.regexp_replace(F.regexp_replace(F.regexp_replace(chunk, r"\s+$", ""), _OPEN, ""), _SHUT, "")
+    def of(core: Column) -> Column:
         base = F.lower(F.regexp_replace(core, r"[.,;:!?…]+$", ""))
         mark = F.when(core.rlike(r"[!?]$"), "!").when(core.rlike(r"(\.\.|…)$"), _ELLIPSIS).when(core.endswith("."), ".").otherwise("")
         case = F.when(core.rlike(r"^\p{Lu}"), "U").when(core.rlike(r"^\p{Ll}"), "l").otherwise("-")
-        return F.struct(F.when(base.rlike(r"^[+-]?\d[\d.,:/-]*$"), _NUMBER).otherwise(base).alias("base"), mark.alias("mark"), chunk.rlike(r"\n[^\S\n]*\n").alias("ends"), case.alias("case"))
+        named = let(base, lambda b: F.when(b.rlike(r"^[+-]?\d[\d.,:/-]*$"), _NUMBER).otherwise(b))
+        return F.struct(named.alias("base"), mark.alias("mark"), chunk.rlike(_BLANK_LINE).alias("ends"), case.alias("case"))
+
+    return let(F.regexp_replace(F.regexp_replace(F.regexp_replace(chunk, r"\s+$", ""), _OPEN, ""), _SHUT, ""), of)
 
+
+def tokens(text: Column) -> Column:
+    """array<struct<base, mark, ends, case>> of the chunks (:func:`token`)."""
     return F.transform(chunks(text), token)
 
 
+def _may_end(chunk: Column) -> Column:
+    """False for chunks whose mark is empty and after which no paragraph ends; cheaper than their token."""
+    return chunk.rlike(rf"[.!?…]|{_BLANK_LINE}")
+
+
 def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
     """k successes of n at probability p; a share of 0 or 1 is certain."""
     of = lambda count, share: F.when(count > 0, count * F.log(F.greatest(share, F.lit(1e-300)))).otherwise(0.0)
@@ -70,8 +82,8 @@ class SentenceModel:
 
 
 def _type_counts(tokens_: DataFrame) -> DataFrame:
-    """(base, n, dotted, abbreviation) of all types."""
-    types = table(tokens_.where("t.base <> ''").groupBy(F.col("t.base").alias("base")).agg(F.count("*").alias("n"), F.count_if(F.col("t.mark") == ".").alias("dotted")), "types")
+    """(base, n, dotted, abbreviation) of all types; tokens_: t and how often (k)."""
+    types = table(tokens_.where("t.base <> ''").groupBy(F.col("t.base").alias("base")).agg(F.sum("k").alias("n"), F.sum(F.when(F.col("t.mark") == ".", F.col("k")).otherwise(0)).alias("dotted")), "types")
     total = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("dotted"), F.lit(0)).alias("periods")).first()
     share = F.lit(total.periods / total.total if total.total else 0.0)
     ratio = -2 * (_log_likelihood(F.col("dotted"), F.col("n"), share) - _log_likelihood(F.col("dotted"), F.col("n"), F.lit(DOTTED)))
@@ -84,16 +96,18 @@ def _type_counts(tokens_: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, text: str = "text") -> SentenceModel:
     """The model of all texts of ``docs``; null and empty texts say nothing, and without texts every period ends a sentence."""
-    seen = docs.where(F.col(text).isNotNull()).select(tokens(F.col(text)).alias("ts"))
-    types = table(_type_counts(seen.select(F.explode("ts").alias("t"))), "sentence-types")
+    # equal chunks after equal ends are counted before anything is read from them; what surely ends nothing is blank, a start of a text null
+    parts = F.array_compact(chunks(F.col(text)))
+    seen = docs.where(F.col(text).isNotNull()).select(F.explode(let(parts, lambda c: F.transform(c, lambda x, i: F.struct(let(F.get(c, i - 1), lambda a: F.when(a.isNull() | _may_end(a), a).otherwise("")).alias("a"), x.alias("b"))))).alias("p"))
+    seen = table(seen.groupBy("p.a", "p.b").agg(F.count("*").alias("k")), "sentence-chunks")
+    begin = F.struct(F.lit("").alias("base"), F.lit("!").alias("mark"), F.lit(True).alias("ends"), F.lit("-").alias("case"))
+    types = table(_type_counts(seen.groupBy("b").agg(F.sum("k").alias("k")).select(token(F.col("b")).alias("t"), "k")), "sentence-types")
     total = types.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # a start of a text follows an end
-    begin = F.array(F.struct(F.lit("").alias("base"), F.lit("!").alias("mark"), F.lit(True).alias("ends"), F.lit("-").alias("case")))
-    pairs = seen.select(F.explode(F.arrays_zip(F.concat(begin, F.slice("ts", F.lit(1), F.size("ts") - 1)).alias("a"), F.col("ts").alias("b"))).alias("p"))
+    pairs = seen.select(F.struct(F.when(F.col("a").isNull(), begin).otherwise(token(F.col("a"))).alias("a"), token(F.col("b")).alias("b")).alias("p"), "k")
     dotted = F.col("p.a.mark").isin(".", _ELLIPSIS) & ~F.col("p.a.ends")
     before = F.when(dotted & (F.col("p.a.mark") == _ELLIPSIS), _ELLIPSIS).when(dotted, F.col("p.a.base"))  # null: surely an end, or surely none
     keys = [before.alias("before"), (~dotted & (F.col("p.a.ends") | (F.col("p.a.mark") == "!"))).alias("end"), F.col("p.b.base").alias("after"), F.col("p.b.case").alias("case")]
-    pairs = pairs.groupBy(*keys).agg(F.count("*").alias("k"))
+    pairs = pairs.groupBy(*keys).agg(F.sum("k").alias("k"))
     short = types.where("abbreviation").select(F.col("base").alias("before"), F.lit(True).alias("abbreviation"))
     pairs = pairs.join(short, "before", "left").withColumn("abbreviation", F.coalesce("abbreviation", F.col("before") == _ELLIPSIS, F.lit(False)))
     odd = F.coalesce(F.col("before").rlike(r"^\p{L}$") | (F.col("before") == _NUMBER), F.lit(False))
@@ -133,19 +147,23 @@ def with_sentences(rows: DataFrame, model: SentenceModel, text: str = "text", ou
     Ends are periods that the model does not rule out, ellipses likewise, exclamation and question marks, blank lines and the end of the
     text. Only periods that might go on are joined with the model.
     """
-    key, held, parts, toks = unused([*rows.columns, out], "key", "held", "parts", "tokens")
+    key, held, parts = unused([*rows.columns, out], "key", "held", "parts")
     numbered = table(rows.withColumn(key, F.monotonically_increasing_id()), "texts")
-    split = numbered.select(key, tokens(F.col(text)).alias("ts")).where(F.size("ts") > 1)
-    both = F.arrays_zip(F.slice("ts", F.lit(1), F.size("ts") - 1).alias("a"), F.slice("ts", F.lit(2), F.size("ts") - 1).alias("b"))
-    open_ = split.select(key, F.posexplode(both).alias("i", "p")).where(F.col("p.a.mark").isin(".", _ELLIPSIS) & ~F.col("p.a.ends"))
-    open_ = open_.select(key, "i", F.when(F.col("p.a.mark") == ".", F.col("p.a.base")).otherwise(_ELLIPSIS).alias("before"), F.col("p.b.base").alias("after"), F.col("p.b.case").alias("case"))
+
+    def asked(c: Column) -> Column:
+        """Of each period or ellipsis that might go on: its place and what the model decides by. Only what may be an end, and what follows, is read."""
+        of = lambda a, i: F.when(a["mark"].isin(".", _ELLIPSIS) & ~a["ends"], let(token(F.get(c, i + 1)), lambda b: F.struct(i.alias("i"), F.when(a["mark"] == ".", a["base"]).otherwise(_ELLIPSIS).alias("before"), b["base"].alias("after"), b["case"].alias("case"))))
+        return F.array_compact(F.transform(c, lambda x, i: F.when((i < F.size(c) - 1) & _may_end(x), let(token(x), lambda a: of(a, i)))))
+
+    open_ = numbered.select(key, F.explode(let(chunks(F.col(text)), asked)).alias("p")).select(key, "p.*")
     found = open_.join(model.joined, ["before", "after", "case"]).groupBy(key).agg(F.collect_list("i").alias(held))
-    whole = numbered.join(found, key, "left").withColumn(parts, chunks(F.col(text))).withColumn(toks, tokens(F.col(text)))
+    whole = numbered.join(found, key, "left").withColumn(parts, chunks(F.col(text)))
     last = F.size(parts) - 1
-    end = lambda t, i: (i == last) | t["ends"] | (t["mark"] == "!") | t["mark"].isin(".", _ELLIPSIS) & ~F.coalesce(F.array_contains(held, i), F.lit(False))
-    places = F.filter(F.transform(toks, lambda t, i: F.when(end(t, i), i)), lambda i: i.isNotNull())
+    end = lambda t, i: t["ends"] | (t["mark"] == "!") | t["mark"].isin(".", _ELLIPSIS) & ~F.coalesce(F.array_contains(held, i), F.lit(False))
+    ends = F.transform(parts, lambda x, i: F.when(i == last, i).when(_may_end(x), F.when(let(token(x), lambda t: end(t, i)), i)))
+    places = F.filter(ends, lambda i: i.isNotNull())
     whole = whole.withColumn(held, places)
     first = lambda j: F.coalesce(F.get(held, j - 1), F.lit(-1)) + 1
     made = F.transform(held, lambda e, j: F.regexp_replace(F.array_join(F.slice(parts, first(j) + 1, e - first(j) + 1), ""), r"^\s+|\s+$", ""))
     none = F.array().cast("array<string>")
-    return whole.withColumn(out, F.coalesce(F.filter(made, lambda s: s != ""), none)).drop(key, held, parts, toks)
+    return whole.withColumn(out, F.coalesce(F.filter(made, lambda s: s != ""), none)).drop(key, held, parts)
