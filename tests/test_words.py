@@ -87,3 +87,19 @@ def test_mixed_texts_repetition_and_similarity(spark):
     with pytest.raises(ValueError):
         repetition_of_words(F.col("words"), 1, 1.0)
     assert HAN.endswith("+")
+
+
+def test_all_runs_of_characters(spark):
+    """Every substring of up to so many characters with repeats, beyond 16 bits too, in a plan that searches no place in the text."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from textloom.operators.words import _grams
+
+    texts = ["", "a", "añ𠀀", "ababab", "𠀀𠀁𠀀x中文"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *(_grams(F.col("t"), m).alias(f"g{m}") for m in (1, 3, 5)))
+    assert "substring" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for r in got.collect():
+        for m in (1, 3, 5):
+            assert Counter(r[f"g{m}"]) == Counter(r.t[i : i + k] for k in range(1, m + 1) for i in range(len(r.t) - k + 1))

@@ -26,9 +26,14 @@ HAN = "[⺀-⿟々〇〡-〩㐀-䶿一-鿿豈-﫿𠀀-𯨟]+"
 
 def _grams(run: Column, most: int) -> Column:
     """All substrings of 1 to ``most`` characters, with repeats."""
-    n = F.length(run)
-    of = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(size)))
-    return F.flatten(F.array(*(F.when(n >= size, of(size)).otherwise(F.array().cast("array<string>")) for size in range(1, most + 1))))
+    none = F.array().cast("array<string>")
+
+    def of(c: Column, shorter: Column, size: int) -> Column:
+        """Those of ``size`` characters and more: each is one a character shorter and the next character, so that no place is searched for in the text."""
+        both = F.zip_with(F.slice(shorter, F.lit(1), F.greatest(F.size(c) - size + 1, F.lit(0))), F.slice(c, F.lit(size), F.greatest(F.size(c) - size + 1, F.lit(0))), lambda a, b: F.concat(a, b))
+        return let(F.when(F.size(c) >= size, both).otherwise(none), lambda x: x if size == most else F.concat(x, of(c, x, size + 1)))
+
+    return let(F.array_remove(F.split(run, ""), ""), lambda c: c if most == 1 else F.concat(c, of(c, c, 2)))
 
 
 def learn_words(docs: DataFrame, text: str = "text", runs: str = HAN, longest: int = 4, least: int = 5, share: float = 1e-6, cohesion: float = 20.0, freedom: float = 0.7) -> DataFrame:
