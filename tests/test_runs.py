@@ -78,6 +78,53 @@ def test_generation_goes_on(spark, tmp_path):
     assert sum(r.errors for r in done) == 0 and len(done) == 40 and asked + 6 <= open(calls).read().count("\n") <= asked + 12  # a batch of unlike prompts is refused once
 
 
+def test_prompts_move_once(spark, tmp_path):
+    """Of the prompts, a run shuffles what its waves deal out; a run with nothing left to do, and reading the store, shuffle keys only."""
+    import random
+
+    sc, draw = spark.sparkContext._jsc.sc(), random.Random(7)
+    spark.createDataFrame([(i, "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000))) for i in range(100)], "id long, text string").repartition(4).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    run = lambda **k: generation_run(rows, "id", F.col("text"), lambda: lambda prompts: [p[:9] for p in prompts], f"file://{tmp_path}/store", tasks=2, wave=60, **k)
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    def shuffled(work):
+        before = stages()
+        work()
+        return sum(n for i, n in stages().items() if i not in before) / (100 * 20_000)  # times the texts
+
+    assert shuffled(lambda: run(samples=2)) < 1.5
+    assert shuffled(lambda: run(samples=2).agg(F.sum(F.length("prompt"))).collect()) < 0.1
+
+
+def test_samples_asked_for_later(spark, tmp_path):
+    """More samples, more than a batch of them, more rows and a repeated key: only what is missing is generated, and a wave stays a wave."""
+    calls = str(tmp_path / "calls")
+
+    def make():
+        def generate(prompts):
+            with open(calls, "a") as f:
+                f.write("".join(f"{p}\n" for p in prompts))
+            return [f"<{p}>" for p in prompts]
+
+        return generate
+
+    run = lambda rows, **k: generation_run(spark.createDataFrame(rows, "id long, text string"), "id", F.col("text"), make, f"file://{tmp_path}/store", batch=4, tasks=3, **k)
+    rows = [(i, f"p{i}") for i in range(5)]
+    assert run(rows, samples=2, wave=4).count() == 10
+    files = lambda: set(spark.read.parquet(f"{tmp_path}/store").select(F.input_file_name()).distinct().toPandas().iloc[:, 0])
+    early = files()
+    got = run([*rows, (9, "q9"), (9, "p9")], samples=30, wave=20).groupBy("key", "prompt", "generation").agg(F.count_distinct("sample").alias("n"), F.count("*").alias("all")).collect()
+    assert sorted((r.key, r.prompt, r.generation, r.n, r["all"]) for r in got) == [(str(i), f"p{i}", f"<p{i}>", 30, 30) for i in (*range(5), 9)]
+    assert open(calls).read().count("\n") == 6 * 30  # none twice
+    sizes = spark.read.parquet(*(files() - early)).groupBy(F.regexp_extract(F.input_file_name(), "part-[0-9]+-(.+)-c[0-9]", 1)).count().collect()
+    assert max(r["count"] for r in sizes) <= 20 and sum(r["count"] for r in sizes) == 170
+
+
 def test_retries():
     waits, calls = [], []
 
